@@ -94,3 +94,16 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "po
     """1-based row number per key by a unique integer ``order`` column."""
     bucketed = df.withColumn("_bucket", bucket_of(F.col(order), rows))
     return prefix_scan(bucketed, keys, "_bucket", order, [Running(out, "count")]).drop("_bucket")
+
+
+def range_bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``_bucket`` and ``_ord`` for an order that is not an integer column.
+
+    Rows are range-partitioned on (keys, order), so a large key spreads over many partitions;
+    the partition is the bucket. The ids are frozen by a reliable checkpoint before use.
+    """
+    from ..session import cut_lineage
+
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return cut_lineage(ranged.withColumns({"_bucket": F.spark_partition_id(),
+                                           "_ord": F.monotonically_increasing_id()}))

@@ -151,7 +151,7 @@ lines AS (
 
 QUERIES = {
     "chain_build": lambda s, d: t.ledger(s, d).select("case_id", "id", "prev_hash", "entry_hash"),
-    "chain_build_segmented": lambda s, d: chains.build_pipe(t.custody_events(s, d), segment_rows=4000).select(
+    "chain_build_segmented": lambda s, d: chains.build_pipe(t.custody_events(s, d), segment_rows=25).select(
         "case_id", "id", "entry_hash"),
     "chain_fold": lambda s, d: chains.chain_fold(t.custody_events(s, d)),
     "chain_verify": flagship,
