@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
 BUCKET_ROWS = 100_000
 
 
@@ -100,10 +102,8 @@ def range_bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """Adds ``_bucket`` and ``_ord`` for an order that is not an integer column.
 
     Rows are range-partitioned on (keys, order), so a large key spreads over many partitions;
-    the partition is the bucket. The ids are frozen by a reliable checkpoint before use.
+    the partition is the bucket. The ids are frozen by writing them before use.
     """
-    from ..session import cut_lineage
-
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    return cut_lineage(ranged.withColumns({"_bucket": F.spark_partition_id(),
-                                           "_ord": F.monotonically_increasing_id()}))
+    return stage(ranged.withColumns({"_bucket": F.spark_partition_id(),
+                                     "_ord": F.monotonically_increasing_id()}), "ranged")

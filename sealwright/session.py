@@ -1,4 +1,4 @@
-"""Session defaults, scratch locations and lineage cuts."""
+"""Session defaults and written intermediates."""
 
 from __future__ import annotations
 
@@ -51,18 +51,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/sealwright-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and freezes generated row ids."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_root(spark))
-    return df.checkpoint(eager=True)
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate this library wrote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    This cuts lineage for iterative work: the rows survive executor loss, generated row ids are
+    frozen, and unlike a checkpoint the last stage runs once.
+    """
+    path = path or scratch_path(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
