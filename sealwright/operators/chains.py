@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.canonical import line_hash_ok
 from ..functions.hashing import (GENESIS, ambiguous_material, concat_material, pipe_material,
                                  pipe_prefix, sha256_hex)
-from ..session import broadcast_if_small, stage
+from ..session import broadcast_if_small, spread, stage
 from .ordered import BUCKET_ROWS, bucket_of, with_position
 
 SEGMENT_ROWS = 65_536
@@ -202,7 +202,7 @@ def chain_rows(rows: DataFrame, order: str, head: Column, tail: Column,
     placed, rounds = _segments(rows.withColumns({"_head": head, "_tail": tail}), order, segment_rows)
 
     def hashed(part: DataFrame, schema: T.StructType, columns) -> DataFrame:
-        ordered = part.repartition("case_id").sortWithinPartitions("case_id", "_pos")
+        ordered = spread(part, "case_id").sortWithinPartitions("case_id", "_pos")
         return ordered.mapInPandas(_fold_batches(columns), schema)
 
     if rounds == 1:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.reports import GLARE_LEVEL, SHADOW_LEVEL
+from ..session import spread, stage
 from .components import connected_components
 from .joins import skew_join
 
@@ -107,14 +108,87 @@ def span_node(y: Column, x0: Column) -> Column:
     return y.cast("bigint") * F.lit(1 << 32) + x0
 
 
-def regions(spans: DataFrame) -> DataFrame:
-    """Bounding box and area of every 8-connected region."""
+BAND_ROWS = 256
+
+
+def _touching_roots(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Smallest row index of the region each run belongs to; runs sorted by (y, x0)."""
+    parent = list(range(len(y)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+    rows = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
+    ys, lo, hi = y.tolist(), x0.tolist(), x1.tolist()
+    for r in range(1, len(rows) - 1):
+        i, i_end, j, j_end = rows[r - 1], rows[r], rows[r], rows[r + 1]
+        if ys[j] != ys[i] + 1:
+            continue
+        while i < i_end and j < j_end:
+            if lo[j] <= hi[i] + 1 and lo[i] <= hi[j] + 1:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+            if hi[i] < hi[j]:
+                i += 1
+            else:
+                j += 1
+    return np.array([root(i) for i in range(len(y))], dtype=np.int64)
+
+
+def _label_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds ``root`` (row offset of the run a region starts with) per (page, band)."""
+    held: pd.DataFrame | None = None
+
+    def labelled(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        y, x0, x1 = (pdf[k].to_numpy() for k in ("y", "x0", "x1"))
+        first = np.concatenate([_touching_roots(y[a:b], x0[a:b], x1[a:b]) + a for a, b in zip(edges[:-1], edges[1:])])
+        return pdf.assign(root_y=y[first], root_x=x0[first])
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        ids, band = pdf["page_id"].to_numpy(), pdf["band"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (band[1:] != band[:-1])) + 1])
+        held = pdf.iloc[edges[-1]:]
+        if len(edges) > 1:
+            yield labelled(pdf.iloc[:edges[-1]], edges)
+    if held is not None and len(held):
+        yield labelled(held.reset_index(drop=True), np.array([0, len(held)]))
+
+
+def regions(spans: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Bounding box and area of every 8-connected region.
+
+    Pages are cut into bands of rows. A task joins the runs of one band, two rows at a time, and
+    gives one partial region per root; only regions that touch across a band border go through
+    the distributed component search. A large page thus spreads over many tasks, and small pages
+    need no iteration at all.
+    """
     c = F.col
-    nodes = spans.withColumn("node", span_node(c("y"), c("x0")))
-    labelled = connected_components(nodes, span_edges(spans), ["page_id"])
-    return labelled.groupBy("page_id", "component").agg(
-        F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"),
-        (F.max("y") - F.min("y") + 1).alias("h"), F.sum(c("x1") - c("x0") + 1).alias("area"))
+    page_type = spans.schema["page_id"].dataType.simpleString()
+    banded = spans.select("page_id", F.floor(c("y") / band_rows).alias("band"), c("y").cast("bigint").alias("y"),
+                          c("x0").cast("bigint").alias("x0"), c("x1").cast("bigint").alias("x1"))
+    labelled = stage(
+        spread(banded, "page_id", "band").sortWithinPartitions("page_id", "band", "y", "x0").mapInPandas(
+            _label_bands, f"page_id {page_type}, band bigint, y bigint, x0 bigint, x1 bigint, root_y bigint, root_x bigint"),
+        "region-bands").withColumn("root", span_node(c("root_y"), c("root_x")))
+    partial = labelled.groupBy("page_id", "root").agg(
+        F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"),
+        F.sum(c("x1") - c("x0") + 1).alias("area"))
+    rim = labelled.where((c("y") % band_rows == 0) | (c("y") % band_rows == band_rows - 1))
+    across = span_edges(rim).where(F.floor(c("a") / F.lit(1 << 32) / band_rows) != F.floor(c("b") / F.lit(1 << 32) / band_rows))
+    roots = rim.select("page_id", span_node(c("y"), c("x0")).alias("node"), "root")
+    across = (across.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), ["page_id", "a"])
+              .join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), ["page_id", "b"])
+              .select("page_id", c("ra").alias("a"), c("rb").alias("b")))
+    if across.isEmpty():
+        joined = partial.withColumn("component", c("root"))
+    else:
+        joined = connected_components(partial.withColumnRenamed("root", "node"), across, ["page_id"])
+    return joined.groupBy("page_id", "component").agg(
+        F.min("left").alias("x"), F.min("top").alias("y"), (F.max("right") - F.min("left") + 1).alias("w"),
+        (F.max("bottom") - F.min("top") + 1).alias("h"), F.sum("area").alias("area"))
 
 
 def top_regions(found: DataFrame, limit: int = MAX_REGIONS) -> DataFrame:
@@ -156,55 +230,81 @@ def naive_order(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("order", F.row_number().over(w) - 1)
 
 
-def _band(start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
-    by = np.lexsort((end, start))
-    lows, reach = start[by], np.maximum.accumulate(end[by])
-    gaps = lows[1:] - reach[:-1]
-    at = int(np.argmax(gaps))
-    return (int(gaps[at]), int(lows[at + 1])) if gaps[at] > 0 else (0, 0)
+def _bands(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Widest empty band of every group at once: (width, where it ends), the first on ties.
 
-
-def cut_order(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, min_gap: int, mode: str) -> np.ndarray:
-    """Indices of one page's blocks in reading order. Worked off a stack, so depth is no limit."""
-    placed: list[np.ndarray] = []
-    todo = [np.lexsort((x, y))]
-    while todo:
-        part = todo.pop()
-        if len(part) < 2:
-            placed.append(part)
-            continue
-        px, py = x[part], y[part]
-        gx, cx = _band(px, px + w[part])
-        gy, cy = _band(py, py + h[part])
-        columns = gx >= min_gap and gx > 0
+    ``group`` numbers rows densely from 0. Shifting each group by the value range lets one running
+    maximum serve all groups.
+    """
+    by = np.lexsort((end, start, group))
+    g = group[by]
+    low = int(start.min())
+    span = int(end.max()) - low + 1
+    lows = start[by] - low + g * span
+    reach = np.maximum.accumulate(end[by] - low + g * span)
+    gaps = np.zeros(len(by), dtype=np.int64)
+    gaps[1:] = np.where(g[1:] == g[:-1], lows[1:] - reach[:-1], 0)
+    np.maximum(gaps, 0, out=gaps)
+    heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    widest = np.maximum.reduceat(gaps, heads)
+    hits = np.flatnonzero(gaps == widest[g])
+    _, first = np.unique(g[hits], return_index=True)
+    return widest, start[by][hits[first]]
+
+
+def cut_positions(page: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray,
+                  min_gap: np.ndarray, mode: str) -> np.ndarray:
+    """Reading position of every row; rows are sorted by (page, y, x).
+
+    All pages of a batch are cut together, one level of cuts per pass. A group is known by the
+    position of its first block; a cut keeps that position for the first side and adds the first
+    side's size for the second.
+    """
+    n = len(page)
+    place = np.concatenate([[0], np.flatnonzero(page[1:] != page[:-1]) + 1])
+    place = np.repeat(place, np.diff(np.append(place, n)))
+    open_rows = np.arange(n)
+    while len(open_rows):
+        starts, group, sizes = np.unique(place[open_rows], return_inverse=True, return_counts=True)
+        keep = sizes[group] > 1
+        if not keep.all():
+            open_rows = open_rows[keep]
+            if not len(open_rows):
+                break
+            starts, group = np.unique(place[open_rows], return_inverse=True)
+        ax, ay = x[open_rows], y[open_rows]
+        gap_x, cut_x = _bands(ax, ax + w[open_rows], group)
+        gap_y, cut_y = _bands(ay, ay + h[open_rows], group)
+        limit = np.zeros(len(starts), dtype=np.int64)
+        limit[group] = min_gap[open_rows]
+        columns = (gap_x >= limit) & (gap_x > 0)
         if mode == "widest":
-            columns = columns and gx >= gy
-        if columns:
-            side = px < cx
-        elif gy > 0:
-            side = py < cy
-        else:
-            placed.append(part)
-            continue
-        todo.append(part[~side])
-        todo.append(part[side])
-    return np.concatenate(placed)
+            columns &= gap_x >= gap_y
+        cut = columns | (gap_y > 0)
+        later = np.where(columns[group], ax >= cut_x[group], ay >= cut_y[group]) & cut[group]
+        first_side = np.bincount(group, weights=~later, minlength=len(starts)).astype(np.int64)
+        place[open_rows[later]] += first_side[group[later]]
+        # uncut groups read by (y, x): their rows are already in that order
+        done = open_rows[~cut[group]]
+        if len(done):
+            at = place[done]
+            order = np.argsort(at, kind="stable")
+            runs = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1])
+            place[done[order]] += np.arange(len(done)) - np.repeat(runs, np.diff(np.append(runs, len(done))))
+        open_rows = open_rows[cut[group]]
+    return place
 
 
 def _order_pages(mode: str):
     names = ("page_id", "x", "y", "w", "h", "min_col_gap")
 
-    def ordered(cols: dict[str, np.ndarray], edges: np.ndarray) -> pd.DataFrame:
-        seqs, ranks = [], []
-        for a, b in zip(edges[:-1], edges[1:]):
-            part = slice(a, b)
-            seq = cut_order(cols["x"][part], cols["y"][part], cols["w"][part], cols["h"][part],
-                            int(cols["min_col_gap"][a]), mode)
-            seqs.append(seq + a)
-            ranks.append(np.arange(b - a))
-        seq = np.concatenate(seqs)
-        return pd.DataFrame({"page_id": cols["page_id"][seq], "order": np.concatenate(ranks),
-                             **{k: cols[k][seq] for k in ("x", "y", "w", "h")}})
+    def ordered(cols: dict[str, np.ndarray]) -> pd.DataFrame:
+        place = cut_positions(*(cols[k] for k in names), mode)
+        seq = np.argsort(place, kind="stable")
+        ids = cols["page_id"][seq]
+        heads = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+        rank = np.arange(len(seq)) - np.repeat(heads, np.diff(np.append(heads, len(seq))))
+        return pd.DataFrame({"page_id": ids, "order": rank, **{k: cols[k][seq] for k in ("x", "y", "w", "h")}})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] | None = None
@@ -213,13 +313,14 @@ def _order_pages(mode: str):
             if held is not None:
                 cols = {k: np.concatenate([held[k], cols[k]]) for k in names}
             ids = cols["page_id"]
-            edges = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            changes = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            last = int(changes[-1]) if len(changes) else 0
             # the last page may go on in the next batch
-            held = {k: cols[k][edges[-1]:] for k in names}
-            if len(edges) > 1:
-                yield ordered(cols, edges)
+            held = {k: cols[k][last:] for k in names}
+            if last:
+                yield ordered({k: cols[k][:last] for k in names})
         if held is not None and len(held["page_id"]):
-            yield ordered(held, np.array([0, len(held["page_id"])]))
+            yield ordered(held)
     return run
 
 
@@ -236,7 +337,7 @@ def reading_order(blocks: DataFrame, mode: str = "gutter_first", min_col_gap: in
         blocks = blocks.withColumn("min_col_gap", F.lit(min_col_gap))
     page_type = blocks.schema["page_id"].dataType.simpleString()
     slim = blocks.select("page_id", *[F.col(k).cast("bigint") for k in ("x", "y", "w", "h")], "min_col_gap")
-    return slim.repartition("page_id").sortWithinPartitions("page_id", "y", "x", "w", "h").mapInPandas(
+    return spread(slim, "page_id").sortWithinPartitions("page_id", "y", "x", "w", "h").mapInPandas(
         _order_pages(mode), f"page_id {page_type}, `order` bigint, x bigint, y bigint, w bigint, h bigint")
 
 

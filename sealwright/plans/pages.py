@@ -63,7 +63,7 @@ def spans(spark, sf_dir):
 
 
 def region_table(spark, sf_dir):
-    return t.once(spark, sf_dir, "regions", lambda: pg.regions(spans(spark, sf_dir)))
+    return t.once(spark, sf_dir, "regions", lambda: pg.regions(spans(spark, sf_dir), band_rows=4))
 
 
 def blocks(spark, sf_dir):
@@ -256,6 +256,7 @@ QUERIES = {
     "page_mask_spans": spans,
     "page_span_edges": lambda s, d: pg.span_edges(spans(s, d), tile=4),
     "page_regions": lambda s, d: region_table(s, d).drop("component"),
+    "page_regions_one_band": lambda s, d: pg.regions(spans(s, d)).drop("component"),
     "page_top_regions": lambda s, d: pg.top_regions(region_table(s, d), 3).drop("component"),
     "page_cap_blocks": lambda s, d: pg.cap_blocks(blocks(s, d), 3).select("page_id", "x", "y", "w", "h", "area"),
     "page_widest_gap_x": lambda s, d: pg.widest_gap(blocks(s, d), "x"),
@@ -303,6 +304,7 @@ SELECT page_id, count(*) FILTER (WHERE v >= 240) AS masked_pixels, count(*) AS t
     "page_mask_spans": PIXELS_SQL + "SELECT page_id, y, x0, x1 FROM spans",
     "page_span_edges": PIXELS_SQL + "SELECT page_id, a, b FROM links",
     "page_regions": PIXELS_SQL + "SELECT page_id, x, y, w, h, area FROM regions",
+    "page_regions_one_band": PIXELS_SQL + "SELECT page_id, x, y, w, h, area FROM regions",
     "page_top_regions": PIXELS_SQL + """
 SELECT page_id, x, y, w, h, area, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, y, x, component) AS rank FROM regions) WHERE rank <= 3""",

@@ -71,6 +71,12 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: st
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning at the session's full shuffle width, for stages whose cost is CPU rather
+    than bytes; adaptive execution would fold small ones into a single task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a lookup side only after counting it; larger tables keep a shuffled join."""
     seen = df.limit(max_rows + 1).count()
