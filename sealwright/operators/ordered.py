@@ -25,7 +25,7 @@ def bucket_of(order: Column, rows: int = BUCKET_ROWS) -> Column:
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``count``, ``sum``, ``max`` or ``last`` (last non-null so far)."""
+    """One running value: ``count``, ``sum``, ``max``, ``last`` (last non-null so far) or ``first``."""
 
     out: str
     kind: str
@@ -40,6 +40,8 @@ def _total(spec: Running, order: Column) -> Column:
         return F.sum(spec.value)
     if spec.kind == "max":
         return F.max(spec.value)
+    if spec.kind == "first":
+        return F.min_by(spec.value, order)
     return F.max_by(spec.value, F.when(spec.value.isNotNull(), order))
 
 
@@ -51,6 +53,8 @@ def _inner(spec: Running, window) -> Column:
         return F.sum(spec.value).over(w)
     if spec.kind == "max":
         return F.max(spec.value).over(w)
+    if spec.kind == "first":
+        return F.first(spec.value).over(w)
     return F.last(spec.value, ignorenulls=True).over(w)
 
 
@@ -73,6 +77,8 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], bucket: str, order: str,
             value = F.sum(col).over(across)
         elif s.kind == "max":
             value = F.max(col).over(across)
+        elif s.kind == "first":
+            value = F.first(col).over(across)
         else:
             value = F.last(col, ignorenulls=True).over(across)
         carried.append(value.alias(f"_c_{s.out}"))
@@ -85,6 +91,8 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], bucket: str, order: str,
             value = F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
         elif s.kind == "max":
             value = F.greatest(here, before)
+        elif s.kind == "first":
+            value = F.coalesce(before, here)
         else:
             value = F.coalesce(here, before)
         outs.append(value.alias(s.out))
