@@ -13,11 +13,23 @@ from . import custody, entitlements as pe, evidence as pev, tables as t
 _done: dict = {}
 
 
-def _replay(spark, sf_dir, name, batch):
-    """A derived table as a file stream."""
-    staged = t.once(spark, sf_dir, f"replay-{name}", lambda: batch)
-    path = staged.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(staged.schema).parquet(path)
+SEGMENTS = 4
+FILES = 8
+
+
+def _replay(spark, sf_dir, name, batch, order):
+    """A derived table as a log: segments written one after the other in ``order``, one per
+    micro-batch, the way a growing ledger arrives."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"replay-{name}")
+    if key not in _done:
+        path = t.scratch(spark, f"replay-{name}")
+        low, high = batch.agg(F.min(order), F.max(order)).first()
+        step = (high - low) // SEGMENTS + 1
+        for k in range(SEGMENTS):
+            part = batch.where((F.col(order) >= low + k * step) & (F.col(order) < low + (k + 1) * step))
+            part.repartitionByRange(FILES, order).write.mode("append").parquet(path)
+        _done[key] = path
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES).parquet(_done[key])
 
 
 def _drained(spark, sf_dir, name, stream):
@@ -30,19 +42,19 @@ def _drained(spark, sf_dir, name, stream):
 
 def verify(spark, sf_dir):
     out = _drained(spark, sf_dir, "stream-verify", lambda: sled.verify_stream(
-        _replay(spark, sf_dir, "edited", t.ledger_edited(spark, sf_dir))))
+        _replay(spark, sf_dir, "edited", t.ledger_edited(spark, sf_dir), "id")))
     return sled.latest_verdicts(out).select("case_id", F.col("seen").alias("entries"), "valid_prefix", "chain_ok")
 
 
 def append(spark, sf_dir):
     out = _drained(spark, sf_dir, "stream-append", lambda: sled.append_stream(
-        _replay(spark, sf_dir, "events", t.custody_events(spark, sf_dir))))
+        _replay(spark, sf_dir, "events", t.custody_events(spark, sf_dir), "id")))
     return out.select("case_id", F.col("order_no").alias("id"), "seq", "prev_hash", "entry_hash")
 
 
 def trials(spark, sf_dir):
     out = _drained(spark, sf_dir, "stream-trials", lambda: sent.trial_stream(
-        _replay(spark, sf_dir, "observations", pe.observations(spark, sf_dir))))
+        _replay(spark, sf_dir, "observations", pe.observations(spark, sf_dir), "arrival")))
     return out.groupBy("install_id").agg(F.max_by(F.struct("started_ms", "last_seen_ms", "active", "days_left"),
                                                   "last_seen_ms").alias("s")).select("install_id", "s.*")
 
@@ -60,8 +72,9 @@ def fresh(spark, sf_dir):
 
 
 def intake_judged(spark, sf_dir):
-    files = pev.containers(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("path"), "length", "content")
-    out = _drained(spark, sf_dir, "stream-intake", lambda: intake.judged(_replay(spark, sf_dir, "containers", files)))
+    files = pev.containers(spark, sf_dir).select("p_partkey", F.col("p_partkey").cast("string").alias("path"), "length", "content")
+    out = _drained(spark, sf_dir, "stream-intake", lambda: intake.judged(
+        _replay(spark, sf_dir, "containers", files, "p_partkey")))
     return out.select("path", F.coalesce("reason", F.lit("accepted")).alias("verdict"))
 
 
