@@ -11,9 +11,11 @@ from ..functions.canonical import line_hash_ok
 from ..functions.hashing import (GENESIS, ambiguous_material, concat_material, pipe_material,
                                  pipe_prefix, sha256_hex)
 from ..session import broadcast_if_small, spread, stage
+from .joins import skew_join
 from .ordered import BUCKET_ROWS, bucket_of, with_position
 
-SEGMENT_ROWS = 65_536
+SEGMENT_ROWS = 5_000_000      # rows of one case a task hashes in a row, streamed
+FOLD_ROWS = 100_000           # rows of one case folded as one array
 
 
 # ---- row checks -------------------------------------------------------------------------
@@ -235,7 +237,7 @@ def build_pipe(events: DataFrame, order: str = "id", segment_rows: int = SEGMENT
     return chain_rows(events, order, head, F.lit(""), segment_rows)
 
 
-def chain_fold(events: DataFrame, order: str = "id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def chain_fold(events: DataFrame, order: str = "id", segment_rows: int = FOLD_ROWS) -> DataFrame:
     """Tip hash and row count per case, folded in the JVM without materialising row hashes."""
     c = F.col
     head = pipe_prefix(c("ts"), c("operator"), c("action"), c("path"), c("sha256"))
@@ -316,8 +318,8 @@ def unique_violations(df: DataFrame, *key: str) -> DataFrame:
 
 def attach_case(ledger: DataFrame, cases: DataFrame) -> DataFrame:
     """Ledger rows with their case; rows without one are left to ``orphan_entries``."""
-    return ledger.join(cases, "case_pk", "inner")
+    return skew_join(ledger, cases, ["case_pk"], "inner")
 
 
 def orphan_entries(ledger: DataFrame, cases: DataFrame) -> DataFrame:
-    return ledger.join(cases.select("case_pk"), "case_pk", "left_anti")
+    return skew_join(ledger, cases.select("case_pk"), ["case_pk"], "left_anti")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import files as fx
 from ..functions.hashing import sha256_hex
+from ..session import spread
+from .joins import skew_join
 from .ordered import Running, bucket_of, prefix_scan, range_bucketed, with_position
 
 CASE_MAX_FILES = 5
@@ -71,7 +73,7 @@ def magic_counts(manifest: DataFrame) -> DataFrame:
 
 def new_only(inputs: DataFrame, sealed: DataFrame) -> DataFrame:
     """Inputs whose digest has not been sealed before."""
-    return inputs.join(sealed.select("sha256"), "sha256", "left_anti")
+    return skew_join(inputs, sealed.select("sha256").distinct(), ["sha256"], "left_anti")
 
 
 # ---- output names -----------------------------------------------------------------------
@@ -150,6 +152,6 @@ def assign_names(inputs: DataFrame, existing: DataFrame) -> DataFrame:
         "family", F.lit(1).alias("kind"), "path", "name")
     seeds = taken.select(family.alias("family"), F.lit(0).alias("kind"), F.lit("").alias("path"), "name").join(
         clash_families, "family", "left_semi")
-    walked = (rows.unionByName(seeds).repartition("family").sortWithinPartitions("family", "kind", "path")
+    walked = (spread(rows.unionByName(seeds), "family").sortWithinPartitions("family", "kind", "path")
               .mapInPandas(_family_names, "path string, name string, stem string"))
     return plain.unionByName(walked)

@@ -18,18 +18,19 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
     Hot keys are counted first (a map-side combined count over the key columns alone). Without
     any, this is the plain join. Otherwise only the right rows of hot keys are repeated, once
-    per salt. ``how`` may be inner, left, left_semi or left_anti.
+    per salt. ``how`` may be inner, left, left_semi or left_anti. The salt is a hash of the row
+    itself, so a recomputed task deals its rows out as before.
     """
     keys = list(keys)
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
     if hot.isEmpty():
         return left.join(right, keys, how)
     marks = broadcast_if_small(hot.withColumn("_hot", F.lit(True)))
-    rest = [c for c in left.columns if c not in keys] or keys
+    rest = [f.name for f in left.schema.fields
+            if f.name not in keys and f.dataType.typeName() not in ("map", "variant")] or keys
     spread = (left.join(marks, keys, "left")
-              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(F.to_json(F.struct(*rest)),
-                                                                          F.monotonically_increasing_id()),
-                                                                F.lit(salts))).otherwise(F.lit(0)))
+              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(salts)))
+                          .otherwise(F.lit(0)))
               .drop("_hot"))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = (right.join(marks, keys, "left").withColumn("_salt", F.explode(copies).cast("bigint")).drop("_hot"))

@@ -20,7 +20,7 @@ BUCKET_ROWS = 100_000
 
 def bucket_of(order: Column, rows: int = BUCKET_ROWS) -> Column:
     """Bucket number of a unique integer order column: at most ``rows`` rows share one."""
-    return F.floor(order / F.lit(rows))
+    return F.call_function("div", order.cast("bigint"), F.lit(rows))
 
 
 @dataclass(frozen=True)

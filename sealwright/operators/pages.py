@@ -213,7 +213,10 @@ def cap_blocks(blocks: DataFrame, limit: int = MAX_NODES) -> DataFrame:
 
 
 def widest_gap(blocks: DataFrame, axis: str = "x") -> DataFrame:
-    """Widest empty band of each page along an axis and where it ends; 0, 0 without one."""
+    """Widest empty band of each page along an axis and where it ends; 0, 0 without one.
+
+    Takes capped blocks (``cap_blocks``), as do the orders below: a page is one window.
+    """
     size = "w" if axis == "x" else "h"
     c = F.col
     spans = blocks.select("page_id", c(axis).alias("start"), (c(axis) + c(size)).alias("end"))

@@ -67,7 +67,7 @@ def derive_keys(salts: DataFrame, passphrases: DataFrame, domain: bytes,
             keys = [_stretch(p, bytes(s), domain, rounds) for p, s in zip(pdf["passphrase"], pdf["salt"])]
             yield pd.DataFrame({"salt": pdf["salt"], "passphrase_ref": pdf["passphrase_ref"], "key": keys})
 
-    return pairs.repartition(width).mapInPandas(run, "salt binary, passphrase_ref string, key binary")
+    return pairs.repartition(width, "salt").mapInPandas(run, "salt binary, passphrase_ref string, key binary")
 
 
 # ---- stretched layout -------------------------------------------------------------------

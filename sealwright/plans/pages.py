@@ -79,14 +79,16 @@ BLOCKS_SQL = """
 WITH blocks AS (
   SELECT l_orderkey AS page_id, l_partkey % 1000 AS x, l_suppkey * 13 % 1300 AS y, l_quantity::INTEGER AS w,
          l_linenumber * 3 AS h FROM lineitem),
-kept AS (SELECT *, w * h AS area FROM blocks WHERE w * h >= greatest(16, 1400 * 1100 // 200000)),
+kept AS (SELECT *, w * h AS area, row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, y, x, w, h) AS k
+         FROM blocks WHERE w * h >= greatest(16, 1400 * 1100 // 200000)),
+capped AS (SELECT * FROM kept WHERE k <= 5000),
 gaps AS (
   SELECT page_id, {axis} AS start, {axis} - max({axis} + {size}) OVER (
-    PARTITION BY page_id ORDER BY {axis}, {axis} + {size} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM blocks),
+    PARTITION BY page_id ORDER BY {axis}, {axis} + {size} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM capped),
 widest AS (
   SELECT page_id, CASE WHEN gap > 0 THEN gap ELSE 0 END AS gap, CASE WHEN gap > 0 THEN start ELSE 0 END AS cut FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN gap > 0 THEN gap ELSE 0 END DESC, start) AS k FROM gaps) WHERE k = 1),
-naive AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) - 1 AS "order" FROM blocks)
+naive AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) - 1 AS "order" FROM capped)
 """
 
 
@@ -259,13 +261,13 @@ QUERIES = {
     "page_regions_one_band": lambda s, d: pg.regions(spans(s, d)).drop("component"),
     "page_top_regions": lambda s, d: pg.top_regions(region_table(s, d), 3).drop("component"),
     "page_cap_blocks": lambda s, d: pg.cap_blocks(blocks(s, d), 3).select("page_id", "x", "y", "w", "h", "area"),
-    "page_widest_gap_x": lambda s, d: pg.widest_gap(blocks(s, d), "x"),
-    "page_widest_gap_y": lambda s, d: pg.widest_gap(blocks(s, d), "y"),
-    "page_naive_order": lambda s, d: pg.naive_order(blocks(s, d)).select("page_id", "order", "x", "y", "w", "h"),
-    "page_column_switches": lambda s, d: pg.column_switches(_with_columns(pg.naive_order(blocks(s, d)))),
+    "page_widest_gap_x": lambda s, d: pg.widest_gap(pg.cap_blocks(blocks(s, d)), "x"),
+    "page_widest_gap_y": lambda s, d: pg.widest_gap(pg.cap_blocks(blocks(s, d)), "y"),
+    "page_naive_order": lambda s, d: pg.naive_order(pg.cap_blocks(blocks(s, d))).select("page_id", "order", "x", "y", "w", "h"),
+    "page_column_switches": lambda s, d: pg.column_switches(_with_columns(pg.naive_order(pg.cap_blocks(blocks(s, d))))),
     "page_reading_order": lambda s, d: pg.reading_order(pg.cap_blocks(blocks(s, d)), "gutter_first", 9),
     "page_reading_order_widest": lambda s, d: pg.reading_order(pg.cap_blocks(blocks(s, d)), "widest", 9),
-    "page_shown_nodes": lambda s, d: pg.page_nodes(pg.naive_order(blocks(s, d)), 4).select("page_id", "order", "x", "y"),
+    "page_shown_nodes": lambda s, d: pg.page_nodes(pg.naive_order(pg.cap_blocks(blocks(s, d))), 4).select("page_id", "order", "x", "y"),
     "page_block_density": _density,
     "page_ink_f1": lambda s, d: pg.ink_f1(pixels(s, d).where("v >= 120"), pixels(s, d).where("v >= 140"), (1, 0, 8, 7)).select(
         "page_id", "both", "pred", "truth", F.round("f1", 9).alias("f1")),
@@ -309,8 +311,7 @@ SELECT page_id, count(*) FILTER (WHERE v >= 240) AS masked_pixels, count(*) AS t
 SELECT page_id, x, y, w, h, area, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, y, x, component) AS rank FROM regions) WHERE rank <= 3""",
     "page_cap_blocks": _sql() + """
-SELECT page_id, x, y, w, h, area FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, y, x, w, h) AS k FROM kept) WHERE k <= 3""",
+SELECT page_id, x, y, w, h, area FROM kept WHERE k <= 3""",
     "page_widest_gap_x": _sql("x") + "SELECT page_id, gap, cut FROM widest",
     "page_widest_gap_y": _sql("y") + "SELECT page_id, gap, cut FROM widest",
     "page_naive_order": _sql() + 'SELECT page_id, "order", x, y, w, h FROM naive',

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.canonical import body_prefix, body_suffix, canonical_line, json_string
-from ..operators.chains import chain_rows
+from ..operators.chains import SEGMENT_ROWS, chain_rows
 from ..operators.ordered import Running, prefix_scan, with_position
 from ..schemas import LEDGER_LINE, LEDGER_PIPE
 
@@ -36,7 +36,8 @@ def read_ledger_jsonl(spark: SparkSession, path: str, case_from: str = "partitio
     """JSONL ledger lines with their place in the file.
 
     Files are split as usual; nothing reads a whole file into one row. ``chunk`` is the split a
-    line came from and ``line_pos`` its order in the whole scan, so (chunk, line_pos) is file order.
+    line came from and ``line_pos`` its order in the whole scan, so (chunk, line_pos) is file order;
+    part files of one case follow their part number.
     The case is the ``case_id=`` folder, or the file itself with ``case_from="file"``.
     """
     reader = spark.read.option("lineSep", "\n")
@@ -47,7 +48,9 @@ def read_ledger_jsonl(spark: SparkSession, path: str, case_from: str = "partitio
     parsed = F.from_json("value", LEDGER_LINE)
     return lines.select(
         "case_id", F.col("value").alias("line"),
-        F.struct(F.col("_metadata.file_path").alias("file"),
+        F.struct(F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint"),
+                            F.lit(0)).alias("part"),
+                 F.col("_metadata.file_path").alias("file"),
                  F.col("_metadata.file_block_start").alias("start")).alias("chunk"),
         F.monotonically_increasing_id().alias("line_pos"),
         parsed.alias("entry")).select("case_id", "line", "chunk", "line_pos", "entry.*")
@@ -58,7 +61,7 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     return prefix_scan(lines, ["case_id"], "chunk", "line_pos", [Running("line_no", "count")])
 
 
-def append_jsonl(events: DataFrame, order: str, segment_rows: int = 65_536) -> DataFrame:
+def append_jsonl(events: DataFrame, order: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Sequence numbers and hashes for new ledgers.
 
     Needs case_id, event, ts and canonical ``data``; adds seq, prev and hash.

@@ -1,4 +1,18 @@
 import os
 import sys
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from sealwright.session import build_session
+    session = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
