@@ -89,13 +89,12 @@ def _family_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     family, taken, following = None, set(), {}
     for pdf in batches:
-        stems, keep = [], []
-        for fam, kind, name in zip(pdf["family"], pdf["kind"], pdf["name"]):
+        paths, names, stems = [], [], []
+        for fam, kind, path, name in zip(pdf["family"], pdf["kind"], pdf["path"], pdf["name"]):
             if fam != family:
                 family, taken, following = fam, set(), {}
             if kind == 0:
                 taken.add(name)
-                keep.append(False)
                 continue
             n = following.get(name, 0)
             stem = name if n == 0 else f"{name}-{n}"
@@ -104,10 +103,10 @@ def _family_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 stem = f"{name}-{n}"
             following[name] = n + 1
             taken.add(stem)
+            paths.append(path)
+            names.append(name)
             stems.append(stem)
-            keep.append(True)
-        out = pdf.loc[keep, ["path", "name"]]
-        yield out.assign(stem=stems)
+        yield pd.DataFrame({"path": paths, "name": names, "stem": stems}, dtype=object)
 
 
 def assign_names(inputs: DataFrame, existing: DataFrame) -> DataFrame:

@@ -32,6 +32,6 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
               .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(salts)))
                           .otherwise(F.lit(0)))
               .drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = (right.join(marks, keys, "left").withColumn("_salt", F.explode(copies).cast("bigint")).drop("_hot"))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")
+    repeated = (right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot"))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.reports import GLARE_LEVEL, SHADOW_LEVEL
 from ..session import spread, stage
+from .batches import borders, whole_groups
 from .components import connected_components
 from .joins import skew_join
 
@@ -120,7 +121,7 @@ def _touching_roots(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
-    rows = [0, *(np.flatnonzero(y[1:] != y[:-1]) + 1).tolist(), len(y)]
+    rows = borders(y).tolist()
     ys, lo, hi = y.tolist(), x0.tolist(), x1.tolist()
     for r in range(1, len(rows) - 1):
         i, i_end, j, j_end = rows[r - 1], rows[r], rows[r], rows[r + 1]
@@ -138,23 +139,12 @@ def _touching_roots(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray
 
 
 def _label_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds ``root`` (row offset of the run a region starts with) per (page, band)."""
-    held: pd.DataFrame | None = None
-
-    def labelled(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        y, x0, x1 = (pdf[k].to_numpy() for k in ("y", "x0", "x1"))
+    """Adds the first run of the region each run belongs to, per (page, band)."""
+    for cols in whole_groups(batches, ("page_id", "band", "y", "x0", "x1"), ("page_id", "band")):
+        y, x0, x1 = cols["y"], cols["x0"], cols["x1"]
+        edges = borders(cols["page_id"], cols["band"])
         first = np.concatenate([_touching_roots(y[a:b], x0[a:b], x1[a:b]) + a for a, b in zip(edges[:-1], edges[1:])])
-        return pdf.assign(root_y=y[first], root_x=x0[first])
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        ids, band = pdf["page_id"].to_numpy(), pdf["band"].to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (band[1:] != band[:-1])) + 1])
-        held = pdf.iloc[edges[-1]:]
-        if len(edges) > 1:
-            yield labelled(pdf.iloc[:edges[-1]], edges)
-    if held is not None and len(held):
-        yield labelled(held.reset_index(drop=True), np.array([0, len(held)]))
+        yield pd.DataFrame({**cols, "root_y": y[first], "root_x": x0[first]})
 
 
 def regions(spans: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -263,10 +253,9 @@ def cut_positions(page: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray,
     position of its first block; a cut keeps that position for the first side and adds the first
     side's size for the second.
     """
-    n = len(page)
-    place = np.concatenate([[0], np.flatnonzero(page[1:] != page[:-1]) + 1])
-    place = np.repeat(place, np.diff(np.append(place, n)))
-    open_rows = np.arange(n)
+    edges = borders(page)
+    place = np.repeat(edges[:-1], np.diff(edges))
+    open_rows = np.arange(len(page))
     while len(open_rows):
         starts, group, sizes = np.unique(place[open_rows], return_inverse=True, return_counts=True)
         keep = sizes[group] > 1
@@ -292,8 +281,8 @@ def cut_positions(page: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray,
         if len(done):
             at = place[done]
             order = np.argsort(at, kind="stable")
-            runs = np.concatenate([[0], np.flatnonzero(np.diff(at[order])) + 1])
-            place[done[order]] += np.arange(len(done)) - np.repeat(runs, np.diff(np.append(runs, len(done))))
+            runs = borders(at[order])
+            place[done[order]] += np.arange(len(done)) - np.repeat(runs[:-1], np.diff(runs))
         open_rows = open_rows[cut[group]]
     return place
 
@@ -305,25 +294,13 @@ def _order_pages(mode: str):
         place = cut_positions(*(cols[k] for k in names), mode)
         seq = np.argsort(place, kind="stable")
         ids = cols["page_id"][seq]
-        heads = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
-        rank = np.arange(len(seq)) - np.repeat(heads, np.diff(np.append(heads, len(seq))))
+        edges = borders(ids)
+        rank = np.arange(len(seq)) - np.repeat(edges[:-1], np.diff(edges))
         return pd.DataFrame({"page_id": ids, "order": rank, **{k: cols[k][seq] for k in ("x", "y", "w", "h")}})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] | None = None
-        for pdf in batches:
-            cols = {k: pdf[k].to_numpy() for k in names}
-            if held is not None:
-                cols = {k: np.concatenate([held[k], cols[k]]) for k in names}
-            ids = cols["page_id"]
-            changes = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            last = int(changes[-1]) if len(changes) else 0
-            # the last page may go on in the next batch
-            held = {k: cols[k][last:] for k in names}
-            if last:
-                yield ordered({k: cols[k][:last] for k in names})
-        if held is not None and len(held["page_id"]):
-            yield ordered(held)
+        for cols in whole_groups(batches, names, ["page_id"]):
+            yield ordered(cols)
     return run
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as fx
 from ..operators import chains, inventory as inv
+from ..session import settle
 from ..sources import evidence as src
 from . import tables as t
 
@@ -158,7 +159,7 @@ def _formats(spark, sf_dir):
 
 
 def _scan(spark, sf_dir):
-    files = src.scan_evidence(spark, sf_dir, exts=["PARQUET"], max_bytes=fx.LIMIT_ACQUIRE)
+    files = src.scan_evidence(settle(spark), sf_dir, exts=["PARQUET"], max_bytes=fx.LIMIT_ACQUIRE)
     return src.in_name_order(files.select("folder", "name", "length", F.sha2("content", 256).alias("sha256")))
 
 

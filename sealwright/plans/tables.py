@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chains
-from ..session import scratch_path, shared_root, stage
+from ..session import scratch_path, settle, shared_root, stage
 
 _staged: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build, partition_by=()) -> DataFrame:

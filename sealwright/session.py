@@ -11,13 +11,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _local_scratch: str | None = None
 
 
+# Results depend on these. A union that claims its children's partitioning (new in Spark 4.1) loses
+# it again when adaptive execution coalesces each child differently, and rows of one key then sit in
+# two partitions; so that claim is switched off.
+REQUIRED = {"spark.sql.session.timeZone": "UTC", "spark.sql.unionOutputPartitioning": "false"}
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Puts the required settings on a session built elsewhere."""
+    for key, value in REQUIRED.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "sealwright", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, RocksDB state)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **REQUIRED,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass":
@@ -73,8 +86,10 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: st
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partitioning at the session's full shuffle width, for stages whose cost is CPU rather
-    than bytes; adaptive execution would fold small ones into a single task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    than bytes; adaptive execution would fold small ones into a single task. The hash is written
+    out, so a partitioning the input already has never stands in for this one."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, F.xxhash64(*keys))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

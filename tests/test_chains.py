@@ -173,7 +173,7 @@ def test_jsonl_variants(spark, tmp_path, chunk):
 
 
 def test_golden_ledger(spark, tmp_path):
-    """Three published lines with escapes, a control character and small floats."""
+    """Three lines with escapes, a control character and small floats, and their head."""
     stored = [
         r'{"data":{"masked_fraction":0.012345,"source_name":"Übersicht – März.png","status":"repaired"},"event":"evidence_sealed","hash":"583d50edf1a05515db58871221054f581de1b88c56ae86a40d2964dc93cbe048","prev":"0000000000000000000000000000000000000000000000000000000000000000","seq":1,"ts":"2026-09-30T18:41:33+00:00"}',
         r'{"data":{"reason":"tiny 5e-05 \"quoted\"","source_name":"x\u0007y.jpg","source_sha256":null},"event":"rejected","hash":"61095f17b4cb5228c50b47caf1eb5d6e05c6df2e6e31c8d065e5373b2161016a","prev":"583d50edf1a05515db58871221054f581de1b88c56ae86a40d2964dc93cbe048","seq":2,"ts":"2026-09-30T18:41:33+00:00"}',
