@@ -92,6 +92,29 @@ naive AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h)
 """
 
 
+ORDER_SQL = """,
+cuts AS (
+  SELECT page_id, x, y, w, h, row_number() OVER () AS id, '' AS path FROM capped
+  UNION ALL
+  SELECT page_id, x, y, w, h, id, path || CASE WHEN (use_x AND x >= cx) OR (NOT use_x AND y >= cy) THEN '1' ELSE '0' END
+  FROM (
+    SELECT *, gx >= 9 {rule} AS use_x,
+           min(CASE WHEN bx = gx THEN x END) OVER grp AS cx, min(CASE WHEN by_ = gy THEN y END) OVER grp AS cy
+    FROM (
+      SELECT *, max(bx) OVER grp AS gx, max(by_) OVER grp AS gy
+      FROM (
+        SELECT *, greatest(0, coalesce(x - max(x + w) OVER (PARTITION BY page_id, path ORDER BY x, x + w
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS bx,
+               greatest(0, coalesce(y - max(y + h) OVER (PARTITION BY page_id, path ORDER BY y, y + h
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS by_
+        FROM cuts)
+      WINDOW grp AS (PARTITION BY page_id, path))
+    WINDOW grp AS (PARTITION BY page_id, path))
+  WHERE use_x OR gy > 0),
+placed AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(path) DESC) = 1)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY path, y, x, w, h) - 1 AS "order", x, y, w, h FROM placed"""
+
+
 def samples(spark, sf_dir):
     """Events as video samples: the page is the user, ten pixels, one frame per event type."""
     e = t.table(spark, sf_dir, "events")
@@ -318,6 +341,8 @@ SELECT page_id, x, y, w, h, area FROM kept WHERE k <= 3""",
     "page_column_switches": _sql() + """
 SELECT page_id, count(*) FILTER (WHERE moved) AS switches FROM (
   SELECT page_id, coalesce(lag(x // 500) OVER (PARTITION BY page_id ORDER BY "order") <> x // 500, false) AS moved FROM naive) GROUP BY page_id""",
+    "page_reading_order": _sql().replace("WITH", "WITH RECURSIVE", 1) + ORDER_SQL.replace("{rule}", ""),
+    "page_reading_order_widest": _sql().replace("WITH", "WITH RECURSIVE", 1) + ORDER_SQL.replace("{rule}", "AND gx >= gy"),
     "page_shown_nodes": _sql() + 'SELECT page_id, "order", x, y FROM naive WHERE "order" < 4',
     "page_block_density": PIXELS_SQL + """,
 boxes AS (SELECT DISTINCT page_id, x, y, w, h FROM regions),

@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _local_scratch: str | None = None
 
 
-# Results depend on these. A union that claims its children's partitioning (new in Spark 4.1) loses
-# it again when adaptive execution coalesces each child differently, and rows of one key then sit in
-# two partitions; so that claim is switched off.
-REQUIRED = {"spark.sql.session.timeZone": "UTC", "spark.sql.unionOutputPartitioning": "false"}
+# The operators count on these. A union that claims its children's partitioning (new in Spark 4.1)
+# loses it again when adaptive execution coalesces each child differently, and rows of one key then
+# sit in two partitions; so that claim is switched off. The group limit lets "largest 5000 per page"
+# be cut inside every task before the shuffle; by default only limits up to 1000 are.
+REQUIRED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.unionOutputPartitioning": "false",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+}
 
 
 def settle(spark: SparkSession) -> SparkSession:
@@ -64,6 +69,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/sealwright-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes every intermediate of this application. DataFrames built on them stop working."""
+    remove_path(spark, f"{shared_root(spark)}/sealwright-{spark.sparkContext.applicationId}")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate this library wrote."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
