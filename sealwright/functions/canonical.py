@@ -1,8 +1,8 @@
 """Canonical JSON lines of the JSONL ledger dialect.
 
 Canonical means sorted keys, no spaces and ASCII escapes. The envelope has fixed keys, so it
-is put together with ``concat``; Python is only entered for strings or lines that need real
-JSON escaping, as an Arrow UDF whose input is null for every other row.
+is put together with ``concat``. Python is only entered for whole JSON values that must be
+written again, as an Arrow UDF whose input is null for every other row.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, functions as F, types as T
 # The tail every canonical line ends with (keys are sorted).
 HASH_MEMBER = r',"hash":"[0-9a-f]{64}"(,"prev":"[0-9a-f]{64}","seq":\d+,"ts":"[^"]*"\})$'
 PLAIN_STRING = r"^[ !#-\[\]-~]*$"
+SHORT_ESCAPES = {"0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r",
+                 "0022": '\\"', "005C": "\\\\"}
 BODY_KEYS = ("seq", "ts", "event", "data", "prev")
 
 
@@ -23,11 +25,6 @@ def _dumps(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf(T.StringType())
-def _escape(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else _dumps(s))
-
-
 @F.pandas_udf(T.StringType())
 def _canonical_value(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else _dumps(json.loads(s)))
@@ -48,9 +45,19 @@ def _body_digest(lines: pd.Series) -> pd.Series:
 
 
 def json_string(col: Column) -> Column:
-    """A JSON string literal in ASCII."""
-    plain = col.rlike(PLAIN_STRING)
-    return F.when(plain, F.concat(F.lit('"'), col, F.lit('"'))).otherwise(_escape(F.when(~plain, col)))
+    """A JSON string literal in ASCII. Other strings than plain ones are taken apart into UTF-16
+    units, so characters beyond the basic plane become surrogate pairs as JSON has them."""
+    units = F.regexp_extract_all(F.hex(F.encode(col, "UTF-16BE")), F.lit("(.{4})"))
+
+    def written(unit):
+        out = F.when(unit.isin(*SHORT_ESCAPES), F.element_at(
+            F.create_map(*[F.lit(v) for pair in SHORT_ESCAPES.items() for v in pair]), unit))
+        plain_unit = unit.rlike("^00(?:[2-6].|7[0-9A-E])$")
+        return (out.when(plain_unit, F.decode(F.unhex(F.substring(unit, 3, 2)), "US-ASCII"))
+                .otherwise(F.concat(F.lit("\\u"), F.lower(unit))))
+    escaped = F.array_join(F.transform(units, written), "")
+    body = F.when(col.rlike(PLAIN_STRING), col).otherwise(escaped)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def canonical_json(text: Column) -> Column:

@@ -179,8 +179,9 @@ def _fold_batches(columns: Sequence[str]):
     return run
 
 
-def _segments(rows: DataFrame, order: str, segment_rows: int) -> tuple[DataFrame, int]:
-    longest = rows.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
+def _segments(rows: DataFrame, order: str, segment_rows: int,
+              sized_by: DataFrame | None = None) -> tuple[DataFrame, int]:
+    longest = (rows if sized_by is None else sized_by).groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
     rounds = max(1, -(-longest // segment_rows))
     if rounds == 1:
         return rows.withColumn("_pos", F.col(order)), 1
@@ -189,19 +190,20 @@ def _segments(rows: DataFrame, order: str, segment_rows: int) -> tuple[DataFrame
 
 
 def chain_rows(rows: DataFrame, order: str, head: Column, tail: Column,
-               segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+               segment_rows: int = SEGMENT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
     """Every row with its ``prev_hash`` and ``entry_hash = sha256(head ‖ prev ‖ tail)``.
 
     A hash chain is sequential within a case. Cases are therefore cut into segments: round k
     hashes segment k of every case that is that long and hands the tips to round k + 1, so no
     task ever walks more than ``segment_rows`` rows of a case and a lost executor repeats one
-    segment only. With no case above ``segment_rows`` rows there is a single round.
+    segment only. With no case above ``segment_rows`` rows there is a single round. Case sizes are
+    counted on ``sized_by`` where that is cheaper to read than ``rows``.
     """
     keep = [f for f in rows.schema.fields]
     names = [f.name for f in keep]
     out_schema = T.StructType(keep + [T.StructField("prev_hash", T.StringType()),
                                       T.StructField("entry_hash", T.StringType())])
-    placed, rounds = _segments(rows.withColumns({"_head": head, "_tail": tail}), order, segment_rows)
+    placed, rounds = _segments(rows.withColumns({"_head": head, "_tail": tail}), order, segment_rows, sized_by)
 
     def hashed(part: DataFrame, schema: T.StructType, columns) -> DataFrame:
         ordered = spread(part, "case_id").sortWithinPartitions("case_id", "_pos")

@@ -63,7 +63,7 @@ def spans(spark, sf_dir):
 
 
 def region_table(spark, sf_dir):
-    return t.once(spark, sf_dir, "regions", lambda: pg.regions(spans(spark, sf_dir), band_rows=4))
+    return t.once(spark, sf_dir, "regions", lambda: pg.regions(spans(spark, sf_dir)))
 
 
 def blocks(spark, sf_dir):
@@ -280,8 +280,8 @@ QUERIES = {
     "page_ink": lambda s, d: pg.ink_pixels(pixels(s, d)),
     "page_mask_spans": spans,
     "page_span_edges": lambda s, d: pg.span_edges(spans(s, d), tile=4),
-    "page_regions": lambda s, d: region_table(s, d).drop("component"),
-    "page_regions_one_band": lambda s, d: pg.regions(spans(s, d)).drop("component"),
+    "page_regions": lambda s, d: pg.regions(spans(s, d), band_rows=4).drop("component"),
+    "page_regions_one_band": lambda s, d: region_table(s, d).drop("component"),
     "page_top_regions": lambda s, d: pg.top_regions(region_table(s, d), 3).drop("component"),
     "page_cap_blocks": lambda s, d: pg.cap_blocks(blocks(s, d), 3).select("page_id", "x", "y", "w", "h", "area"),
     "page_widest_gap_x": lambda s, d: pg.widest_gap(pg.cap_blocks(blocks(s, d)), "x"),

@@ -10,6 +10,9 @@ from ..operators.ordered import Running, prefix_scan, with_position
 from ..schemas import LEDGER_LINE, LEDGER_PIPE
 
 
+FILE_ROWS = 200_000
+
+
 def read_ledger_pipe(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Relational ledger rows from parquet or CSV."""
     reader = spark.read.schema(LEDGER_PIPE)
@@ -37,7 +40,7 @@ def read_ledger_jsonl(spark: SparkSession, path: str, case_from: str = "partitio
 
     Files are split as usual; nothing reads a whole file into one row. ``chunk`` is the split a
     line came from and ``line_pos`` its order in the whole scan, so (chunk, line_pos) is file order;
-    part files of one case follow their part number.
+    files of one case follow their part number.
     The case is the ``case_id=`` folder, or the file itself with ``case_from="file"``.
     """
     reader = spark.read.option("lineSep", "\n")
@@ -48,7 +51,8 @@ def read_ledger_jsonl(spark: SparkSession, path: str, case_from: str = "partitio
     parsed = F.from_json("value", LEDGER_LINE)
     return lines.select(
         "case_id", F.col("value").alias("line"),
-        F.struct(F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint"),
+        F.struct(F.coalesce(F.regexp_extract("_metadata.file_path", r"/part=(\d+)/", 1).try_cast("bigint"),
+                            F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint"),
                             F.lit(0)).alias("part"),
                  F.col("_metadata.file_path").alias("file"),
                  F.col("_metadata.file_block_start").alias("start")).alias("chunk"),
@@ -69,7 +73,7 @@ def append_jsonl(events: DataFrame, order: str, segment_rows: int = SEGMENT_ROWS
     placed = with_position(events, ["case_id"], order, out="seq")
     named = placed.withColumns({"_event": json_string(F.col("event")), "_ts": json_string(F.col("ts"))})
     rows = chain_rows(named, "seq", body_prefix(F.col("data"), F.col("_event")),
-                      body_suffix(F.col("seq"), F.col("_ts")), segment_rows)
+                      body_suffix(F.col("seq"), F.col("_ts")), segment_rows, sized_by=events)
     return (rows.withColumnsRenamed({"prev_hash": "prev", "entry_hash": "hash"})
             .drop("_event", "_ts"))
 
@@ -81,11 +85,12 @@ def ledger_lines(rows: DataFrame) -> DataFrame:
         c("data"), json_string(c("event")), c("hash"), c("prev"), c("seq"), json_string(c("ts"))).alias("line"))
 
 
-def write_ledger_jsonl(rows: DataFrame, path: str, partitions: int | None = None) -> None:
-    """One folder of text files per case. Range partitioning keeps file names in ``seq`` order,
-    so a large case is spread over several files without losing its order. Never overwrites."""
-    lines = ledger_lines(rows)
-    ranged = (lines.repartitionByRange(partitions, "case_id", "seq") if partitions
-              else lines.repartitionByRange("case_id", "seq"))
-    (ranged.sortWithinPartitions("case_id", "seq").select("case_id", "line")
-     .write.mode("errorifexists").partitionBy("case_id").text(path))
+def write_ledger_jsonl(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Text files below ``case_id=…/part=…``, each with ``file_rows`` consecutive lines. Never overwrites.
+
+    The part is arithmetic on ``seq``, so one exchange places the rows, a large case is written by
+    many tasks, and no sampling pass computes the hashes a second time.
+    """
+    lines = ledger_lines(rows).withColumn("part", F.call_function("div", F.col("seq") - 1, F.lit(file_rows)))
+    (lines.repartition("case_id", "part").sortWithinPartitions("case_id", "part", "seq")
+     .select("case_id", "part", "line").write.mode("errorifexists").partitionBy("case_id", "part").text(path))

@@ -25,11 +25,10 @@ def read_manifest_rows(spark: SparkSession, path: str, schema: str) -> DataFrame
 def write_manifest(rows: DataFrame, path: str, fmt: str = "json") -> None:
     """Evidence rows, one folder per case, one record per line. Never overwrites.
 
-    Rows are range-partitioned by case and path first: a small case lands in one file, a large one
-    spreads over several, and no task holds more than a few open folders.
+    Rows are rebalanced by case first: adaptive execution puts small cases together and splits a
+    large one, so there are neither crumbs nor one giant task.
     """
-    order = ["case_id", *[c for c in ("relative_path", "path") if c in rows.columns][:1]]
-    rows.repartitionByRange(*order).write.mode("errorifexists").partitionBy("case_id").format(fmt).save(path)
+    rows.hint("rebalance", F.col("case_id")).write.mode("errorifexists").partitionBy("case_id").format(fmt).save(path)
 
 
 def append_new(rows: DataFrame, path: str, key: Sequence[str]) -> DataFrame:

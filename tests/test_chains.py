@@ -189,10 +189,21 @@ def test_written_lines_are_canonical(spark, tmp_path):
         [("c", i, f"ev é {i}" if i % 2 else "plain", canonical({"i": i}), "2026-01-01T00:00:00+00:00") for i in range(1, 40)],
         "case_id string, n bigint, event string, data string, ts string")
     path = str(tmp_path / "out")
-    src.write_ledger_jsonl(src.append_jsonl(events, "n", segment_rows=7), path, partitions=5)
+    src.write_ledger_jsonl(src.append_jsonl(events, "n", segment_rows=7), path, file_rows=4)
     got = chains.verify_chain(src.read_ledger_jsonl(spark, path), "jsonl").collect()
     assert [(r.case_id, r.entries, r.chain_ok) for r in got] == [("c", 39, True)]
     for r in src.read_ledger_jsonl(spark, path).collect():
         assert r.line == canonical(json.loads(r.line))
     with pytest.raises(Exception):
         src.write_ledger_jsonl(src.append_jsonl(events, "n"), path)
+
+
+def test_json_strings_like_python(spark):
+    from sealwright.functions.canonical import canonical_json, json_string
+    texts = ["plain", 'quo"te', "back\\slash", "tab\tnew\nline\r\f\b", "\u0000\u001f\u007f", "é中😀", "", "~ !#[]", "a/b"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    got = {r.i: r.j for r in df.select("i", json_string(F.col("s")).alias("j")).collect()}
+    assert [got[i] for i in range(len(texts))] == [json.dumps(s) for s in texts]
+    raw = '{"b": 1e-7, "a": {"z": 1.0, "y": "\u00e9"}, "c": [1, 2.5, null, true]}'
+    out = spark.createDataFrame([(raw,)], "s string").select(canonical_json(F.col("s")).alias("j")).first().j
+    assert out == canonical(json.loads(raw))
