@@ -144,6 +144,17 @@ def manifest_read(spark, sf_dir):
     return docs.select("case_id", F.explode("evidence").alias("e")).select("case_id", "e.relative_path", "e.size_bytes", "e.sha256")
 
 
+def manifest_append(spark, sf_dir):
+    """All manifest rows offered to a table that already holds most of them: what is refused."""
+    key = (spark.sparkContext.applicationId, sf_dir, "append")
+    rows = manifest(spark, sf_dir).withColumn("digit", F.substring("sha256", 1, 1))
+    if key not in _files:
+        path = t.scratch(spark, "manifest-table")
+        rows.where("digit > '5'").write.mode("errorifexists").parquet(path)
+        _files[key] = t.stage(msrc.append_new(rows, path, ["case_id", "relative_path"]), "refused")
+    return _files[key].select("case_id", "relative_path")
+
+
 def vault_listing(spark, sf_dir):
     o = t.table(spark, sf_dir, "orders")
     return o.select(
@@ -272,6 +283,7 @@ QUERIES = {
     "ledger_sealed_check": sealed_check,
     "ledger_manifest_digest": manifest_digest,
     "manifest_write_read": manifest_read,
+    "manifest_append_refused": manifest_append,
     "vault_listing": lambda s, d: src.list_vaults(vault_listing(s, d), "vault/F").select(
         "path", "size_bytes", F.date_format("modificationTime", "yyyy-MM-dd").alias("modified")),
     "vault_totals": lambda s, d: src.vault_totals(src.list_vaults(vault_listing(s, d), "vault/F")),
@@ -309,6 +321,7 @@ SELECT case_id, 'evidence-' || doc_id || '.arcr' AS vault, sha256 AS source_sha2
 SELECT 'case-' || o_orderkey AS case_id,
        sha256(o_orderstatus || ';' || o_orderpriority) = sha256('F;' || o_orderpriority) AS manifest_ok FROM orders""",
     "manifest_write_read": DOCS_SQL + "SELECT case_id, relative_path, size_bytes, sha256 FROM docs",
+    "manifest_append_refused": DOCS_SQL + "SELECT case_id, relative_path FROM docs WHERE digit > '5'",
     "vault_listing": LISTING_SQL + "SELECT path, size_bytes, strftime(o_orderdate, '%Y-%m-%d') AS modified FROM kept",
     "vault_totals": LISTING_SQL + "SELECT count(*) AS count, sum(size_bytes)::BIGINT AS total_bytes FROM kept",
     "vault_stretched_audit": DOCS_SQL + """

@@ -149,7 +149,18 @@ lines AS (
   FROM ev JOIN chain USING (case_id, seq))
 """
 
+def pipe_csv(spark, sf_dir):
+    """The ledger written as CSV and read back through the relational source."""
+    key = ("pipe-csv", spark.sparkContext.applicationId, sf_dir)
+    if key not in _files:
+        path = t.scratch(spark, "ledger-csv")
+        t.ledger(spark, sf_dir).drop("value").write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+        _files[key] = path
+    return src.read_ledger_pipe(spark, _files[key], "csv")
+
+
 QUERIES = {
+    "ledger_pipe_read": lambda s, d: chains.verify_chain(pipe_csv(s, d)).select("case_id", "entries", "chain_ok", "head"),
     "chain_build": lambda s, d: t.ledger(s, d).select("case_id", "id", "prev_hash", "entry_hash"),
     "chain_build_segmented": lambda s, d: chains.build_pipe(t.custody_events(s, d), segment_rows=25).select(
         "case_id", "id", "entry_hash"),
@@ -189,6 +200,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "ledger_pipe_read": "SELECT case_id, entries, chain_ok, head FROM (" + _verdict_sql("ledger") + ")",
     "chain_build": t.LEDGER_SQL + "SELECT case_id, id, prev_hash, entry_hash FROM ledger",
     "chain_build_segmented": t.LEDGER_SQL + "SELECT case_id, id, entry_hash FROM ledger",
     "chain_fold": t.LEDGER_SQL + """

@@ -13,7 +13,7 @@ from . import custody, entitlements as pe, evidence as pev, tables as t
 _done: dict = {}
 
 
-SEGMENTS = 4
+SEGMENTS = 2
 FILES = 8
 
 

@@ -16,7 +16,7 @@ FILE_ROWS = 200_000
 def read_ledger_pipe(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Relational ledger rows from parquet or CSV."""
     reader = spark.read.schema(LEDGER_PIPE)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    return reader.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
 def read_ledger_jdbc(spark: SparkSession, url: str, partitions: int, lower: int, upper: int,

@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.canonical import line_hash_ok
+from ..functions.canonical import body_prefix, json_string, line_hash_ok
 from ..functions.hashing import GENESIS, pipe_material, pipe_prefix, sha256_hex
 from .runtime import use_rocksdb
 
 VERDICT = "case_id string, seen bigint, valid_prefix bigint, chain_ok boolean, broken_at bigint, tip string, alert boolean"
-APPENDED = "case_id string, order_no bigint, seq bigint, prev_hash string, entry_hash string"
+APPENDED = "case_id string, order_no bigint, seq bigint, prev_hash string, entry_hash string, line string"
 
 
 def _joined(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
@@ -82,7 +82,8 @@ def latest_verdicts(verdicts: DataFrame) -> DataFrame:
 
 
 class ChainAppend(StatefulProcessor):
-    """State per case: last sequence number and tip."""
+    """State per case: last sequence number and tip. Rows carry the hash text before the previous
+    hash (``head``) and, in the JSONL dialect, the quoted time stamp that closes the entry."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("tip", "seq bigint, tip string")
@@ -90,26 +91,40 @@ class ChainAppend(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seq, tip = self.state.get() if self.state.exists() else (0, GENESIS)
         batch = _joined(rows, "order_no")
-        seqs, prevs, hashes = [], [], []
-        for head in batch["head"]:
-            prevs.append(tip)
-            tip = hashlib.sha256((head + tip).encode()).hexdigest()
+        seqs, prevs, hashes, lines = [], [], [], []
+        for head, stamp in zip(batch["head"], batch["stamp"]):
             seq += 1
+            prevs.append(tip)
             seqs.append(seq)
-            hashes.append(tip)
+            tail = f'","seq":{seq},"ts":{stamp}}}' if stamp else ""
+            digest = hashlib.sha256((head + tip + tail).encode()).hexdigest()
+            if stamp:
+                start = head.removesuffix(',"prev":"')
+                lines.append(f'{start},"hash":"{digest}","prev":"{tip}{tail}')
+            else:
+                lines.append(None)
+            hashes.append(digest)
+            tip = digest
         self.state.update((seq, tip))
         yield pd.DataFrame({"case_id": key[0], "order_no": batch["order_no"].to_numpy(), "seq": seqs,
-                            "prev_hash": prevs, "entry_hash": hashes})
+                            "prev_hash": prevs, "entry_hash": hashes, "line": pd.Series(lines, dtype=object)})
 
     def close(self) -> None:
         pass
 
 
-def append_stream(events: DataFrame, order: str = "id") -> DataFrame:
-    """Chains arriving events in the pipe dialect: sequence, previous hash and hash per event."""
+def append_stream(events: DataFrame, order: str = "id", dialect: str = "pipe") -> DataFrame:
+    """Chains arriving events: sequence, previous hash and hash per event, and in the JSONL dialect
+    the line to write. JSONL events need event, ts and canonical ``data``."""
     use_rocksdb(events.sparkSession)
     c = F.col
-    slim = events.select("case_id", c(order).alias("order_no"),
-                         pipe_prefix(c("ts"), c("operator"), c("action"), c("path"), c("sha256")).alias("head"))
+    if dialect == "pipe":
+        head = pipe_prefix(c("ts"), c("operator"), c("action"), c("path"), c("sha256"))
+        stamp = F.lit("")
+    elif dialect == "jsonl":
+        head, stamp = body_prefix(c("data"), json_string(c("event"))), json_string(c("ts"))
+    else:
+        raise ValueError(f"unknown dialect: {dialect}")
+    slim = events.select("case_id", c(order).alias("order_no"), head.alias("head"), stamp.alias("stamp"))
     return slim.groupBy("case_id").transformWithStateInPandas(
         statefulProcessor=ChainAppend(), outputStructType=APPENDED, outputMode="Append", timeMode="None")

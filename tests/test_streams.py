@@ -8,7 +8,7 @@ from sealwright.operators import entitlements as ent
 from sealwright.sources.checkout import read_checkout_events
 from sealwright.streaming import entitlements as sent, intake, ledgers as sled
 from sealwright.streaming.runtime import drain
-from test_chains import chain, edit
+from test_chains import canonical, chain, edit, lines
 from test_entitlements import DAY, S, T0, event, plans
 
 
@@ -46,6 +46,14 @@ def test_live_append_equals_batch_build(spark, tmp_path):
     assert [(r.seq, r.prev_hash, r.entry_hash) for r in out] == [(r[1], r[7], r[8]) for r in rows]
 
 
+def test_live_jsonl_lines(spark, tmp_path):
+    want = lines(5, lambda i: {"i": i, "name": "é"})
+    rows = [("c", e["seq"] * 10, "note", canonical(e["data"]), e["ts"]) for e in want]
+    stream = segments(spark, tmp_path, "in", [rows[:2], rows[2:]], "case_id string, id bigint, event string, data string, ts string")
+    out = spark.read.parquet(drain(sled.append_stream(stream, dialect="jsonl"), "j", str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert [r.line for r in out.orderBy("seq").collect()] == [canonical(e) for e in want]
+
+
 def test_trial_clock_across_batches(spark, tmp_path):
     schema = "install_id string, arrival bigint, observed_ms bigint"
     frames = [[("a", 1, T0), ("b", 2, T0)], [("a", 3, T0 + 200 * DAY)], [("a", 4, T0 + 10 * DAY), ("b", 5, T0 + DAY)]]
