@@ -207,3 +207,52 @@ def test_json_strings_like_python(spark):
     raw = '{"b": 1e-7, "a": {"z": 1.0, "y": "\u00e9"}, "c": [1, 2.5, null, true]}'
     out = spark.createDataFrame([(raw,)], "s string").select(canonical_json(F.col("s")).alias("j")).first().j
     assert out == canonical(json.loads(raw))
+
+
+def raw_lines(texts):
+    """Chained lines hashed over their raw text, canonical or not."""
+    out, prev = [], GENESIS
+    for i, data in enumerate(texts, 1):
+        head, tail = '{"data":' + data + ',"event":"e"', f',"prev":"{prev}","seq":{i},"ts":"t"}}'
+        prev = sha(head + tail)
+        out.append(f'{head},"hash":"{prev}"{tail}')
+    return out
+
+
+FLAT = ['{}', '{"a":1}', '{"a":-12,"b":"x y","c":null}', '{"a":0.5}', '{"a":0.0001}', '{"a":0.012345}', '{"a":12.25,"b":true}',
+        '{"a":0.0}', '{"B":1,"a":2}', '{"a":"1:2,3","b":"{"}', '{"a":[1]}', '{"a":1e-07}', '{"a":1234567.0}', '{"a":-0.25}', '{"":0}']
+LOOSE = ['{"a": 1}', '{"b":1,"a":2}', '{"a":1,"a":2}', '{"a":1.50}', '{"a":0.00001}', '{"a":"é"}', '{"a":-0}', '{"a":1.0e2}', '{"a":"\\u0041"}',
+         '{"a":{"c":1,"b":2}}', '{"a":0.0000}', '{"a":0.00010}']
+
+
+def test_only_canonical_text_verifies(spark, tmp_path):
+    files = {f"flat{i}": raw_lines(['{}', d]) for i, d in enumerate(FLAT)}
+    files |= {f"loose{i}": raw_lines(['{}', d]) for i, d in enumerate(LOOSE)}
+    got, _ = read(spark, tmp_path, files)
+
+    def expected(data):
+        return canonical(json.loads(data)) == data
+    assert all(expected(d) for d in FLAT) and not any(expected(d) for d in LOOSE)
+    assert {k: r.chain_ok for k, r in got.items()} == {k: k.startswith("flat") for k in files}
+
+
+def test_fast_check_agrees_with_python(spark):
+    import random
+    from sealwright.functions.canonical import surely_canonical
+    rng = random.Random(11)
+
+    def number():
+        text = rng.choice(["", "-"]) + str(rng.choice([0, 7, 10, 123456, 12345678])) + rng.choice(["", "."])
+        return text + "".join(rng.choice("0001259") for _ in range(rng.randint(0, 12))) if text.endswith(".") else text
+    rows = []
+    for i in range(3000):
+        keys = [rng.choice(["a", "b", "B", "ab", "a b", ""]) for _ in range(rng.randint(0, 3))]
+        vals = [rng.choice([number(), "true", "null", '"x"', '" : "', '"a,b"', "[1]", '"\\""']) for _ in keys]
+        data = "{" + ",".join(f'"{k}":{v}' for k, v in zip(keys, vals)) + "}"
+        rows.append((i, data, f'{{"data":{data},"event":"e","hash":"{"0" * 64}","prev":"{"1" * 64}","seq":3,"ts":"t"}}'))
+    df = spark.createDataFrame(rows, "i int, data string, line string")
+    sure = {r.i for r in df.where(surely_canonical(F.col("line"))).collect()}
+    assert len(sure) > 300
+    for i, data, _ in rows:
+        if i in sure:
+            assert canonical(json.loads(data)) == data, data
