@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import settle
-from . import decision_list, rule_ensemble
+from . import decision_list, rule_ensemble, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "rule")
 
 
+def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = rule_ensemble.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -25,6 +31,7 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_toxicity_cnn": op3_toxicity_cnn,
     "op4_rule_ensemble": op4_rule_ensemble,
 }
 
