@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import settle
-from . import decision_list, packing, pieces, rule_ensemble, toxicity
+from . import decision_list, extraction, packing, pieces, rule_ensemble, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,17 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_toxicity_cnn": op3_toxicity_cnn,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
+    "op10_extraction": op10_extraction,
 }
 
 #: None of the ten is expressible in plain SQL (learned models, digests, tokenizers); the tests hold them
