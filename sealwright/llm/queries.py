@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import settle
-from . import decision_list, extraction, packing, pieces, rule_ensemble, toxicity
+from . import decision_list, extraction, packing, pieces, rule_ensemble, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_toxicity_cnn": op3_toxicity_cnn,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op6_warc_index": op6_warc_index,
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
     "op10_extraction": op10_extraction,
