@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import decision_list, extraction, packing, pieces, rule_ensemble, toxicity, warc
+from . import decision_list, extraction, nndescent, packing, pieces, rule_ensemble, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_pages(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_toxicity_cnn": op3_toxicity_cnn,
     "op4_rule_ensemble": op4_rule_ensemble,
+    "op5_nn_descent": op5_nn_descent,
     "op6_warc_index": op6_warc_index,
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
