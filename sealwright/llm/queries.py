@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import decision_list, extraction, nndescent, packing, pieces, rule_ensemble, toxicity, warc
+from . import decision_list, extraction, lshforest, nndescent, packing, pieces, rule_ensemble, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "rule")
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"),
                                    _table(spark, sf_dir, "labels"))
@@ -52,6 +56,7 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lsh_forest": op2_lsh_forest,
     "op3_toxicity_cnn": op3_toxicity_cnn,
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_nn_descent": op5_nn_descent,

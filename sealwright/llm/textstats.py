@@ -7,6 +7,7 @@ bytes at ASCII white space gives exactly these words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -76,15 +77,16 @@ def measure(text: str | None) -> tuple:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and STATS of every row of ``docs``; other columns are not read."""
+    """``doc_id``, the MD5 of the text and STATS of every row of ``docs``; other columns are not read."""
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame([measure(t) for t in batch["text"]], columns=list(STATS))
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "text_md5", [md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in batch["text"]])
             yield out
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(
-        per_batch, f"doc_id bigint, {SCHEMA}")
+        per_batch, f"doc_id bigint, text_md5 string, {SCHEMA}")
 
 
 def fold(column: str = "doc_id", parts: int = 1):
