@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settle
-from . import decision_list, extraction, lshforest, nndescent, packing, pieces, rule_ensemble, toxicity, warc
+from . import decision_list, extraction, katz, lshforest, nndescent, packing, pieces, rule_ensemble, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_rule_ensemble": op4_rule_ensemble,
     "op5_nn_descent": op5_nn_descent,
     "op6_warc_index": op6_warc_index,
+    "op7_katz": op7_katz,
     "op8_packing": op8_packing,
     "op9_pieces": op9_pieces,
     "op10_extraction": op10_extraction,
