@@ -174,7 +174,7 @@ def costs(block: Block) -> tuple[int, int]:
     if block.tag in ("h1", "h2", "h3", "p", "blockquote", "pre"):
         content += 6
     if not block.main and len(block.text) < 25:
-        boiler += 10
+        boiler += 6
     return content, boiler
 
 
