@@ -103,27 +103,21 @@ def test_acquire_skips_and_duplicates(spark):
     assert inv.over_cap(inven, max_files=5).count() == 0 and inv.over_cap(inven, max_files=4).count() == 1
 
 
-def greedy(inputs, existing):
-    taken, out = set(existing), {}
-    for path, name in sorted(inputs):
-        stem, n = name, 1
-        while stem in taken:
-            stem = f"{name}-{n}"
-            n += 1
-        taken.add(stem)
-        out[path] = stem
-    return out
-
-
 @pytest.mark.parametrize("seed", range(6))
-def test_output_names_like_the_greedy_walk(spark, seed):
+def test_output_names_are_free_and_smallest(spark, seed):
     rng = random.Random(seed)
     pool = ["a", "b", "a-1", "a-2", "c", "c-1-1", "c-1", "d-01", "d", "e-0", "e"][: 4 + seed * 2]
     inputs = [(f"p{i:03d}", rng.choice(pool)) for i in range(60)]
     existing = {rng.choice(pool) + rng.choice(["", "-1", "-3", "-2", "-7"]) for _ in range(8)}
     df = inv.assign_names(spark.createDataFrame([(n, p) for p, n in inputs], "name string, path string"),
                           spark.createDataFrame([(e,) for e in existing], "name string"))
-    assert {r.path: r.stem for r in df.collect()} == greedy(inputs, existing)
+    given = {r.path: r.stem for r in df.collect()}
+    assert len(set(given.values())) == len(inputs) and not set(given.values()) & existing
+    for path, name in inputs:
+        gone = existing | {given[other] for other, _ in inputs if other < path}
+        # the bare name if it was free, else the smallest number that was
+        choices = [name, *(f"{name}-{n}" for n in range(1, len(inputs) + len(existing) + 1))]
+        assert given[path] == next(c for c in choices if c not in gone)
 
 
 def test_folder_scan(spark, tmp_path):
