@@ -23,12 +23,12 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..session import remove_path, scratch_path, stage
 
 NEIGHBOURS = 32  # of a node in the graph
-ORDERS = 4  # random orders of the first graph
-RUN = 96  # nodes compared with each other in the first graph
+ORDERS = 8  # random orders of the first graph
+RUN = 128  # nodes compared with each other in the first graph
 ROUNDS = 8  # of NN-descent at most
-SETTLED = 0.02  # share of edges that change in a round, below which the graph is done
-BEAM = 96  # nodes a query keeps
-STRIDE = 24  # nodes of a beam visited in a round
+SETTLED = 0.05  # share of edges that change in a round, below which the graph is done
+BEAM = 64  # nodes a query keeps
+STRIDE = 32  # nodes of a beam visited in a round
 HOPS = 40  # rounds of search at most
 ENTRIES = 32  # nodes a query begins from that is no node itself
 
@@ -118,7 +118,8 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 def _best(edges: DataFrame, neighbours: int) -> DataFrame:
     """The best ``neighbours`` of every node; an edge found again is not fresh if it was there before."""
-    once = edges.groupBy("u", "v").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+    # dealt by u once: both the grouping and the ranking find their rows together
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     order = Window.partitionBy("u").orderBy(F.desc("score"), "v")
     return once.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= neighbours).drop("_n")
 
@@ -129,7 +130,7 @@ def _meetings(graph: DataFrame, most: int, turn: int) -> DataFrame:
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
     order = Window.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("u", "v", F.lit(turn)))
     back = back.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
-    return graph.select("u", "v", "fresh").unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    return graph.select("u", "v", "fresh").unionByName(back)
 
 
 def _local_join(meetings: DataFrame, kind: str, dim: int, most: int) -> DataFrame:
@@ -163,7 +164,7 @@ def _local_join(meetings: DataFrame, kind: str, dim: int, most: int) -> DataFram
                 least = part["least"].to_numpy()[slot - at[0]]
                 s = np.matmul(x, x.transpose(0, 2, 1))
                 met = real[:, :, None] & real[:, None] & (fresh[:, :, None] | fresh[:, None])
-                s[~met | (v[:, :, None] == v[:, None])] = -np.inf
+                s[~met | (v[:, :, None] == v[:, None])] = -np.inf  # one that comes twice meets the others twice
                 s[s <= least[:, :, None]] = -np.inf
                 k = min(most, width)
                 best = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
@@ -220,7 +221,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, di
         return pd.Series(np.einsum("nd,nd->n", _matrix(a, kind, dim), _matrix(b, kind, dim)) if len(a) else [],
                          dtype=float)
 
-    links = stage(_both_ways(graph, NEIGHBOURS), "links")
+    links = _both_ways(graph, NEIGHBOURS).groupBy("u").agg(F.collect_list("v").alias("vs"))  # two lists of bounded length
+    links = stage(links, "links")
     asked = queries.withColumnRenamed("vec", "query_vec")
     entries = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node")
     inside = queries.join(nodes.select(F.col("node").alias("query")), "query", "left_semi").select(
@@ -238,14 +240,17 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, di
     for _ in range(hops):
         turn = beams.where(~F.col("seen")).withColumn("_n", F.row_number().over(best)).where(
             F.col("_n") <= stride).select("query", "node")
-        turn = stage(turn, "turn")
-        if turn.isEmpty():
+        if beams.where(~F.col("seen")).isEmpty():
             break
-        near = turn.join(links, F.col("node") == F.col("u")).select("query", F.col("v").alias("node")).distinct().join(
-            beams.select("query", "node"), ["query", "node"], "left_anti")
-        visited = beams.join(turn.withColumn("_now", F.lit(True)), ["query", "node"], "left").withColumn(
-            "seen", F.col("seen") | F.coalesce("_now", F.lit(False))).drop("_now")
-        both = visited.unionByName(scored(near).withColumn("seen", F.lit(False)))
+        near = turn.join(links, F.col("node") == F.col("u")).select("query", F.explode("vs").alias("node"))
+        # what is known, just visited or new is told apart by one grouping
+        known = beams.select("query", "node", "score", "seen").unionByName(
+            turn.select("query", "node", F.lit(None).cast("double").alias("score"), F.lit(True).alias("seen"))).unionByName(
+            near.select("query", "node", F.lit(None).cast("double").alias("score"), F.lit(False).alias("seen")))
+        merged = known.groupBy("query", "node").agg(F.max("score").alias("score"), F.max("seen").alias("seen"))
+        merged = stage(merged, "merged")
+        both = merged.where("score is not null").unionByName(
+            scored(merged.where("score is null").select("query", "node")).withColumn("seen", F.lit(False)))
         after = scratch_path(spark, "beams")
         beams = stage(both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= beam).drop("_n"),
                       "beams", path=after)
