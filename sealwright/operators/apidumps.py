@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import skew_join
 
 RUNS_LIMIT = 10
-BRANCHES_LIMIT = 30
 
 
 def _short(sha: str) -> Column:
@@ -81,27 +79,37 @@ def filter_api(kind: str, df: DataFrame, branch: str | None = None, status: str
 
 
 def run_detail(runs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Runs with their jobs and steps, one row per step; a run may have any number of jobs."""
+    """Runs with their jobs and steps, one row per step; a run may have any number of jobs, one without jobs
+    keeps a row of its own."""
     c = F.col
     steps = jobs.select("run_id", c("name").alias("job"), c("status").alias("job_status"),
                         c("conclusion").alias("job_conclusion"), F.posexplode_outer("steps").alias("step_no", "s")).select(
         c("run_id").alias("id"), "job", "job_status", "job_conclusion", "step_no", c("s.name").alias("step"),
         c("s.status").alias("step_status"), c("s.conclusion").alias("step_conclusion"))
-    return skew_join(steps, project_api("runs", runs), ["id"], "inner")
+    base = project_api("runs", runs)
+    return base.join(steps, "id").unionByName(_childless(base, steps, "id"), allowMissingColumns=True)
+
+
+def _childless(parents: DataFrame, children: DataFrame, *keys: str) -> DataFrame:
+    """Parents no child names. Children are counted down to their keys before the shuffle, so a parent with
+    very many of them weighs no more than others."""
+    return parents.join(children.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def pr_detail(pulls: DataFrame, reviews: DataFrame, checks: DataFrame) -> DataFrame:
-    """Pull requests with reviews (by number) and checks (by head commit), one row per item."""
+    """Pull requests with reviews (by number) and checks (by head commit), one row per item; a request without
+    either keeps a row of its own."""
     c = F.col
     base = pulls.select("number", "title", "state", c("user.login").alias("author"), c("head.sha").alias("head_sha"),
-                        "merged", "additions", "deletions", "changed_files")
+                        c("head.ref").alias("branch"), c("base.ref").alias("base"), "merged", "mergeable",
+                        _names("labels").alias("labels"), "additions", "deletions", "changed_files",
+                        c("html_url").alias("url"))
     seen = reviews.select("number", F.lit("review").alias("item"), c("user.login").alias("item_name"),
                           c("state").alias("item_state"), c("submitted_at").alias("item_at"))
-    by_number = skew_join(seen, base, ["number"], "inner")
     ran = checks.select("head_sha", F.lit("check").alias("item"), c("name").alias("item_name"),
                         F.coalesce("conclusion", "status").alias("item_state"), F.lit(None).cast("string").alias("item_at"))
-    by_head = skew_join(ran, base, ["head_sha"], "inner")
-    return by_number.unionByName(by_head)
+    alone = _childless(_childless(base, seen, "number"), ran, "head_sha")
+    return base.join(seen, "number").unionByName(base.join(ran, "head_sha")).unionByName(alone, allowMissingColumns=True)
 
 
 def pr_counts(pulls: DataFrame, reviews: DataFrame, checks: DataFrame) -> DataFrame:
@@ -119,11 +127,14 @@ def pr_counts(pulls: DataFrame, reviews: DataFrame, checks: DataFrame) -> DataFr
 
 
 def repo_languages(repos: DataFrame, languages: DataFrame) -> DataFrame:
-    """Repositories with bytes per language, one row per language."""
-    spread = languages.select("full_name", F.explode("languages").alias("language", "bytes"))
-    base = repos.select("full_name", "default_branch", F.col("stargazers_count").alias("stars"),
-                        F.col("open_issues_count").alias("open_issues"), "private")
-    return spread.join(base, "full_name", "inner")
+    """Repositories with bytes per language, one row per language; one without languages keeps a row of its own."""
+    c = F.col
+    spread = languages.select("full_name", F.explode_outer("languages").alias("language", "bytes"))
+    base = repos.select("full_name", "description", "default_branch", c("stargazers_count").alias("stars"),
+                        c("forks_count").alias("forks"), c("open_issues_count").alias("open_issues"), "private",
+                        c("created_at").alias("created"), c("pushed_at").alias("pushed"), "homepage",
+                        c("html_url").alias("url"))
+    return base.join(spread, "full_name", "left")
 
 
 def tree_vaults(tree: DataFrame, prefix: str = "", suffix: str = ".arcr") -> DataFrame:

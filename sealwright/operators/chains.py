@@ -179,8 +179,18 @@ def _fold_batches(columns: Sequence[str]):
     return run
 
 
+def _in_order(rows: DataFrame, order: str) -> DataFrame:
+    """Rows whose order and case can be chained, at every size alike: an order that is no integer is refused
+    now, a null order or case when its row is read."""
+    if not isinstance(rows.schema[order].dataType, T.IntegralType):
+        raise TypeError(f"a chain needs an integer order, {order} is {rows.schema[order].dataType.simpleString()}")
+    say = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"a chain row has no {c}")).cast(rows.schema[c].dataType))
+    return rows.withColumns({order: say(order), "case_id": say("case_id")})
+
+
 def _segments(rows: DataFrame, order: str, segment_rows: int,
               sized_by: DataFrame | None = None) -> tuple[DataFrame, int]:
+    rows = _in_order(rows, order)
     longest = (rows if sized_by is None else sized_by).groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
     rounds = max(1, -(-longest // segment_rows))
     if rounds == 1:

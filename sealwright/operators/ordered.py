@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -82,8 +83,10 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], bucket: str, order: str,
         else:
             value = F.last(col, ignorenulls=True).over(across)
         carried.append(value.alias(f"_c_{s.out}"))
-    carry = totals.select(*group, *carried)
-    joined = inner.join(carry, group, "inner")
+    carry = totals.select(*[F.col(k).alias(f"_k_{n}") for n, k in enumerate(group)], *carried)
+    # null keys and orders are keys of their own: their rows stay
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{n}")) for n, k in enumerate(group)])
+    joined = inner.join(carry, same, "left")
     outs = []
     for s in specs:
         here, before = F.col(f"_in_{s.out}"), F.col(f"_c_{s.out}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from ..session import spread, stage
 from .batches import borders, whole_groups
 from .components import connected_components
 from .joins import skew_join
+from .ordered import Running, bucket_of, prefix_scan, range_bucketed
 
 # Caps and sampling of the page engine.
 MAX_REGIONS = 50
@@ -22,6 +23,8 @@ MAX_FRAMES_READ = 900
 MAX_FRAMES_KEPT = 14
 MIN_FRAMES_USED = 3
 
+GROUP_ROWS = 200_000  # blocks one task orders in arrays
+
 
 # ---- pixel statistics -------------------------------------------------------------------
 
@@ -202,25 +205,33 @@ def cap_blocks(blocks: DataFrame, limit: int = MAX_NODES) -> DataFrame:
             .withColumn("rank", F.row_number().over(w)).where(c("rank") <= limit).drop("rank"))
 
 
-def widest_gap(blocks: DataFrame, axis: str = "x") -> DataFrame:
+def widest_gap(blocks: DataFrame, axis: str = "x", keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Widest empty band of each page along an axis and where it ends; 0, 0 without one.
 
-    Takes capped blocks (``cap_blocks``), as do the orders below: a page is one window.
+    A page may hold any number of blocks: its blocks are range-partitioned, and only one summary row for each
+    stretch is ordered per page.
     """
     size = "w" if axis == "x" else "h"
     c = F.col
-    spans = blocks.select("page_id", c(axis).alias("start"), (c(axis) + c(size)).alias("end"))
-    w = Window.partitionBy("page_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = spans.select("page_id", "start", (c("start") - F.max("end").over(w)).alias("gap"))
-    best = gaps.groupBy("page_id").agg(F.max(F.when(c("gap") > 0, F.struct(c("gap").alias("gap"), (-c("start")).alias("at")))).alias("best"))
-    return best.select("page_id", F.coalesce("best.gap", F.lit(0)).alias("gap"),
+    spans = blocks.select(*keys, c(axis).alias("start"), (c(axis) + c(size)).alias("end"))
+    placed = range_bucketed(spans, keys, ["start", "end"])
+    reached = prefix_scan(placed, keys, "_bucket", "_ord", [Running("_reach", "max", c("end"), inclusive=False)])
+    gaps = reached.select(*keys, "start", (c("start") - c("_reach")).alias("gap"))
+    best = gaps.groupBy(*keys).agg(F.max(F.when(c("gap") > 0, F.struct(c("gap").alias("gap"), (-c("start")).alias("at")))).alias("best"))
+    return best.select(*keys, F.coalesce("best.gap", F.lit(0)).alias("gap"),
                        F.coalesce(-c("best.at"), F.lit(0)).alias("cut"))
 
 
+def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds ``order``, the place of every row of a page from 0; a page may spread over many tasks."""
+    placed = range_bucketed(rows, ["page_id"], order)
+    counted = prefix_scan(placed, ["page_id"], "_bucket", "_ord", [Running("order", "count")])
+    return counted.withColumn("order", F.col("order") - 1).drop("_bucket", "_ord")
+
+
 def naive_order(blocks: DataFrame) -> DataFrame:
     """Plain top-to-bottom, left-to-right order from 0."""
-    w = Window.partitionBy("page_id").orderBy("y", "x", "w", "h")
-    return blocks.withColumn("order", F.row_number().over(w) - 1)
+    return _numbered(blocks, ["y", "x", "w", "h"])
 
 
 def _bands(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,29 +298,61 @@ def cut_positions(page: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray,
     return place
 
 
-def _order_pages(mode: str):
-    names = ("page_id", "x", "y", "w", "h", "min_col_gap")
+def _order_groups(mode: str):
+    names = ("page_id", "path", "x", "y", "w", "h", "min_col_gap")
 
     def ordered(cols: dict[str, np.ndarray]) -> pd.DataFrame:
-        place = cut_positions(*(cols[k] for k in names), mode)
-        seq = np.argsort(place, kind="stable")
-        ids = cols["page_id"][seq]
-        edges = borders(ids)
-        rank = np.arange(len(seq)) - np.repeat(edges[:-1], np.diff(edges))
-        return pd.DataFrame({"page_id": ids, "order": rank, **{k: cols[k][seq] for k in ("x", "y", "w", "h")}})
+        edges = borders(cols["page_id"], cols["path"])
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        place = cut_positions(group, *(cols[k] for k in names[2:]), mode)
+        return pd.DataFrame({**{k: cols[k] for k in names[:-1]}, "place": place - edges[:-1][group]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cols in whole_groups(batches, names, ["page_id"]):
+        for cols in whole_groups(batches, names, ["page_id", "path"]):
             yield ordered(cols)
     return run
 
 
-def reading_order(blocks: DataFrame, mode: str = "gutter_first", min_col_gap: int = 1) -> DataFrame:
+def _cut_large(rows: DataFrame, mode: str, group_rows: int, levels: int) -> tuple[DataFrame, bool]:
+    """Cuts groups of more than ``group_rows`` blocks over the cluster, one level per pass. ``path`` names the
+    side of every cut; ``whole`` marks groups without a gap, which are read by (y, x). The second value says
+    whether any page was cut."""
+    c = F.col
+    rows = rows.withColumns({"path": F.lit(""), "whole": F.lit(False)})
+    keys = ["page_id", "path"]
+    for level in range(levels):
+        large = rows.where(~c("whole")).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.max("min_col_gap").alias("_least")).where(c("_n") > group_rows)
+        large = stage(large, "large-groups")
+        if large.isEmpty():
+            return rows, level > 0
+        busy = rows.where(~c("whole")).join(large.select(*keys), keys, "left_semi")
+        gaps = large
+        for axis in ("x", "y"):
+            found = widest_gap(busy, axis, keys)
+            gaps = gaps.join(found.select(*keys, c("gap").alias(f"_g{axis}"), c("cut").alias(f"_c{axis}")), keys)
+        columns = (c("_gx") >= c("_least")) & (c("_gx") > 0)
+        if mode == "widest":
+            columns = columns & (c("_gx") >= c("_gy"))
+        gaps = gaps.withColumn("_columns", columns)
+        marked = rows.join(gaps.select(*keys, "_columns", "_cx", "_cy", (columns | (c("_gy") > 0)).alias("_cut")), keys, "left")
+        late = F.when(c("_columns"), c("x") >= c("_cx")).otherwise(c("y") >= c("_cy"))
+        rows = stage(marked.select(
+            "page_id", "x", "y", "w", "h", "min_col_gap",
+            F.when(c("_cut"), F.concat("path", F.when(late, "1").otherwise("0"))).otherwise(c("path")).alias("path"),
+            (c("whole") | (c("_cut").isNotNull() & ~c("_cut"))).alias("whole")), "cut-groups")
+    return rows, True
+
+
+def reading_order(blocks: DataFrame, mode: str = "gutter_first", min_col_gap: int = 1,
+                  group_rows: int = GROUP_ROWS, levels: int = 32) -> DataFrame:
     """Blocks of each page in XY-cut order.
 
-    ``gutter_first`` cuts at any gutter of ``min_col_gap`` before any row gap, ``widest`` at the
-    wider of the two. Where to cut depends on the cuts before, so a page is ordered by one task;
-    ``cap_blocks`` bounds a page. A ``min_col_gap`` column, when present, overrides the argument.
+    ``gutter_first`` cuts at any gutter of ``min_col_gap`` before any row gap, ``widest`` at the wider of the
+    two. Pages of more than ``group_rows`` blocks are first cut over the cluster, level by level, until their
+    groups are small (or ``levels`` are done); each group is then ordered by one task in arrays. The order does
+    not depend on where the one way hands over to the other. A ``min_col_gap`` column, when present, overrides
+    the argument.
     """
     if mode not in ("gutter_first", "widest"):
         raise ValueError(f"unknown mode: {mode}")
@@ -317,8 +360,16 @@ def reading_order(blocks: DataFrame, mode: str = "gutter_first", min_col_gap: in
         blocks = blocks.withColumn("min_col_gap", F.lit(min_col_gap))
     page_type = blocks.schema["page_id"].dataType.simpleString()
     slim = blocks.select("page_id", *[F.col(k).cast("bigint") for k in ("x", "y", "w", "h")], "min_col_gap")
-    return spread(slim, "page_id").sortWithinPartitions("page_id", "y", "x", "w", "h").mapInPandas(
-        _order_pages(mode), f"page_id {page_type}, `order` bigint, x bigint, y bigint, w bigint, h bigint")
+    rows, split = _cut_large(slim, mode, group_rows, levels)
+    small = rows.where(~F.col("whole")).select("page_id", "path", "x", "y", "w", "h", "min_col_gap")
+    schema = f"page_id {page_type}, path string, x bigint, y bigint, w bigint, h bigint, place bigint"
+    placed = spread(small, "page_id", "path").sortWithinPartitions("page_id", "path", "y", "x", "w", "h").mapInPandas(
+        _order_groups(mode), schema)
+    if not split:
+        return placed.select("page_id", F.col("place").alias("order"), "x", "y", "w", "h")
+    whole = rows.where("whole").select("page_id", "path", "x", "y", "w", "h", F.lit(0).cast("bigint").alias("place"))
+    every = _numbered(placed.unionByName(whole), ["path", "place", "y", "x", "w", "h"])
+    return every.select("page_id", "order", "x", "y", "w", "h")
 
 
 def page_nodes(ordered: DataFrame, shown: int = SHOWN_NODES) -> DataFrame:
@@ -328,9 +379,11 @@ def page_nodes(ordered: DataFrame, shown: int = SHOWN_NODES) -> DataFrame:
 
 def column_switches(ordered: DataFrame) -> DataFrame:
     """How often an order jumps between columns. Needs page_id, order and column."""
-    before = F.lag("column").over(Window.partitionBy("page_id").orderBy("order"))
-    flagged = ordered.select("page_id", F.coalesce(before != F.col("column"), F.lit(False)).alias("moved"))
-    return flagged.groupBy("page_id").agg(F.count_if("moved").alias("switches"))
+    c = F.col
+    bucketed = ordered.select("page_id", "order", F.struct("column").alias("_now")).withColumn("_bucket", bucket_of(c("order")))
+    seen = prefix_scan(bucketed, ["page_id"], "_bucket", "order", [Running("_before", "last", c("_now"), inclusive=False)])
+    moved = F.coalesce(c("_before.column") != c("_now.column"), F.lit(False))
+    return seen.groupBy("page_id").agg(F.count_if(moved).alias("switches"))
 
 
 def block_density(blocks: DataFrame, ink: DataFrame, tile: int = 64) -> DataFrame:

@@ -184,11 +184,10 @@ def _salted(spark, sf_dir):
 
 
 def _keys(spark, sf_dir):
-    def build():
-        refs = _salted(spark, sf_dir).select("passphrase_ref").distinct().withColumn(
-            "passphrase", F.concat("passphrase_ref", F.lit(" long enough to use")))
-        return vaults.derive_keys(_salted(spark, sf_dir), refs, DOMAIN)
-    return t.once(spark, sf_dir, "keys", build)
+    """Keys are derived within each plan and never written."""
+    refs = _salted(spark, sf_dir).select("passphrase_ref").distinct().withColumn(
+        "passphrase", F.concat("passphrase_ref", F.lit(" long enough to use")))
+    return vaults.derive_keys(_salted(spark, sf_dir), refs, DOMAIN)
 
 
 def stretched_blobs(spark, sf_dir):

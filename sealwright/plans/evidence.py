@@ -158,9 +158,22 @@ def _formats(spark, sf_dir):
         fx.magic_hint(c).alias("magic"))
 
 
+SCAN_LIMIT = 21  # bytes
+
+
 def _scan(spark, sf_dir):
-    files = src.scan_evidence(settle(spark), sf_dir, exts=["PARQUET"], max_bytes=fx.LIMIT_ACQUIRE)
-    return src.in_name_order(files.select("folder", "name", "length", F.sha2("content", 256).alias("sha256")))
+    """Text files, one per supplier in a folder of its own, listed with digests; files over the limit keep a row."""
+    def build():
+        path = t.scratch(spark, "scan-files")
+        t.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws("|", "s_name", "s_nationkey").alias("line")).write.mode(
+            "errorifexists").partitionBy("s_suppkey").text(path)
+        files = src.scan_evidence(settle(spark), path, exts=["TXT"])
+        named = F.regexp_extract("folder", "s_suppkey=([0-9]+)", 1).cast("bigint")
+        small = files.where(F.col("length") <= SCAN_LIMIT).select("path", F.sha2("content", 256).alias("sha256"))
+        return files.select("path", "folder", "name", "length").join(small, "path", "left").select(
+            named.alias("supplier"), "length", fx.size_verdict(F.col("length"), SCAN_LIMIT).alias("verdict"),
+            F.coalesce("sha256", F.lit("none")).alias("sha256"))
+    return t.once(spark, sf_dir, "scan", build)
 
 
 QUERIES = {
@@ -202,7 +215,7 @@ QUERIES = {
         "page_id", fx.claimed_extension(F.col("url")).alias("extension")),
     "evidence_safe_name": lambda s, d: t.table(s, d, "pages").select(
         "page_id", fx.safe_name(F.regexp_replace("url", "^https?://[^/]*/", "")).alias("safe"),
-        fx.safe_name(F.substring("html", 1, 200)).alias("from_html")),
+        fx.safe_name(F.col("html")).alias("from_html")),
     "evidence_blob_names": lambda s, d: t.table(s, d, "documents").select(
         "doc_id", fx.blob_name(F.sha2("text", 256)).alias("blob"),
         fx.exhibit_name(F.sha2("text", 256), F.lpad(F.hex("doc_id"), 6, "0")).alias("exhibit")),
@@ -268,9 +281,13 @@ SELECT root || '/' || rel AS path,
     "evidence_escapes_root": INVENTORY_SQL + "SELECT root || '/' || rel AS path, outside AS escapes FROM inventory",
     "evidence_extension": r"""
 SELECT page_id, lower(regexp_extract(regexp_extract(url, '[^/]*$'), '(?s)^.+\.([^.]*)$', 1)) AS extension FROM pages""",
+    "evidence_scan": f"""
+WITH f AS (SELECT s_suppkey AS supplier, s_name || '|' || s_nationkey || chr(10) AS body FROM supplier)
+SELECT supplier, octet_length(body::BLOB)::BIGINT AS length, CASE WHEN octet_length(body::BLOB) > {SCAN_LIMIT} THEN 'oversized' ELSE 'ok' END AS verdict,
+       CASE WHEN octet_length(body::BLOB) > {SCAN_LIMIT} THEN 'none' ELSE sha256(body) END AS sha256 FROM f""",
     "evidence_safe_name": r"""
 WITH b AS (SELECT page_id, regexp_extract(regexp_replace(url, '^https?://[^/]*/', ''), '[^/]*$') AS u,
-                  regexp_extract(substr(html, 1, 200), '(?s)[^/]*$') AS h FROM pages),
+                  regexp_extract(html, '(?s)[^/]*$') AS h FROM pages),
 c AS (SELECT page_id, trim(regexp_replace(u, '[^A-Za-z0-9._-]+', '_', 'g'), '._') AS u,
              trim(regexp_replace(h, '[^A-Za-z0-9._-]+', '_', 'g'), '._') AS h FROM b)
 SELECT page_id, CASE WHEN u = '' THEN 'evidence' ELSE substr(u, 1, 80) END AS safe,

@@ -129,7 +129,7 @@ def _dump_rows(spark, sf_dir, kind):
     if kind == "jobs":
         step = lambda name, bad: F.struct(F.lit(name).alias("name"), F.lit("completed").alias("status"),
                                           F.when(bad, "failure").otherwise("success").alias("conclusion"))
-        return t.table(spark, sf_dir, "conversations").select(
+        return t.table(spark, sf_dir, "conversations").where("conv_id % 6 <> 1").select(
             c("conv_id").alias("run_id"), F.concat_ws("-", "role", "turn").alias("name"), F.lit("completed").alias("status"),
             F.when(F.length("text") > 200, "failure").otherwise("success").alias("conclusion"),
             F.array(step("checkout", F.lit(False)), step("test", F.length("text") > 200)).alias("steps"))
@@ -155,13 +155,14 @@ def _dump_rows(spark, sf_dir, kind):
         return o.select(*common, F.struct(F.lit("work").alias("ref"), F.sha1(c("o_orderkey").cast("string")).alias("sha")).alias("head"),
                         F.struct(F.lit("main").alias("ref")).alias("base"), (c("o_orderstatus") == "P").alias("draft"),
                         _stamp("o_orderdate", 12).alias("updated_at"), (c("o_orderstatus") == "F").alias("merged"),
+                        (c("o_custkey") % 2 == 0).alias("mergeable"),
                         c("o_custkey").alias("additions"), F.lit(1).alias("deletions"), F.lit(2).alias("changed_files"))
     if kind == "reviews":
-        return t.table(spark, sf_dir, "lineitem").select(
+        return t.table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").select(
             c("l_orderkey").alias("number"), F.struct(F.concat(F.lit("r"), c("l_suppkey").cast("string")).alias("login")).alias("user"),
             F.when(c("l_returnflag") == "A", "APPROVED").otherwise("COMMENTED").alias("state"), _stamp("l_shipdate").alias("submitted_at"))
     if kind == "checks":
-        return t.table(spark, sf_dir, "lineitem").select(
+        return t.table(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").select(
             F.sha1(c("l_orderkey").cast("string")).alias("head_sha"), F.concat(F.lit("check "), c("l_linenumber").cast("string")).alias("name"),
             F.lit("completed").alias("status"), F.when(c("l_quantity") > 45, "failure").otherwise("success").alias("conclusion"))
     if kind == "branches":
@@ -169,10 +170,13 @@ def _dump_rows(spark, sf_dir, kind):
             c("s_name").alias("name"), F.struct(F.sha1("s_name").alias("sha")).alias("commit"), (c("s_acctbal") > 0).alias("protected"))
     if kind == "repos":
         return t.table(spark, sf_dir, "supplier").select(
-            c("s_name").alias("full_name"), F.lit("main").alias("default_branch"), c("s_nationkey").cast("bigint").alias("stargazers_count"),
+            c("s_name").alias("full_name"), F.concat(F.lit("parts of "), c("s_name")).alias("description"),
+            F.lit("main").alias("default_branch"), c("s_suppkey").cast("bigint").alias("forks_count"),
+            F.lit("2024-01-01").alias("created_at"), F.lit("2024-02-01").alias("pushed_at"), F.lit("h").alias("homepage"),
+            F.concat(F.lit("u/"), c("s_name")).alias("html_url"), c("s_nationkey").cast("bigint").alias("stargazers_count"),
             F.lit(0).cast("bigint").alias("open_issues_count"), (c("s_acctbal") < 0).alias("private"))
     if kind == "languages":
-        return t.table(spark, sf_dir, "supplier").select(
+        return t.table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(
             c("s_name").alias("full_name"), F.create_map(F.lit("Rust"), c("s_suppkey") * 10, F.lit("Python"), c("s_suppkey") + 1).alias("languages"))
     if kind == "tree":
         return t.table(spark, sf_dir, "orders").select(
@@ -212,7 +216,8 @@ QUERIES = {
     "repo_runs_latest": lambda s, d: api.project_api("runs", api.filter_api("runs", dump(s, d, "runs"), limit=api.RUNS_LIMIT)).select(
         "id", "status", "sha", "updated"),
     "repo_run_detail": lambda s, d: api.run_detail(dump(s, d, "runs"), dump(s, d, "jobs")).select(
-        "id", "branch", "job", "job_conclusion", "step_no", "step", "step_conclusion"),
+        "id", "branch", *[F.coalesce(k, F.lit("none")).alias(k) for k in ("job", "job_conclusion", "step", "step_conclusion")],
+        F.coalesce("step_no", F.lit(-1)).alias("step_no")),
     "repo_releases": lambda s, d: api.project_api("releases", api.filter_api("releases", dump(s, d, "releases"))).select(
         "tag", "name", "prerelease", "published", F.size("assets").alias("assets")),
     "repo_release_assets": lambda s, d: api.release_assets(api.filter_api("releases", dump(s, d, "releases"), include_drafts=True)).select(
@@ -225,9 +230,11 @@ QUERIES = {
         "number", "title", "author", F.coalesce("milestone", F.lit("none")).alias("milestone"), "created", _joined("labels").alias("labels")),
     "repo_branches": lambda s, d: api.project_api("branches", dump(s, d, "branches")),
     "repo_pull_items": lambda s, d: api.pr_detail(dump(s, d, "pulls"), dump(s, d, "reviews"), dump(s, d, "checks")).select(
-        "number", "author", "merged", "item", "item_name", "item_state", F.coalesce("item_at", F.lit("none")).alias("item_at")),
+        "number", "author", "branch", "base", "merged", "mergeable", _joined("labels").alias("labels"), "url",
+        *[F.coalesce(k, F.lit("none")).alias(k) for k in ("item", "item_name", "item_state", "item_at")]),
     "repo_pull_counts": lambda s, d: api.pr_counts(dump(s, d, "pulls"), dump(s, d, "reviews"), dump(s, d, "checks")),
-    "repo_languages": lambda s, d: api.repo_languages(dump(s, d, "repos"), dump(s, d, "languages")),
+    "repo_languages": lambda s, d: api.repo_languages(dump(s, d, "repos"), dump(s, d, "languages")).withColumns({
+        "language": F.coalesce("language", F.lit("none")), "bytes": F.coalesce("bytes", F.lit(0))}),
     "repo_tree_vaults": lambda s, d: api.tree_vaults(dump(s, d, "tree"), "vault/"),
 }
 
@@ -276,10 +283,14 @@ SELECT product_id, present, "column", a, coalesce(b, 'none') AS b FROM (
 SELECT id, name, status, branch, sha, updated FROM runs WHERE branch = 'main' AND (status = 'failure' OR conclusion = 'failure')""",
     "repo_runs_latest": _RUNS_SQL + "SELECT id, status, sha, updated FROM runs ORDER BY updated DESC, id LIMIT 10",
     "repo_run_detail": _RUNS_SQL + """
-SELECT r.id, branch, c.role || '-' || c.turn AS job, CASE WHEN length(c.text) > 200 THEN 'failure' ELSE 'success' END AS job_conclusion,
-       step_no, CASE step_no WHEN 0 THEN 'checkout' ELSE 'test' END AS step,
-       CASE WHEN step_no = 1 AND length(c.text) > 200 THEN 'failure' ELSE 'success' END AS step_conclusion
-FROM runs r JOIN conversations c ON c.conv_id = r.id, (SELECT unnest([0, 1]) AS step_no)""",
+SELECT r.id, branch, coalesce(c.role || '-' || c.turn, 'none') AS job,
+       CASE WHEN c.text IS NULL THEN 'none' WHEN length(c.text) > 200 THEN 'failure' ELSE 'success' END AS job_conclusion,
+       CASE WHEN c.text IS NULL THEN -1 ELSE step_no END AS step_no,
+       CASE WHEN c.text IS NULL THEN 'none' WHEN step_no = 0 THEN 'checkout' ELSE 'test' END AS step,
+       CASE WHEN c.text IS NULL THEN 'none' WHEN step_no = 1 AND length(c.text) > 200 THEN 'failure' ELSE 'success' END AS step_conclusion
+FROM runs r CROSS JOIN (SELECT unnest([0, 1]) AS step_no) s
+LEFT JOIN conversations c ON c.conv_id = r.id AND c.conv_id % 6 <> 1
+WHERE c.text IS NOT NULL OR step_no = 0""",
     "repo_releases": """
 SELECT 'v' || p_partkey AS tag, p_name AS name, p_size > 40 AS prerelease,
        '2024-02-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') AS published, 2 AS assets FROM part WHERE NOT p_size < 10""",
@@ -292,21 +303,30 @@ FROM part, (VALUES ('.zip', 3000000), ('.sha256', 0)) AS a(ext, mul)""",
 SELECT number, title, author, CASE WHEN o_custkey % 2 = 0 THEN 'm1' ELSE 'none' END AS milestone, created, labels
 FROM pulls WHERE state = 'open' AND labels = '1-URGENT' AND number % 4 <> 0""",
     "repo_branches": "SELECT s_name AS name, substr(sha1(s_name), 1, 7) AS sha, s_acctbal > 0 AS protected FROM supplier",
-    "repo_pull_items": _PULLS_SQL + """
-SELECT number, author, o_orderstatus = 'F' AS merged, 'review' AS item, 'r' || l_suppkey AS item_name,
-       CASE l_returnflag WHEN 'A' THEN 'APPROVED' ELSE 'COMMENTED' END AS item_state, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS item_at
-FROM pulls JOIN lineitem ON l_orderkey = number
-UNION ALL
-SELECT number, author, o_orderstatus = 'F', 'check', 'check ' || l_linenumber, CASE WHEN l_quantity > 45 THEN 'failure' ELSE 'success' END, 'none'
-FROM pulls JOIN lineitem ON l_orderkey = number""",
+    "repo_pull_items": _PULLS_SQL + """,
+items AS (
+  SELECT l_orderkey AS number, 'review' AS item, 'r' || l_suppkey AS item_name,
+         CASE l_returnflag WHEN 'A' THEN 'APPROVED' ELSE 'COMMENTED' END AS item_state,
+         strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS item_at FROM lineitem WHERE l_orderkey % 3 <> 0
+  UNION ALL
+  SELECT l_orderkey, 'check', 'check ' || l_linenumber, CASE WHEN l_quantity > 45 THEN 'failure' ELSE 'success' END, 'none'
+  FROM lineitem WHERE l_orderkey % 4 <> 0)
+SELECT p.number, author, 'work' AS branch, 'main' AS base, o_orderstatus = 'F' AS merged, o_custkey % 2 = 0 AS mergeable, labels,
+       'u' AS url, coalesce(item, 'none') AS item, coalesce(item_name, 'none') AS item_name,
+       coalesce(item_state, 'none') AS item_state, coalesce(item_at, 'none') AS item_at
+FROM pulls p LEFT JOIN items USING (number)""",
     "repo_pull_counts": _PULLS_SQL + """
-SELECT number, title, state, count(l_orderkey) AS reviews, count(*) FILTER (WHERE l_returnflag = 'A') AS approvals,
-       count(l_orderkey) AS checks, count(*) FILTER (WHERE l_quantity > 45) AS failed_checks
+SELECT number, title, state, count(l_orderkey) FILTER (WHERE number % 3 <> 0) AS reviews,
+       count(*) FILTER (WHERE l_returnflag = 'A' AND number % 3 <> 0) AS approvals,
+       count(l_orderkey) FILTER (WHERE number % 4 <> 0) AS checks,
+       count(*) FILTER (WHERE l_quantity > 45 AND number % 4 <> 0) AS failed_checks
 FROM pulls LEFT JOIN lineitem ON l_orderkey = number GROUP BY number, title, state""",
     "repo_languages": """
-SELECT s_name AS full_name, language, CASE language WHEN 'Rust' THEN s_suppkey * 10 ELSE s_suppkey + 1 END AS bytes,
-       'main' AS default_branch, s_nationkey AS stars, 0 AS open_issues, s_acctbal < 0 AS private
-FROM supplier, (SELECT unnest(['Rust', 'Python']) AS language)""",
+SELECT s_name AS full_name, 'parts of ' || s_name AS description, 'main' AS default_branch, s_nationkey AS stars,
+       s_suppkey AS forks, 0 AS open_issues, s_acctbal < 0 AS private, '2024-01-01' AS created, '2024-02-01' AS pushed,
+       'h' AS homepage, 'u/' || s_name AS url, coalesce(language, 'none') AS language,
+       CASE language WHEN 'Rust' THEN s_suppkey * 10 WHEN 'Python' THEN s_suppkey + 1 ELSE 0 END AS bytes
+FROM supplier LEFT JOIN (SELECT unnest(['Rust', 'Python']) AS language) ON s_suppkey % 5 <> 0""",
     "repo_tree_vaults": """
 SELECT CASE WHEN o_custkey % 2 = 0 THEN 'vault/' ELSE 'other/' END || o_orderkey || '.arcr' AS path, o_custkey AS size_bytes
 FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 2 = 0 AND o_orderpriority <> '5-LOW'""",

@@ -81,20 +81,19 @@ WITH blocks AS (
          l_linenumber * 3 AS h FROM lineitem),
 kept AS (SELECT *, w * h AS area, row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, y, x, w, h) AS k
          FROM blocks WHERE w * h >= greatest(16, 1400 * 1100 // 200000)),
-capped AS (SELECT * FROM kept WHERE k <= 5000),
 gaps AS (
   SELECT page_id, {axis} AS start, {axis} - max({axis} + {size}) OVER (
-    PARTITION BY page_id ORDER BY {axis}, {axis} + {size} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM capped),
+    PARTITION BY page_id ORDER BY {axis}, {axis} + {size} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM blocks),
 widest AS (
   SELECT page_id, CASE WHEN gap > 0 THEN gap ELSE 0 END AS gap, CASE WHEN gap > 0 THEN start ELSE 0 END AS cut FROM (
     SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN gap > 0 THEN gap ELSE 0 END DESC, start) AS k FROM gaps) WHERE k = 1),
-naive AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) - 1 AS "order" FROM capped)
+naive AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, w, h) - 1 AS "order" FROM blocks)
 """
 
 
 ORDER_SQL = """,
 cuts AS (
-  SELECT page_id, x, y, w, h, row_number() OVER () AS id, '' AS path FROM capped
+  SELECT page_id, x, y, w, h, row_number() OVER () AS id, '' AS path FROM blocks
   UNION ALL
   SELECT page_id, x, y, w, h, id, path || CASE WHEN (use_x AND x >= cx) OR (NOT use_x AND y >= cy) THEN '1' ELSE '0' END
   FROM (
@@ -284,13 +283,13 @@ QUERIES = {
     "page_regions_one_band": lambda s, d: region_table(s, d).drop("component"),
     "page_top_regions": lambda s, d: pg.top_regions(region_table(s, d), 3).drop("component"),
     "page_cap_blocks": lambda s, d: pg.cap_blocks(blocks(s, d), 3).select("page_id", "x", "y", "w", "h", "area"),
-    "page_widest_gap_x": lambda s, d: pg.widest_gap(pg.cap_blocks(blocks(s, d)), "x"),
-    "page_widest_gap_y": lambda s, d: pg.widest_gap(pg.cap_blocks(blocks(s, d)), "y"),
-    "page_naive_order": lambda s, d: pg.naive_order(pg.cap_blocks(blocks(s, d))).select("page_id", "order", "x", "y", "w", "h"),
-    "page_column_switches": lambda s, d: pg.column_switches(_with_columns(pg.naive_order(pg.cap_blocks(blocks(s, d))))),
-    "page_reading_order": lambda s, d: pg.reading_order(pg.cap_blocks(blocks(s, d)), "gutter_first", 9),
-    "page_reading_order_widest": lambda s, d: pg.reading_order(pg.cap_blocks(blocks(s, d)), "widest", 9),
-    "page_shown_nodes": lambda s, d: pg.page_nodes(pg.naive_order(pg.cap_blocks(blocks(s, d))), 4).select("page_id", "order", "x", "y"),
+    "page_widest_gap_x": lambda s, d: pg.widest_gap(blocks(s, d), "x"),
+    "page_widest_gap_y": lambda s, d: pg.widest_gap(blocks(s, d), "y"),
+    "page_naive_order": lambda s, d: pg.naive_order(blocks(s, d)).select("page_id", "order", "x", "y", "w", "h"),
+    "page_column_switches": lambda s, d: pg.column_switches(_with_columns(pg.naive_order(blocks(s, d)))),
+    "page_reading_order": lambda s, d: pg.reading_order(blocks(s, d), "gutter_first", 9),
+    "page_reading_order_widest": lambda s, d: pg.reading_order(blocks(s, d), "widest", 9),
+    "page_shown_nodes": lambda s, d: pg.page_nodes(pg.reading_order(blocks(s, d), "gutter_first", 9), 4).select("page_id", "order", "x", "y"),
     "page_block_density": _density,
     "page_ink_f1": lambda s, d: pg.ink_f1(pixels(s, d).where("v >= 120"), pixels(s, d).where("v >= 140"), (1, 0, 8, 7)).select(
         "page_id", "both", "pred", "truth", F.round("f1", 9).alias("f1")),
@@ -343,7 +342,8 @@ SELECT page_id, count(*) FILTER (WHERE moved) AS switches FROM (
   SELECT page_id, coalesce(lag(x // 500) OVER (PARTITION BY page_id ORDER BY "order") <> x // 500, false) AS moved FROM naive) GROUP BY page_id""",
     "page_reading_order": _sql().replace("WITH", "WITH RECURSIVE", 1) + ORDER_SQL.replace("{rule}", ""),
     "page_reading_order_widest": _sql().replace("WITH", "WITH RECURSIVE", 1) + ORDER_SQL.replace("{rule}", "AND gx >= gy"),
-    "page_shown_nodes": _sql() + 'SELECT page_id, "order", x, y FROM naive WHERE "order" < 4',
+    "page_shown_nodes": 'SELECT page_id, "order", x, y FROM (' + _sql().replace("WITH", "WITH RECURSIVE", 1) + ORDER_SQL.replace(
+        "{rule}", "") + ') WHERE "order" < 4',
     "page_block_density": PIXELS_SQL + """,
 boxes AS (SELECT DISTINCT page_id, x, y, w, h FROM regions),
 ink AS (SELECT page_id, y AS py, x AS px FROM pixels JOIN otsu USING (page_id) WHERE (v <= threshold) <> inverted)

@@ -51,13 +51,16 @@ def build_session(app: str = "sealwright", master: str | None = None, **conf: st
 def shared_root(spark: SparkSession) -> str:
     """The folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when that is unset (tests, a laptop)
-    is a folder on this machine used.
+    A cluster names it in ``spark.checkpoint.dir``. Only a ``local`` session without that setting (tests, a
+    laptop) uses a folder on this machine; elsewhere executors could not see each other's files there.
     """
     global _local_scratch
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _local_scratch is None or not os.path.isdir(_local_scratch):
         _local_scratch = tempfile.mkdtemp(prefix="spark-")
     return _local_scratch

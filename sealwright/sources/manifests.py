@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..schemas import MANIFEST
+from ..session import stage
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -32,8 +34,16 @@ def write_manifest(rows: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
-    """Appends only rows whose key is not in the table yet; returns the rows that were refused."""
-    existing = rows.sparkSession.read.parquet(path).select(*key).distinct()
-    refused = rows.join(existing, list(key), "left_semi")
-    rows.join(existing, list(key), "left_anti").write.mode("append").parquet(path)
-    return refused
+    """Appends only rows whose key is not in the table yet; returns the rows that were refused.
+
+    Of rows that share a key within ``rows`` the one with the smallest other values is taken and the others are
+    refused. The verdicts are written before the append, so that reading them later does not see its effect.
+    """
+    existing = rows.sparkSession.read.parquet(path).select(*[F.col(k).alias(f"_has_{k}") for k in key]).distinct()
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_has_{k}")) for k in key])
+    others = [c for c in rows.columns if c not in key]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*(others or key)))
+    judged = stage(rows.withColumn("_twin", number > 1).join(existing.withColumn("_known", F.lit(True)), match, "left").select(
+        *rows.columns, (F.col("_twin") | F.coalesce("_known", F.lit(False))).alias("_refused")), "judged")
+    judged.where("not _refused").drop("_refused").write.mode("append").parquet(path)
+    return judged.where("_refused").drop("_refused")
