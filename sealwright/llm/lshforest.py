@@ -7,9 +7,10 @@ classes share BASE hashes all of them are compared, where many do the prefix gro
 neighbours in the order are compared in any case. Candidates are checked by a bit sketch, then confirmed on the
 full sets; links join classes into components.
 
-Regions in which the prefix had to grow may hide a link between classes that part further down in every tree.
-They are gone through once more in blocks: only pairs of classes that are not connected yet are looked at, so a
-dense group that is already one component costs nothing.
+Only a spanning forest of the pairs a tree finds likely is confirmed at first, and regions in which the prefix had
+to grow may hide a link between classes that part further down in every tree. Both are gone through once more in
+blocks: only pairs of classes that are not connected yet are looked at, so a dense group that is already one
+component costs nothing.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _ROLL = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                     0xA0761D6478BD642F)]
 
-SKETCHED = "doc_id bigint, n_shingles bigint, digest binary, hashes binary"
+BUCKETS = 128  # into which a set's hashes are counted
+
+SKETCHED = "doc_id bigint, n_shingles bigint, digest binary, hashes binary, counts binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,6 +99,12 @@ def minima(sets: list[np.ndarray], count: int = TREES * DEPTH) -> np.ndarray:
     return out
 
 
+def bucket_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each bucket, modulo 16, two buckets to a byte."""
+    n = np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=BUCKETS) & 15
+    return (n[::2] | n[1::2] << 4).astype(np.uint8).tobytes()
+
+
 def with_hashes(docs: DataFrame) -> DataFrame:
     """SKETCHED for every row: size and digest of its set, and its minimum hashes (null for empty sets)."""
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +120,8 @@ def with_hashes(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                    "hashes": [next(found).astype(">u2").tobytes() if len(s) else None for s in sets]})
+                    "hashes": [next(found).astype(">u2").tobytes() if len(s) else None for s in sets],
+                    "counts": [bucket_counts(s) if len(s) else None for s in sets]})
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(per_task, SKETCHED)
 
@@ -123,15 +133,47 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(both).sum(-1, dtype=np.int64) / (a.shape[-1] * 32)
 
 
+def _least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of how many hashes only one of two sets has: the buckets' differences, modulo 16."""
+    out = 0
+    for shift in (0, 4):
+        d = (a >> shift & 15).astype(np.int16) - (b >> shift & 15)
+        d = np.abs(d)
+        out = out + np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
+    return out
+
+
 def likely(sketch_a: np.ndarray, n_a: np.ndarray, sketch_b: np.ndarray, n_b: np.ndarray,
            similar: int = SIMILAR) -> np.ndarray:
-    """Pairs whose sizes allow the similarity and whose sketches do not speak against it."""
+    """Pairs that sizes and bucket counts allow to be similar (certain bounds) and whose minimum hashes do not
+    speak against it (within SIGMA). Sketches are rows of bytes: two-bit fields, then bucket counts."""
+    fields = sketch_a.shape[-1] - BUCKETS // 2
+    sizes = 100 * np.minimum(n_a, n_b) >= similar * np.maximum(n_a, n_b)
+    apart = _least_difference(sketch_a[..., fields:], sketch_b[..., fields:])
+    sizes = sizes & (100 * (n_a + n_b - apart) >= similar * (n_a + n_b + apart))
     j = similar / 100
     p = j + (1 - j) / 4
-    fields = sketch_a.shape[-1] * 32
-    least = p - SIGMA * (p * (1 - p) / fields) ** 0.5
-    sizes = 100 * np.minimum(n_a, n_b) >= similar * np.maximum(n_a, n_b)
-    return sizes & (_agree(sketch_a, sketch_b) >= least)
+    least = p - SIGMA * (p * (1 - p) / (4 * fields)) ** 0.5
+    two = [np.ascontiguousarray(x[..., :fields]).view(np.uint64) for x in (sketch_a, sketch_b)]
+    return sizes & (_agree(*two) >= least)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in their order, join what no pair before has joined."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out[k] = True
+    return out
 
 
 def regions(lcp: np.ndarray, base: int = BASE, depth: int = DEPTH, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +201,16 @@ def regions(lcp: np.ndarray, base: int = BASE, depth: int = DEPTH, few: int = FE
 
 
 def _rows_of(sketches) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
 
 
 def forest(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, similar: int = SIMILAR) -> DataFrame:
-    """Candidates and crowded rows of all trees: (a, b, region, n, sketch); candidates have no region, crowded
-    rows have a = b and the base prefix as their region."""
+    """Candidates of all trees, and rows to look at again: (a, b, region, n, sketch).
+
+    Candidates have no region. Of the pairs a tree finds likely only a spanning forest is put forward, so a group
+    of many near copies costs a few pairs for each of them. Rows of a pair left out, and crowded rows, come again
+    with a = b and the base prefix as their region.
+    """
     def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -172,7 +218,7 @@ def forest(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, similar:
             h = np.frombuffer(b"".join(batch["hashes"]), ">u2").reshape(len(batch), trees * depth)
             two = (h & 3).astype(np.uint64).reshape(len(batch), -1, 32)
             sketch = (two << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64)
-            sketches = [s.tobytes() for s in sketch]
+            sketches = [s.tobytes() + c for s, c in zip(sketch, batch["counts"])]
             for t in range(trees):
                 keys = h[:, t * depth:(t + 1) * depth]
                 yield pd.DataFrame({"tree": t, "key": [k.tobytes() for k in keys], "doc_id": batch["doc_id"],
@@ -186,7 +232,7 @@ def forest(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, similar:
             same = np.cumprod(key[1:] == key[:-1], axis=1).sum(1)
             lcp = np.append(0, np.where(tree[1:] == tree[:-1], same, 0))
             region, crowded = regions(lcp, depth=depth)
-            found_a, found_b = [], []
+            low, high = [], []
             for gap in range(1, len(rows)):
                 meet = region[gap:] == region[:-gap]
                 if gap <= NEAR:
@@ -197,14 +243,19 @@ def forest(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, similar:
                 elif not meet.any():
                     break
                 i = np.flatnonzero(meet)
-                ok = likely(sketch[i], n[i], sketch[i + gap], n[i + gap], similar) & (ids[i] != ids[i + gap])
-                found_a.append(np.minimum(ids[i], ids[i + gap])[ok])
-                found_b.append(np.maximum(ids[i], ids[i + gap])[ok])
-            a = np.concatenate([*found_a, ids[:0]])
-            b = np.concatenate([*found_b, ids[:0]])
-            pairs = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-            pairs["region"], pairs["n"], pairs["sketch"] = None, 0, None
-            full = rows[crowded]
+                i = i[ids[i] != ids[i + gap]]
+                for k in range(0, len(i), 100_000):
+                    part = i[k:k + 100_000]
+                    part = part[likely(sketch[part], n[part], sketch[part + gap], n[part + gap], similar)]
+                    low.append(part)
+                    high.append(part + gap)
+            low, high = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (low, high))
+            first = spanning(ids[low], ids[high])
+            again = crowded.copy()
+            again[low[~first]] = again[high[~first]] = True
+            x, y = ids[low[first]], ids[high[first]]
+            pairs = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "region": None, "n": 0, "sketch": None})
+            full = rows[again]
             crowd = pd.DataFrame({
                 "a": full["doc_id"], "b": full["doc_id"],
                 "region": [bytes([t]) + k[:2 * BASE] for t, k in zip(full["tree"], full["key"])],
@@ -265,10 +316,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFr
 
 
 def second_look(crowd: DataFrame, component: DataFrame, similar: int = SIMILAR, block: int = BLOCK) -> DataFrame:
-    """Candidates among crowded regions that are not in one component yet. Rows are sorted by component and cut
+    """Candidates of regions with more than one component, between these. Rows are sorted by component and cut
     into blocks; blocks of one and the same component are not compared with each other."""
-    rows = crowd.select("region", F.col("a").alias("doc_id"), "n", "sketch").dropDuplicates(["region", "doc_id"]).join(
-        component, "doc_id")
+    named = crowd.select("region", F.col("a").alias("doc_id"), "n", "sketch").join(component, "doc_id")
+    mixed = named.groupBy("region").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
+        "_low < _high").select("region")
+    rows = named.join(mixed, "region", "left_semi").dropDuplicates(["region", "doc_id"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,7 +352,7 @@ def second_look(crowd: DataFrame, component: DataFrame, similar: int = SIMILAR,
             for r in batch.itertuples(index=False):
                 ids, n, comp = ([np.frombuffer(getattr(r, f"{c}_{s}"), np.int64) for s in "xy"]
                                 for c in ("ids", "sizes", "components"))
-                sk = [np.frombuffer(getattr(r, f"sketches_{s}"), np.uint64).reshape(len(i), -1)
+                sk = [np.frombuffer(getattr(r, f"sketches_{s}"), np.uint8).reshape(len(i), -1)
                       for s, i in zip("xy", ids)]
                 for k in range(len(ids[0])):
                     apart = np.flatnonzero(comp[1] != comp[0][k])
@@ -322,7 +375,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     known = hashed.where("digest is not null and doc_id is not null")
     heads = stage(known.groupBy("digest").agg(F.min("doc_id").alias("head")), "heads")
     classes = stage(known.join(heads, (F.col("doc_id") == F.col("head")) & (known["digest"] == heads["digest"]),
-                               "left_semi").select("doc_id", "n_shingles", "hashes").dropDuplicates(), "classes")
+                               "left_semi").select("doc_id", "n_shingles", "hashes", "counts").dropDuplicates(), "classes")
     planted = stage(forest(classes, similar=similar), "forest")
     pairs = stage(planted.where("region is null").select("a", "b").distinct(), "candidates")
     links = confirm(pairs, docs, similar)

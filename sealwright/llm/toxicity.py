@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .textstats import fold, label_sample
 
 #: Labelled documents fetched of each class, at most about; documents over LEARN_BYTES are not learned from.
-LEARN_PER_CLASS = 6_000
+LEARN_PER_CLASS = 4_000
 LEARN_BYTES = 40_000
 THRESHOLD = 0.7
 
