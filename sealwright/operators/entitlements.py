@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import licences as fx
 from ..session import broadcast_if_small
@@ -42,7 +42,7 @@ def _chosen(joined: DataFrame, product: str) -> DataFrame:
             .select("*", "_chosen.plan", "_chosen.seats", "_chosen.months").drop("linked", "_chosen"))
 
 
-def licence_columns(sessions: DataFrame, product: str) -> DataFrame:
+def licence_columns(sessions: DataFrame, product: str, *more: Column) -> DataFrame:
     """Licence payloads of planned sessions. The id is taken from the session digest, so a rerun
     of a lost task issues the same one."""
     c = F.col
@@ -55,7 +55,7 @@ def licence_columns(sessions: DataFrame, product: str) -> DataFrame:
         F.coalesce(filled(c("plan")), F.lit("pro")).alias("plan"),
         F.coalesce(filled(c("customer_details.email")), c("customer_email"), F.lit("")).alias("email"),
         F.coalesce(c("customer_details.name"), F.lit("")).alias("name"), seats.alias("seats"), issued.alias("issued"),
-        fx.licence_expiry(issued, c("months"), c("mode")).alias("expires"), c("session_id").alias("order"))
+        fx.licence_expiry(issued, c("months"), c("mode")).alias("expires"), c("session_id").alias("order"), *more)
 
 
 def build_licenses(events: DataFrame, plans: DataFrame, product: str) -> DataFrame:

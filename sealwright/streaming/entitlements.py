@@ -13,16 +13,45 @@ from ..functions.licences import trial_active, trial_days_left
 from ..operators.entitlements import licence_columns, paid_sessions, with_plan
 from .runtime import use_rocksdb
 
-# How long an issued session is remembered.
-REMEMBERED = "90 days"
+# How long an issued session is remembered, in days.
+REMEMBERED_DAYS = 90
 
 
-def issue_licenses(events: DataFrame, plans: DataFrame, product: str, remembered: str = REMEMBERED) -> DataFrame:
-    """One licence per paid session. Unpaid events are dropped before the duplicate check, so a
-    later payment of the same session still issues."""
+class FirstPayment(StatefulProcessor):
+    """Passes on the earliest row of a session once; remembers the session for a while of processing time."""
+
+    def __init__(self, remembered_days: int) -> None:
+        self.ttl = remembered_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.issued = handle.getValueState("issued", "done boolean", self.ttl)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            top = pdf.sort_values(["recv_order", "type_order"], kind="stable").iloc[[0]]
+            if first is None or (top["recv_order"].iloc[0], top["type_order"].iloc[0]) < (first["recv_order"].iloc[0], first["type_order"].iloc[0]):
+                first = top
+        if first is not None and not self.issued.exists():
+            self.issued.update((True,))
+            yield first.drop(columns=["recv_order", "type_order"])
+
+    def close(self) -> None:
+        pass
+
+
+def issue_licenses(events: DataFrame, plans: DataFrame, product: str, remembered_days: int = REMEMBERED_DAYS) -> DataFrame:
+    """One licence per paid session, however late its event comes; of the events of one micro-batch the earliest
+    decides. Unpaid events are dropped before, so a later payment of the same session still issues. A session is
+    remembered for ``remembered_days`` after it was issued, by the clock of the machine and not of the events."""
+    use_rocksdb(events.sparkSession)
     planned = with_plan(paid_sessions(events), plans, product)
-    unique = planned.withWatermark("recv_ts", remembered).dropDuplicatesWithinWatermark(["session_id"])
-    return licence_columns(unique, product)
+    rows = licence_columns(planned, product, F.unix_micros("recv_ts").alias("recv_order"), F.col("type").alias("type_order"))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("recv_order", "type_order"))
+    return rows.groupBy("order").transformWithStateInPandas(
+        statefulProcessor=FirstPayment(remembered_days), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
 
 
 class TrialClock(StatefulProcessor):

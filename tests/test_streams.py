@@ -73,6 +73,16 @@ def test_retries_issue_one_licence(spark, tmp_path):
     assert sorted(r.order for r in spark.read.parquet(path).collect()) == [S + "1", S + "2"]
 
 
+def test_late_sessions_get_their_licence(spark, tmp_path):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    for i, e in enumerate([event(S + "1", at=200), event(S + "2", at=199), event(S + "3", at=40), event(S + "3", at=10)]):
+        (folder / f"{i}.json").write_text(json.dumps(e))
+    stream = read_checkout_events(spark, str(folder), stream=True, max_files_per_trigger=1)
+    path = drain(sent.issue_licenses(stream, plans(spark), "pw"), "l", str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.order for r in spark.read.parquet(path).collect()) == [S + "1", S + "2", S + "3"]
+
+
 def test_stale_events_are_dropped(spark, tmp_path):
     rows = [("2026-01-01T00:00:00Z", f"t={1767225600 + d},v1=a", "x") for d in (-301, -300, 0, 300, 301)]
     df = spark.createDataFrame(rows, "r string, signature_header string, type string").withColumn("recv_ts", F.col("r").cast("timestamp"))
