@@ -13,18 +13,11 @@ from ..functions.licences import trial_active, trial_days_left
 from ..operators.entitlements import licence_columns, paid_sessions, with_plan
 from .runtime import use_rocksdb
 
-# How long an issued session is remembered, in days.
-REMEMBERED_DAYS = 90
-
-
 class FirstPayment(StatefulProcessor):
-    """Passes on the earliest row of a session once; remembers the session for a while of processing time."""
-
-    def __init__(self, remembered_days: int) -> None:
-        self.ttl = remembered_days * 86_400_000
+    """Passes on the earliest row of a session once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.issued = handle.getValueState("issued", "done boolean", self.ttl)
+        self.issued = handle.getValueState("issued", "done boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
@@ -42,16 +35,16 @@ class FirstPayment(StatefulProcessor):
         pass
 
 
-def issue_licenses(events: DataFrame, plans: DataFrame, product: str, remembered_days: int = REMEMBERED_DAYS) -> DataFrame:
+def issue_licenses(events: DataFrame, plans: DataFrame, product: str) -> DataFrame:
     """One licence per paid session, however late its event comes; of the events of one micro-batch the earliest
-    decides. Unpaid events are dropped before, so a later payment of the same session still issues. A session is
-    remembered for ``remembered_days`` after it was issued, by the clock of the machine and not of the events."""
+    decides. Unpaid events are dropped before, so a later payment of the same session still issues. Every issued
+    session is remembered by one flag, without a time limit: a timer would keep a run over available data open."""
     use_rocksdb(events.sparkSession)
     planned = with_plan(paid_sessions(events), plans, product)
     rows = licence_columns(planned, product, F.unix_micros("recv_ts").alias("recv_order"), F.col("type").alias("type_order"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("recv_order", "type_order"))
     return rows.groupBy("order").transformWithStateInPandas(
-        statefulProcessor=FirstPayment(remembered_days), outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+        statefulProcessor=FirstPayment(), outputStructType=out, outputMode="Append", timeMode="None")
 
 
 class TrialClock(StatefulProcessor):
