@@ -40,7 +40,12 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<[!?][^>]*+>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: an attribute with its value, or a string that belongs to none
+_ATTRIBUTE = re.compile(
+    r"\"[^\"]*\"|'[^']*'|(?P<name>[^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _WORD = re.compile(r"[a-z]+")
 _CLOSERS: dict[str, re.Pattern] = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
 #: elements that end when one of the same group begins beside them
@@ -69,6 +74,19 @@ class Block:
     linked: int  # characters inside links
 
 
+def _hides(attrs: str) -> bool:
+    """Whether attributes hide their element: ``hidden``, ``aria-hidden=true`` or a style of ``display: none``."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    known: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        if m["name"]:  # the first of equal names counts
+            known.setdefault(m["name"].lower(), htmllib.unescape(m[2] or m[3] or m[4] or "").strip().lower())
+    shown = _DISPLAY.findall(_COMMENT.sub("", known.get("style", "")))
+    return (known.get("hidden", "false") != "false" or known.get("aria-hidden") == "true"
+            or bool(shown) and shown[-1] == "none")
+
+
 def _element(name: str, attrs: str, number: int, above: Element | None) -> Element:
     chrome, main = int(name in CHROME_TAGS), int(name in MAIN_TAGS)
     if name == "header" and not (above and above.main):
@@ -80,7 +98,7 @@ def _element(name: str, attrs: str, number: int, above: Element | None) -> Eleme
         if name not in ("html", "body"):
             chrome += bool(words & CHROME_WORDS) and not main
             main += bool(words & MAIN_WORDS) and not chrome
-        hidden = bool(_HIDDEN.search(attrs))
+        hidden = _hides(attrs)
     return Element(name, number, chrome + (above.chrome if above else 0), main + (above.main if above else 0),
                    name == "a" or bool(above and above.link),
                    name in SILENT_TAGS or hidden or bool(above and above.silent))

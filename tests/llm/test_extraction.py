@@ -34,6 +34,19 @@ def test_pages_without_markup_or_article():
         assert isinstance(ex.main_text(broken), str)
 
 
+def test_only_hidden_elements_are_silent():
+    text = "Words of a page that are long enough to be read as its text."
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden"', 'class="hidden-print"', 'title="the hidden door"',
+                  "alt='hidden'", "data-hidden=true", 'aria-hidden="false"', 'style="overflow: hidden; display:block"',
+                  'style="--x-display:none"', 'title="display:none"', 'data-style="display:none"', "class=hidden",
+                  'title="aria-hidden=true"', 'style="display:none;display:block"', 'style="/* display:none */color:red"'):
+        assert ex.main_text(f"<body {shown}><p>{text}</p></body>") == text, shown
+        assert ex.main_text(f"<article {shown}><p>{text}</p></article>") == text, shown
+    for gone in ("hidden", "HIDDEN", 'class="a" hidden', 'hidden=""', "hidden=hidden", 'aria-hidden="true"', "aria-hidden=true",
+                 'style="display:none"', "style='color:red; DISPLAY : None !important'", 'title="x"hidden'):
+        assert ex.main_text(f"<article><p>{text}</p><div {gone}><p>Not to be seen by anyone.</p></div></article>") == text, gone
+
+
 def test_long_page():
     text = " ".join(f"word{i}" for i in range(100_000))
     assert ex.main_text(f"<article><p>{text}</p></article>") == text
