@@ -35,6 +35,10 @@ CHROME_WORDS = frozenset(
     "overlay subscribe subscription newsletter signup login register share sharing social related recommended "
     "recommendations widget pagination pager copyright legal disclaimer search form tags tagcloud toc skip".split())
 MAIN_WORDS = frozenset("article content entry post story main body text maintext articlebody".split())
+#: furniture whatever is inside; words that make a name one of the layout; items that may be marked up as articles
+FIRM_TAGS = frozenset("nav footer aside menu dialog".split())
+LAYOUT_WORDS = frozenset("with without has no left right".split())
+ITEM_WORDS = frozenset("comment comments reply replies related recommended sponsored promo advertisement widget".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
@@ -61,6 +65,9 @@ class Element:
     main: int  # elements up to here that look like the article
     link: bool
     silent: bool
+    firm: int  # elements up to here that are furniture even around an article
+    items: frozenset[str]  # ITEM_WORDS up to here, in the singular
+    article: bool  # inside an article
 
 
 @dataclass
@@ -91,17 +98,27 @@ def _element(name: str, attrs: str, number: int, above: Element | None) -> Eleme
     chrome, main = int(name in CHROME_TAGS), int(name in MAIN_TAGS)
     if name == "header" and not (above and above.main):
         chrome = 1
-    hidden = False
+    hidden, items, firm = False, frozenset(), name in FIRM_TAGS
     if attrs.strip():
-        words = {w for m in _NAMES.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+        names = [set(_WORD.findall(w)) for m in _NAMES.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()]
         # the page's own frame may carry any name
         if name not in ("html", "body"):
-            chrome += bool(words & CHROME_WORDS) and not main
-            main += bool(words & MAIN_WORDS) and not chrome
+            # beside a name of the article, one like "with-sidebar" tells of the layout
+            titled = any(n and n <= MAIN_WORDS for n in names)
+            furniture = any(n & CHROME_WORDS and not (titled and n & LAYOUT_WORDS) for n in names)
+            chrome += furniture and not main
+            main += (titled or any(n & MAIN_WORDS for n in names)) and not chrome
+            items = frozenset(w.rstrip("s") for n in names for w in n & ITEM_WORDS)
+            firm |= not main and any(n and n <= ITEM_WORDS for n in names)
         hidden = _hides(attrs)
-    return Element(name, number, chrome + (above.chrome if above else 0), main + (above.main if above else 0),
+    around = above.chrome if above else 0
+    if above and name in MAIN_TAGS and not above.article and not items & above.items:
+        around = above.firm  # named wrappers around an article are layout
+    return Element(name, number, chrome + around, main + (above.main if above else 0),
                    name == "a" or bool(above and above.link),
-                   name in SILENT_TAGS or hidden or bool(above and above.silent))
+                   name in SILENT_TAGS or hidden or bool(above and above.silent),
+                   firm + (above.firm if above else 0), items | (above.items if above else frozenset()),
+                   name == "article" or bool(above and above.article))
 
 
 def blocks_of(page: str | None) -> list[Block]:

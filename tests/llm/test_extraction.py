@@ -47,6 +47,30 @@ def test_only_hidden_elements_are_silent():
         assert ex.main_text(f"<article><p>{text}</p><div {gone}><p>Not to be seen by anyone.</p></div></article>") == text, gone
 
 
+def test_articles_inside_wrappers_named_like_furniture():
+    text = "Words of a page that are long enough to be read as its text."
+    article = f"<article><h2>Title</h2><p>{text}</p></article>"
+    for wrapper in ('div class="content with-sidebar"', 'div id="page-form"', 'div class="with-sidebar"', "form id=form1",
+                    'div class="page has-banner search"', 'section class="layout side-menu"', "div id=overlay"):
+        tag = wrapper.split()[0]
+        extra = "<div class=sidebar><p>Links and a long enough sentence that is not the article.</p></div>"
+        for inner in (article, article.replace("article", "main"), f"<main>{article}</main>", f"<div class=share>{article}</div>",
+                      f"<main><div class=with-ads>{article}</div></main>"):
+            assert ex.main_text(f"<body><{wrapper}>{inner}{extra}</{tag}></body>") == f"Title\n\n{text}", (wrapper, inner)
+    assert ex.main_text(f'<div class="content with-sidebar"><p>{text}</p></div>') == text
+
+
+def test_articles_inside_furniture_stay_furniture():
+    text = "Words of a page that are long enough to be read as its text."
+    other = "<p>Some other words that are no part of the text of this page at all.</p>"
+    for more in (f"<aside><article>{other}</article></aside>", f"<footer><div><article>{other}</article></div></footer>",
+                 f"<div id=comments><article class=comment>{other}</article></div>",
+                 f"<div id=comments><article>{other}</article></div>",
+                 f"<div class=related-posts><article class='related-post'>{other}</article></div>"):
+        assert ex.main_text(f"<body><div class=with-sidebar><article><p>{text}</p></article>{more}</div></body>") == text, more
+    assert ex.main_text(f"<div class=with-sidebar><article><p>{text}</p><div class=sidebar>{other}</div></article></div>") == text
+
+
 def test_long_page():
     text = " ".join(f"word{i}" for i in range(100_000))
     assert ex.main_text(f"<article><p>{text}</p></article>") == text
