@@ -121,7 +121,7 @@ def languages_of(stream: np.ndarray, starts: np.ndarray, known: Numbering) -> np
 def logits(net: Network, stream: np.ndarray, starts: np.ndarray, buckets: np.ndarray,
            piece: int = 1 << 17) -> np.ndarray:
     """Network output of every text. The stream is worked off in pieces that overlap by the widest filter,
-    so memory does not grow with the length of a text."""
+    so memory does not grow with the length of a text. No filter reaches into the next text."""
     if not len(starts):
         return np.empty(0)
     vectors = net.emb[buckets[:, 0]] + net.emb[buckets[:, 1]]
@@ -129,7 +129,8 @@ def logits(net: Network, stream: np.ndarray, starts: np.ndarray, buckets: np.nda
     best = [np.full((len(starts), k.shape[2]), -np.inf, np.float32) for k in net.kernels]
     projected = [[vectors @ k[j] for j in range(k.shape[0])] for k in net.kernels]
     pad = max(net.widths) - 1
-    last = len(stream) - pad  # filters start at the words and at the first padding of each text
+    last = len(stream) - pad
+    ends = np.append(starts[1:], len(stream))
     owner = np.searchsorted(starts, np.arange(0, max(last, 1), piece), side="right") - 1
     for n, low in enumerate(range(0, max(last, 1), piece)):
         high = min(low + piece, max(last, 1))
@@ -140,6 +141,9 @@ def logits(net: Network, stream: np.ndarray, starts: np.ndarray, buckets: np.nda
             total = tables[0][stream[low:high]]
             for j in range(1, kernel.shape[0]):
                 total = total + tables[j][stream[low + j:high + j]]
+                # as in training, a filter lies within its own text and padding
+                beyond = ends - j
+                total[beyond[(beyond >= low) & (beyond < high)] - low] = -np.inf
             best[k][texts] = np.maximum(best[k][texts], np.maximum.reduceat(total, cuts, axis=0))
     top = np.concatenate([np.maximum(b + bias, 0) for b, bias in zip(best, net.bias)], axis=1)
     return top @ net.out + net.out_bias

@@ -38,6 +38,23 @@ def test_long_texts_are_read_to_the_end():
     assert np.allclose(tx.logits(net, stream, starts, b, piece=7), tx.logits(net, stream, starts, b))
 
 
+def test_texts_are_scored_alone():
+    net = small_net()
+    texts = ["the cat", "awfulword awfulword of it", "", "awfulword", None, "le chat", "awfulword the", "nothing to see", "a"] * 30
+    alone = np.array([tx.scores(net, [t])[0] for t in texts])
+    assert np.allclose(tx.scores(net, texts), alone) and np.allclose(tx.scores(net, texts, chunk=7), alone)
+    # whatever the filters are
+    for seed in range(5):
+        net = tx.new_network(seed=seed)
+        net.shift = {name: 0.0 for name in tx.LANGUAGES}
+        alone = np.array([tx.scores(net, [t])[0] for t in texts])
+        assert np.allclose(tx.scores(net, texts), alone)
+        stream, starts, known = tx.encode(texts, 3)
+        b = tx.word_buckets(known, len(net.emb))
+        for piece in (1, 2, 5):
+            assert np.allclose(tx.logits(net, stream, starts, b, piece=piece), tx.logits(net, stream, starts, b))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 5.0), (2, "", 5.0), (None, "Awfulword!", 5.0), (3, "the cat", 5.0), (3, "the cat", 5.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
