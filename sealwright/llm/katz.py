@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import scratch_path, stage
 from .textstats import fold
 
-ORDER = 2
+ORDER = 3
 SMALL = 5  # counts up to this are discounted
 ADD = 0.1  # to every count of the lowest order
 LEAST_BLOCK, MOST_BLOCK = 1_000_000, 20_000_000  # tokens of a block and of a part

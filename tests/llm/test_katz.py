@@ -116,3 +116,14 @@ def test_held_out_text_is_better_than_base(spark):
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 10 == 0 for i in got["doc_id"]]).all()
     held = got[got["held_out"]]
     assert held["score"].sum() > held["base_score"].sum() and len(got) == len(pd.read_parquet(f"{SF}/documents.parquet"))
+
+
+def test_registered_query_scores_by_trigrams(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    model = Dictionary(rows, 3)
+    got = queries.op7_katz(spark, small).toPandas().set_index("doc_id")["score"]
+    for i, text in rows[:40]:
+        p = [b"<s>"] * 2 + tokens(text)
+        assert np.isclose(got[i], sum(np.log10(model.p(tuple(p[j - 2:j + 1]))) for j in range(2, len(p))))
