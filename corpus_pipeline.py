@@ -39,13 +39,27 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__md5")), "left_anti")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each document in ``__n``; rows with one id and different texts are different
+    documents. Numbers follow the order of the ids; a null id has none."""
+    digest = F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")).alias("__md5")
+    pairs = docs.where("doc_id is not null").select("doc_id", digest)
+    if pairs.groupBy("doc_id").agg((F.min("__md5") != F.max("__md5")).alias("several")).where("several").isEmpty():
+        return docs.withColumn("__n", F.col("doc_id"))
+    ordered = pairs.distinct().repartitionByRange("doc_id", "__md5").sortWithinPartitions("doc_id", "__md5")
+    numbers = stage(ordered.withColumn("__n", F.monotonically_increasing_id()), "numbers")
+    return stage(docs.withColumn("__md5", digest).join(numbers, ["doc_id", "__md5"], "left").select(*docs.columns, "__n"), "numbered")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows that repeat its id once."""
+    """One document of each group of near copies, that with the smallest id; rows that repeat its id and text once."""
     settle(spark)
-    copies = lshforest.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+    known = _numbered(docs)
+    copies = lshforest.near_duplicates(known.select(F.col("__n").alias("doc_id"), "text")).where("not kept").select(
+        F.col("doc_id").alias("__n")).distinct()
+    kept = known.join(copies, "__n", "left_anti")
+    named = kept.where(F.col("__n").isNotNull()).dropDuplicates(["__n"])
+    return named.unionByName(kept.where(F.col("__n").isNull())).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

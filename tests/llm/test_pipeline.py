@@ -55,6 +55,14 @@ def test_one_of_each_group_stays(stages):
     assert set(after["doc_id"]) == kept and after["doc_id"].is_unique
 
 
+def test_unlike_texts_of_one_id_stay(spark, stages):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(200)) for c in "abc")
+    rows = [(3, one), (3, other), (3, other), (5, third), (1, one + " end"), (7, None), (7, ""), (9, third), (None, one), (9, third)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], stages[0].schema)
+    got = [(r.doc_id or 0, r.text) for r in cp.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, one + " end"), (3, other), (5, third), (7, None), (7, ""), (0, one)], key=str)
+
+
 def test_all_ids_are_packed(stages):
     docs = stages[3].toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
