@@ -13,6 +13,7 @@ Nearness is the inner product in double precision.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,9 @@ from ..session import remove_path, scratch_path, stage
 NEIGHBOURS = 32  # of a node in the graph
 ORDERS = 8  # random orders of the first graph
 RUN = 128  # nodes compared with each other in the first graph
-ROUNDS = 8  # of NN-descent at most
-SETTLED = 0.05  # share of edges that change in a round, below which the graph is done
-BEAM = 64  # nodes a query keeps
+SETTLED = 0.02  # share of edges that change in a round, below which the graph is done
+BEAM = 96  # nodes a query keeps
 STRIDE = 32  # nodes of a beam visited in a round
-HOPS = 40  # rounds of search at most
 ENTRIES = 32  # nodes a query begins from that is no node itself
 
 EDGES = "u bigint, v bigint, score double, fresh boolean"
@@ -176,9 +175,10 @@ def _local_join(meetings: DataFrame, kind: str, dim: int, most: int) -> DataFram
         join, EDGES)
 
 
-def build_graph(nodes: DataFrame, kind: str, dim: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS,
-                settled: float = SETTLED, seed: int = 7) -> DataFrame:
-    """(u, v, score): the neighbour graph over ``nodes`` (node, vec), written after every round."""
+def build_graph(nodes: DataFrame, kind: str, dim: int, neighbours: int = NEIGHBOURS, settled: float = SETTLED,
+                seed: int = 7) -> DataFrame:
+    """(u, v, score): the neighbour graph over ``nodes`` (node, vec), written after every round. Rounds go on until the
+    graph is settled; as edges only give way to better ones, it will be."""
     spark = nodes.sparkSession
 
     def kept(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -187,7 +187,7 @@ def build_graph(nodes: DataFrame, kind: str, dim: int, neighbours: int = NEIGHBO
 
     graph, path = kept(_runs(nodes, kind, dim, neighbours, ORDERS, RUN, seed))
     vectors = nodes.withColumnRenamed("node", "v")
-    for turn in range(rounds):
+    for turn in itertools.count():
         total, fresh = graph.agg(F.count(F.lit(1)), F.count(F.when(F.col("fresh"), 1))).first()
         if not total or (turn and fresh < settled * total):
             break
@@ -211,7 +211,7 @@ def _both_ways(graph: DataFrame, most: int) -> DataFrame:
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, dim: int, beam: int = BEAM,
-           stride: int = STRIDE, hops: int = HOPS) -> DataFrame:
+           stride: int = STRIDE) -> DataFrame:
     """(query, node, score): at most ``beam`` nodes found for every query (query, vec). A query that is a node
     begins at itself, others at ENTRIES nodes spread by a hash of their ids."""
     spark = nodes.sparkSession
@@ -237,7 +237,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, di
 
     beams = stage(scored(inside.unionByName(outside)).withColumn("seen", F.lit(False)), "beams")
     path = None
-    for _ in range(hops):
+    while True:  # beams only get better, so they come to an end
         turn = beams.where(~F.col("seen")).withColumn("_n", F.row_number().over(best)).where(
             F.col("_n") <= stride).select("query", "node")
         if beams.where(~F.col("seen")).isEmpty():

@@ -67,3 +67,14 @@ def test_queries_from_outside(spark):
         mine = found[found["query"] == r.query].nlargest(20, "score")["node"]
         hits += len(set(best) & set(mine))
     assert hits >= 180
+
+
+def test_search_goes_on_until_no_beam_has_an_unvisited_node(spark):
+    # a path of nodes: the best one is more than 40 rounds away from the entries
+    n = 3_000
+    nodes = spark.createDataFrame([(i, bytearray(np.array([i + 1.0]).tobytes())) for i in range(n)], "node bigint, vec binary")
+    graph = spark.createDataFrame([(i, i + 1, float(i)) for i in range(n - 1)], "u bigint, v bigint, score double")
+    asked = nodes.where("node = 2955").select(F.col("node").alias("query"), "vec")
+    found = nn.search(graph, nodes, asked, "<f8", 1, beam=4, stride=1).toPandas()
+    assert found["node"].max() == n - 1
+    assert nn.BEAM >= 96 and nn.SETTLED <= 0.02
