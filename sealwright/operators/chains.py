@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.canonical import line_hash_ok
@@ -164,21 +165,37 @@ def first_break(ledger: DataFrame, dialect: str = "pipe", bucket_rows: int = BUC
 # ---- building ---------------------------------------------------------------------------
 
 def _fold_batches(columns: Sequence[str]):
-    """Partition iterator: rows arrive sorted by (case, position); only one tip is held."""
+    """Partition iterator: rows arrive sorted by (case, position); only one tip is held. A row with a ``_start`` is no
+    entry but the tip its case goes on from; it sorts before the entries. Columns that are not hashed stay in Arrow."""
     def run(batches):
         case, tip = None, None
-        for pdf in batches:
-            prevs, hashes = [], []
-            for key, start, head, tail in zip(pdf["case_id"], pdf["_tip"], pdf["_head"], pdf["_tail"]):
+        for batch in batches:
+            prevs, hashes, entries = [], [], []
+            for key, start, head, tail in zip(*(batch.column(c).to_pylist() for c in ("case_id", "_start", "_head", "_tail"))):
                 if key != case:
-                    case, tip = key, start
-                prevs.append(tip)
-                tip = hashlib.sha256((head + tip + tail).encode()).hexdigest()
-                hashes.append(tip)
-            yield pdf[list(columns)].assign(prev_hash=prevs, entry_hash=hashes)
+                    case, tip = key, start or GENESIS
+                entries.append(start is None)
+                if start is None:
+                    prevs.append(tip)
+                    tip = hashlib.sha256((head + tip + tail).encode()).hexdigest()
+                    hashes.append(tip)
+            kept = batch if all(entries) else batch.filter(pa.array(entries, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(c) for c in columns), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                names=[*columns, "prev_hash", "entry_hash"])
     return run
 
 
+def _after_tips(rows: DataFrame, tips: DataFrame | None) -> DataFrame:
+    """``rows`` with one row before those of each case that carries the hash it goes on from. They travel with the rows
+    of their case, so going on from tips takes no join."""
+    bare = rows.withColumn("_start", F.lit(None).cast("string"))
+    if tips is None:
+        return bare
+    starts = tips.select("case_id", F.col("hash").alias("_start"), F.lit(-2 ** 63).cast("bigint").alias("_pos"))
+    return bare.unionByName(starts, allowMissingColumns=True)
+
+
 def _in_order(rows: DataFrame, order: str) -> DataFrame:
     """Rows whose order and case can be chained, at every size alike: an order that is no integer is refused
     now, a null order or case when its row is read."""
@@ -194,20 +211,22 @@ def _segments(rows: DataFrame, order: str, segment_rows: int,
     longest = (rows if sized_by is None else sized_by).groupBy("case_id").count().agg(F.max("count")).first()[0] or 0
     rounds = max(1, -(-longest // segment_rows))
     if rounds == 1:
-        return rows.withColumn("_pos", F.col(order)), 1
+        return rows.withColumn("_pos", F.col(order).cast("bigint")), 1
     placed = with_position(rows, ["case_id"], order, out="_pos")
     return placed.withColumn("_seg", F.floor((F.col("_pos") - 1) / F.lit(segment_rows)).cast("int")), rounds
 
 
 def chain_rows(rows: DataFrame, order: str, head: Column, tail: Column,
-               segment_rows: int = SEGMENT_ROWS, sized_by: DataFrame | None = None) -> DataFrame:
+               segment_rows: int = SEGMENT_ROWS, sized_by: DataFrame | None = None,
+               tips: DataFrame | None = None) -> DataFrame:
     """Every row with its ``prev_hash`` and ``entry_hash = sha256(head ‖ prev ‖ tail)``.
 
     A hash chain is sequential within a case. Cases are therefore cut into segments: round k
     hashes segment k of every case that is that long and hands the tips to round k + 1, so no
     task ever walks more than ``segment_rows`` rows of a case and a lost executor repeats one
     segment only. With no case above ``segment_rows`` rows there is a single round. Case sizes are
-    counted on ``sized_by`` where that is cheaper to read than ``rows``.
+    counted on ``sized_by`` where that is cheaper to read than ``rows``. Cases listed in ``tips``
+    (case_id, hash; one row each) go on from there, others begin a new chain.
     """
     keep = [f for f in rows.schema.fields]
     names = [f.name for f in keep]
@@ -215,26 +234,21 @@ def chain_rows(rows: DataFrame, order: str, head: Column, tail: Column,
                                       T.StructField("entry_hash", T.StringType())])
     placed, rounds = _segments(rows.withColumns({"_head": head, "_tail": tail}), order, segment_rows, sized_by)
 
-    def hashed(part: DataFrame, schema: T.StructType, columns) -> DataFrame:
-        ordered = spread(part, "case_id").sortWithinPartitions("case_id", "_pos")
-        return ordered.mapInPandas(_fold_batches(columns), schema)
+    def hashed(part: DataFrame, known: DataFrame | None, schema: T.StructType, columns) -> DataFrame:
+        ordered = spread(_after_tips(part, known), "case_id").sortWithinPartitions("case_id", "_pos")
+        return ordered.mapInArrow(_fold_batches(columns), schema)
 
     if rounds == 1:
-        return hashed(placed.withColumn("_tip", F.lit(GENESIS)), out_schema, names)
+        return hashed(placed, tips, out_schema, names)
 
     staged = stage(placed, "chain-segments", ("_seg",))
     wide = T.StructType(out_schema.fields[:-2] + [T.StructField("_pos", T.LongType())]
                         + out_schema.fields[-2:])
-    done, tips = [], None
+    done = []
     for k in range(rounds):
-        part = staged.where(F.col("_seg") == k)
-        if tips is None:
-            part = part.withColumn("_tip", F.lit(GENESIS))
-        else:
-            part = part.join(tips, "case_id", "inner")
-        out = stage(hashed(part, wide, [*names, "_pos"]), f"chain-round{k}")
+        out = stage(hashed(staged.where(F.col("_seg") == k), tips, wide, [*names, "_pos"]), f"chain-round{k}")
         tips = (out.where(F.col("_pos") == (k + 1) * segment_rows)
-                .select("case_id", F.col("entry_hash").alias("_tip")))
+                .select("case_id", F.col("entry_hash").alias("hash")))
         done.append(out)
     result = done[0]
     for part in done[1:]:
@@ -242,11 +256,12 @@ def chain_rows(rows: DataFrame, order: str, head: Column, tail: Column,
     return result.drop("_pos")
 
 
-def build_pipe(events: DataFrame, order: str = "id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Ledger rows in the pipe dialect."""
+def build_pipe(events: DataFrame, order: str = "id", segment_rows: int = SEGMENT_ROWS,
+               tips: DataFrame | None = None) -> DataFrame:
+    """Ledger rows in the pipe dialect, going on from ``tips`` where a case has one."""
     c = F.col
     head = pipe_prefix(c("ts"), c("operator"), c("action"), c("path"), c("sha256"))
-    return chain_rows(events, order, head, F.lit(""), segment_rows)
+    return chain_rows(events, order, head, F.lit(""), segment_rows, tips=tips)
 
 
 def chain_fold(events: DataFrame, order: str = "id", segment_rows: int = FOLD_ROWS) -> DataFrame:
@@ -286,12 +301,40 @@ def chain_fold(events: DataFrame, order: str = "id", segment_rows: int = FOLD_RO
 
 # ---- reports on ledgers -----------------------------------------------------------------
 
-def heads(ledger: DataFrame) -> DataFrame:
+def _place(dialect: str) -> Column:
+    """What orders the entries of a case."""
+    if dialect == "jsonl":
+        return F.struct("chunk", "line_pos")
+    if dialect in ("pipe", "concat"):
+        return F.col("id")
+    raise ValueError(f"unknown dialect: {dialect}")
+
+
+def _digest_column(dialect: str) -> str:
+    return {"pipe": "entry_hash", "concat": "hash_chain", "jsonl": "hash"}[dialect]
+
+
+def heads(ledger: DataFrame, dialect: str = "pipe") -> DataFrame:
     """Last hash per case."""
-    return ledger.groupBy("case_id").agg(F.max_by("entry_hash", "id").alias("head"),
+    return ledger.groupBy("case_id").agg(F.max_by(_digest_column(dialect), _place(dialect)).alias("head"),
                                          F.count(F.lit(1)).alias("entries"))
 
 
+def tips_of(ledger: DataFrame, dialect: str = "pipe") -> DataFrame:
+    """(case_id, seq, hash) of the last entry of every case: where an append goes on."""
+    return heads(ledger, dialect).select("case_id", F.col("entries").alias("seq"), F.col("head").alias("hash"))
+
+
+def verify_with_heads(ledger: DataFrame, pinned: DataFrame, dialect: str = "pipe") -> DataFrame:
+    """One verdict per pinned case (case_id, head): the chain holds, and it ends in the head recorded elsewhere. A tail
+    that was cut off, or written anew as a whole, shows only here. A missing ledger is not ok."""
+    verdict = verify_chain(ledger, dialect, cases=pinned.select("case_id"))
+    expected = pinned.select("case_id", F.col("head").alias("expected_head"))
+    return verdict.join(expected, "case_id").withColumns({
+        "head_ok": F.col("head") == F.col("expected_head"),
+        "ok": F.col("chain_ok") & (F.col("head") == F.col("expected_head"))})
+
+
 def check_heads(current: DataFrame, pinned: DataFrame) -> DataFrame:
     """Heads recorded elsewhere against the ledger's heads; a missing ledger is not ok."""
     found = broadcast_if_small(current.select("case_id", "head"))
@@ -300,15 +343,15 @@ def check_heads(current: DataFrame, pinned: DataFrame) -> DataFrame:
             .withColumn("head_ok", F.col("expected_head").eqNullSafe(F.col("head"))))
 
 
-def recent_entries(ledger: DataFrame, n: int = 500) -> DataFrame:
+def recent_entries(ledger: DataFrame, n: int = 500, dialect: str = "pipe") -> DataFrame:
     """The newest ``n`` entries per case (planned as a partial group limit before the shuffle)."""
-    w = Window.partitionBy("case_id").orderBy(F.desc("id"))
+    w = Window.partitionBy("case_id").orderBy(F.desc("id") if dialect != "jsonl" else _place(dialect).desc())
     return (ledger.withColumn("recency", F.row_number().over(w))
             .where(F.col("recency") <= n))
 
 
-def events_in_order(ledger: DataFrame) -> DataFrame:
-    return ledger.orderBy("case_id", "id")
+def events_in_order(ledger: DataFrame, dialect: str = "pipe") -> DataFrame:
+    return ledger.orderBy("case_id", _place(dialect))
 
 
 def event_profile(ledger: DataFrame) -> DataFrame:

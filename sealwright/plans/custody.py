@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chains
 from ..sources import ledgers as src
+from ..sources.ledger_store import LedgerStore
 from . import tables as t
 
 def _verdict(df):
@@ -14,8 +15,8 @@ def _verdict(df):
                      F.coalesce("first_bad_id", F.lit(-1)).alias("first_bad_id"), "head", "trusted_head")
 
 
-def _verdict_sql(source: str, row_ok: str = t.ROW_OK_SQL) -> str:
-    return f"""{t.LEDGER_SQL},
+def _verdict_sql(source: str, row_ok: str = t.ROW_OK_SQL, ledger_sql: str = t.LEDGER_SQL) -> str:
+    return f"""{ledger_sql},
 checked AS (
   SELECT case_id, id, entry_hash, row_number() OVER w AS p,
          coalesce(lag(entry_hash) OVER w, repeat('0', 64)) AS expected,
@@ -88,15 +89,19 @@ checked AS (
 
 # jsonl dialect
 
-def _jsonl_rows(spark, sf_dir):
-    """Entries of one JSONL ledger per event type, chained in canonical form."""
-    e = t.table(spark, sf_dir, "events").select(
+def _jsonl_events(spark, sf_dir):
+    """What happened, one JSONL ledger per event type."""
+    return t.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("case_id"), "event_id", "value",
         F.concat(F.lit('{"k":'), F.regexp_extract("props", r"(\d+)", 1), F.lit(',"user":'),
                  F.col("user_id").cast("string"), F.lit("}")).alias("data"),
         F.lit("note").alias("event"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"))
-    return src.append_jsonl(e, order="event_id")
+
+
+def _jsonl_rows(spark, sf_dir):
+    """Entries of one JSONL ledger per event type, chained in canonical form."""
+    return src.append_jsonl(_jsonl_events(spark, sf_dir), order="event_id")
 
 
 def _jsonl_files(spark, sf_dir):
@@ -159,7 +164,58 @@ def pipe_csv(spark, sf_dir):
     return src.read_ledger_pipe(spark, _files[key], "csv")
 
 
+# growing ledgers
+
+def half_of(rows, order):
+    """The middle between the least and the greatest order number."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    return (low + high) // 2
+
+
+HALF_SQL = "SELECT (min(event_id) + max(event_id)) // 2 FROM events"
+
+
+def append_existing(spark, sf_dir):
+    """A ledger of the first half of the events, continued with the second half, twice tried."""
+    events = t.custody_events(spark, sf_dir)
+    half = half_of(events, "id")
+    store = LedgerStore(spark, t.scratch(spark, "ledger-store"))
+    store.append(events.where(F.col("id") <= half), 0, "id")
+    late = events.where(F.col("id") > half)
+    assert store.append(late, 1, "id") and not store.append(late, 1, "id")
+    return store.rows().select("case_id", "id", "prev_hash", "entry_hash")
+
+
+def jsonl_append_existing(spark, sf_dir):
+    """JSONL files of the first half of the events, continued by a store, and verified as one ledger."""
+    events = _jsonl_events(spark, sf_dir)
+    half = half_of(events, "event_id")
+    base = t.scratch(spark, "ledger-base")
+    src.write_ledger_jsonl(src.append_jsonl(events.where(F.col("event_id") <= half), "event_id"), base)
+    store = LedgerStore(spark, t.scratch(spark, "ledger-lines-store"), "jsonl", base)
+    late = events.where(F.col("event_id") > half)
+    assert store.append(late, 1, "event_id") and not store.append(late, 1, "event_id")
+    return _verdict(chains.verify_chain(store.rows(), "jsonl")).drop("first_bad_id")
+
+
+def jsonl_head_check(spark, sf_dir):
+    """Chain and expected head in one verdict: the edited ledger against the heads it had when written; of
+    purchases a later head is expected than the file has."""
+    lines = src.read_ledger_jsonl(spark, _jsonl_files(spark, sf_dir))
+    pinned = chains.heads(lines, "jsonl").select("case_id", F.when(F.col("case_id") == "purchase", F.sha2("head", 256))
+                                                 .otherwise(F.col("head")).alias("head"))
+    return chains.verify_with_heads(lines, pinned, "jsonl").select("case_id", "entries", "chain_ok", "head_ok", "ok")
+
+
 QUERIES = {
+    "chain_append_existing": append_existing,
+    "ledger_jsonl_append_existing": jsonl_append_existing,
+    "ledger_jsonl_heads": lambda s, d: chains.heads(src.read_ledger_jsonl(s, _jsonl_files(s, d)), "jsonl"),
+    "ledger_jsonl_recent": lambda s, d: chains.recent_entries(src.read_ledger_jsonl(s, _jsonl_files(s, d)), 20, "jsonl").select(
+        "case_id", "seq", "hash", "recency"),
+    "ledger_jsonl_listing": lambda s, d: chains.events_in_order(src.read_ledger_jsonl(s, _jsonl_files(s, d)), "jsonl").select(
+        "case_id", "seq", "event", "ts", "hash"),
+    "ledger_jsonl_head_check": jsonl_head_check,
     "ledger_pipe_read": lambda s, d: chains.verify_chain(pipe_csv(s, d)).select("case_id", "entries", "chain_ok", "head"),
     "chain_build": lambda s, d: t.ledger(s, d).select("case_id", "id", "prev_hash", "entry_hash"),
     "chain_build_segmented": lambda s, d: chains.build_pipe(t.custody_events(s, d), segment_rows=25).select(
@@ -200,6 +256,20 @@ QUERIES = {
 }
 
 ORACLE = {
+    "chain_append_existing": t.LEDGER_SQL + "SELECT case_id, id, prev_hash, entry_hash FROM ledger",
+    "ledger_jsonl_append_existing": JSONL_SQL + """
+SELECT case_id, count(*) AS entries, count(*) AS valid_prefix, true AS chain_ok, 0 AS first_bad_position,
+       arg_max(hash, seq) AS head, arg_max(hash, seq) AS trusted_head
+FROM chain GROUP BY case_id""",
+    "ledger_jsonl_heads": JSONL_SQL + "SELECT case_id, arg_max(hash, seq) AS head, count(*) AS entries FROM chain GROUP BY case_id",
+    "ledger_jsonl_recent": JSONL_SQL + """
+SELECT case_id, seq, hash, row_number() OVER (PARTITION BY case_id ORDER BY seq DESC) AS recency FROM chain
+QUALIFY recency <= 20""",
+    "ledger_jsonl_listing": JSONL_SQL + "SELECT case_id, seq, 'note' AS event, ts, hash FROM ev JOIN chain USING (case_id, seq)",
+    "ledger_jsonl_head_check": JSONL_SQL + """
+SELECT case_id, count(*) AS entries, bool_and(hash_ok) AS chain_ok, case_id <> 'purchase' AS head_ok,
+       bool_and(hash_ok) AND case_id <> 'purchase' AS ok
+FROM lines GROUP BY case_id""",
     "ledger_pipe_read": "SELECT case_id, entries, chain_ok, head FROM (" + _verdict_sql("ledger") + ")",
     "chain_build": t.LEDGER_SQL + "SELECT case_id, id, prev_hash, entry_hash FROM ledger",
     "chain_build_segmented": t.LEDGER_SQL + "SELECT case_id, id, entry_hash FROM ledger",

@@ -63,6 +63,17 @@ def ledger_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).where(~tampered())
 
 
+def hot_ledger_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ledger_edited``, but two of the event types make up one case."""
+    def build():
+        hot = F.when(F.col("operator").isin("view", "click"), F.lit("case-hot")).otherwise(F.col("case_id"))
+        return chains.build_pipe(custody_events(spark, sf_dir).withColumn("case_id", hot))
+    df = once(spark, sf_dir, "hot-ledger", build)
+    # one late edit in the hot case, so that most of it is good
+    edited = F.when(F.col("case_id") == "case-hot", F.col("value") > 499.5).otherwise(tampered())
+    return df.withColumn("path", F.when(edited, F.concat(F.lit("edited "), "path")).otherwise(F.col("path")))
+
+
 LEDGER_SQL = """
 WITH RECURSIVE ev AS (
   SELECT 'case-' || user_id AS case_id, event_id AS id, epoch_us(ts) // 1000000 AS ts,
@@ -88,6 +99,11 @@ edited AS (
 gapped AS (SELECT * FROM ledger WHERE NOT value > 250)
 """
 
+HOT_LEDGER_SQL = (LEDGER_SQL
+    .replace("'case-' || user_id AS case_id", "CASE WHEN event_type IN ('view', 'click') THEN 'case-hot' ELSE 'case-' || user_id END AS case_id")
+    .replace("PARTITION BY user_id ORDER", "PARTITION BY CASE WHEN event_type IN ('view', 'click') THEN 'case-hot' ELSE 'case-' || user_id END ORDER")
+    .replace("CASE WHEN value > 250 THEN 'edited '", "CASE WHEN CASE case_id WHEN 'case-hot' THEN value > 499.5 ELSE value > 250 END THEN 'edited '"))
+
 ROW_OK_SQL = ("sha256(ts || '|' || operator || '|' || action || '|' || path || '|' || sha256 || '|' || prev_hash)"
               " = entry_hash")
 

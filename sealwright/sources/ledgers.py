@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.canonical import body_prefix, body_suffix, canonical_line, json_string
 from ..operators.chains import SEGMENT_ROWS, chain_rows
+from ..operators.joins import skew_join
 from ..operators.ordered import Running, prefix_scan, with_position
 from ..schemas import LEDGER_LINE, LEDGER_PIPE
 
@@ -35,16 +36,23 @@ def read_ledger_jdbc(spark: SparkSession, url: str, partitions: int, lower: int,
     return ledger, reader().option("dbtable", cases_table).load()
 
 
-def read_ledger_jsonl(spark: SparkSession, path: str, case_from: str = "partition") -> DataFrame:
+def read_ledger_jsonl(spark: SparkSession, path: str | list[str], case_from: str = "partition") -> DataFrame:
     """JSONL ledger lines with their place in the file.
 
     Files are split as usual; nothing reads a whole file into one row. ``chunk`` is the split a
     line came from and ``line_pos`` its order in the whole scan, so (chunk, line_pos) is file order;
     files of one case follow their part number.
-    The case is the ``case_id=`` folder, or the file itself with ``case_from="file"``.
+    The case is the ``case_id=`` folder, or the file itself with ``case_from="file"``. Several paths are read as one
+    table, each with its own part numbers.
     """
     reader = spark.read.option("lineSep", "\n")
-    if case_from == "partition":
+    if case_from == "partition" and not isinstance(path, str):
+        # folders of several roots are no partitions of one table, so the name is taken from the path
+        name = F.regexp_extract("_metadata.file_path", r".*/case_id=([^/]*)/", 1)
+        plain = F.url_decode(F.replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit("+"), F.lit("%2B")))
+        lines = reader.option("recursiveFileLookup", "true").text(path).withColumn(
+            "case_id", F.when(name != "__HIVE_DEFAULT_PARTITION__", plain))
+    elif case_from == "partition":
         lines = reader.schema("value string, case_id string").text(path)
     else:
         lines = reader.text(path).withColumn("case_id", F.col("_metadata.file_path"))
@@ -65,15 +73,21 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     return prefix_scan(lines, ["case_id"], "chunk", "line_pos", [Running("line_no", "count")])
 
 
-def append_jsonl(events: DataFrame, order: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Sequence numbers and hashes for new ledgers.
+def append_jsonl(events: DataFrame, order: str, segment_rows: int = SEGMENT_ROWS,
+                 tips: DataFrame | None = None) -> DataFrame:
+    """Sequence numbers and hashes for entries to come.
 
-    Needs case_id, event, ts and canonical ``data``; adds seq, prev and hash.
+    Needs case_id, event, ts and canonical ``data``; adds seq, prev and hash. Cases listed in ``tips``
+    (case_id, seq, hash) go on from there, others begin a new ledger.
     """
     placed = with_position(events, ["case_id"], order, out="seq")
+    if tips is not None:
+        before = tips.select("case_id", F.col("seq").alias("_before"))
+        placed = skew_join(placed, before, ["case_id"], "left").withColumn(
+            "seq", F.col("seq") + F.coalesce("_before", F.lit(0))).drop("_before")
     named = placed.withColumns({"_event": json_string(F.col("event")), "_ts": json_string(F.col("ts"))})
     rows = chain_rows(named, "seq", body_prefix(F.col("data"), F.col("_event")),
-                      body_suffix(F.col("seq"), F.col("_ts")), segment_rows, sized_by=events)
+                      body_suffix(F.col("seq"), F.col("_ts")), segment_rows, sized_by=events, tips=tips)
     return (rows.withColumnsRenamed({"prev_hash": "prev", "entry_hash": "hash"})
             .drop("_event", "_ts"))
 
