@@ -1,7 +1,8 @@
 """Live custody ledgers: verification and appending with per-case state.
 
-A batch of a case arrives in one state handler, so its size is that of a micro-batch; bound it
-with ``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or the Kafka offsets per trigger.
+Verification sums up every bucket of a micro-batch before the shuffle by case, so a state handler sees one row per
+``BUCKET_ROWS`` rows of a case. An appending handler must hash every entry of its case in order; bound its batch with
+``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or the Kafka offsets per trigger.
 """
 
 from __future__ import annotations
@@ -10,22 +11,57 @@ import hashlib
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.canonical import body_prefix, json_string, line_hash_ok
 from ..functions.hashing import GENESIS, pipe_material, pipe_prefix, sha256_hex
+from ..operators.ordered import bucket_of
 from .runtime import use_rocksdb
 
 VERDICT = "case_id string, seen bigint, valid_prefix bigint, chain_ok boolean, broken_at bigint, tip string, alert boolean"
 APPENDED = "case_id string, order_no bigint, seq bigint, prev_hash string, entry_hash string, line string"
+STRETCH = ("case_id string, ord bigint, n bigint, first_prev string, first_seq bigint, last_hash string, bad_pos bigint, "
+           "bad_before string")
+
+#: Rows of a case summed up as one in live verification.
+BUCKET_ROWS = 10_000
 
 
 def _joined(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One summary per (case, bucket) of a partition: what the state needs to go over the stretch in one step."""
+    held = list(batches)
+    if not any(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held).sort_by([("case_id", "ascending"), ("bucket", "ascending"), ("ord", "ascending")]).combine_chunks()
+    case, bucket, prev, digest = (np.array(table[c].to_pylist(), object) for c in ("case_id", "bucket", "prev", "hash"))
+    ordinal, seq = table["ord"].to_numpy(), table["seq"].to_numpy()
+    first = np.r_[True, (case[1:] != case[:-1]) | (bucket[1:] != bucket[:-1])]
+    starts = np.flatnonzero(first)
+    ends = np.r_[starts[1:], len(case)]
+    stretch = np.cumsum(first) - 1
+    linked = first | np.r_[True, prev[1:] == digest[:-1]]
+    place = np.arange(len(case)) - starts[stretch]
+    counted = (seq == -1) | (seq - seq[starts][stretch] == place)
+    bad = np.flatnonzero(~(table["hash_ok"].to_numpy(zero_copy_only=False).astype(bool) & linked & counted))
+    broken, at = np.unique(stretch[bad], return_index=True)
+    where = dict(zip(broken.tolist(), bad[at].tolist()))
+    rows = [(case[a], int(ordinal[a]), int(b - a), prev[a], int(seq[a]), digest[b - 1],
+             int(place[where[k]]) + 1 if k in where else None,
+             digest[where[k] - 1] if k in where and where[k] > a else None) for k, (a, b) in enumerate(zip(starts, ends))]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(column, kind) for column, kind in zip(zip(*rows), (
+            pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))],
+        names=[c.split()[0] for c in STRETCH.split(", ")])
+
+
 class ChainWatch(StatefulProcessor):
     """State per case: rows seen, last good hash, length of the valid prefix, first broken position."""
 
@@ -36,14 +72,18 @@ class ChainWatch(StatefulProcessor):
         seen, tip, good, broken = self.state.get() if self.state.exists() else (0, GENESIS, 0, None)
         was_broken = broken is not None
         batch = _joined(rows, "ord")
-        for prev, digest, hash_ok, seq in zip(batch["prev"], batch["hash"], batch["hash_ok"], batch["seq"]):
-            seen += 1
-            if broken is not None:
-                continue
-            if prev == tip and bool(hash_ok) and (seq == -1 or seq == good + 1):
-                tip, good = digest, good + 1
-            else:
-                broken = seen
+        for n, prev, seq, last, bad, before in zip(*(batch[c] for c in ("n", "first_prev", "first_seq", "last_hash", "bad_pos", "bad_before"))):
+            n = int(n)
+            if broken is None:
+                bad = None if pd.isna(bad) else int(bad)
+                if prev != tip or (seq != -1 and seq != good + 1):
+                    bad = 1
+                if bad is None:
+                    tip, good = last, good + n
+                else:
+                    broken = seen + bad
+                    tip, good = tip if bad == 1 else before, good + bad - 1
+            seen += n
         self.state.update((seen, tip, good, broken))
         yield pd.DataFrame({"case_id": [key[0]], "seen": [seen], "valid_prefix": [good], "chain_ok": [broken is None],
                             "broken_at": pd.array([broken], dtype="Int64"), "tip": [tip],
@@ -53,13 +93,9 @@ class ChainWatch(StatefulProcessor):
         pass
 
 
-def verify_stream(rows: DataFrame, dialect: str = "pipe") -> DataFrame:
-    """One verdict row per case and micro-batch; ``alert`` marks the batch of the first break.
-
-    Row hashes are checked before the shuffle. Lines are taken in line order within a batch; a
-    line that comes after its successors is a break, so there is no watermark.
-    """
-    use_rocksdb(rows.sparkSession)
+def stretches(rows: DataFrame, dialect: str = "pipe", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per case, bucket and micro-batch, as ``_stretches`` makes them. Row hashes are checked before the shuffle,
+    which deals a case out by buckets, so no task sees a whole hot case."""
     c = F.col
     if dialect == "pipe":
         digest = sha256_hex(pipe_material(c("ts"), c("operator"), c("action"), c("path"), c("sha256"), c("prev_hash")))
@@ -71,7 +107,17 @@ def verify_stream(rows: DataFrame, dialect: str = "pipe") -> DataFrame:
                            line_hash_ok(c("line"), c("hash")).alias("hash_ok"), F.coalesce("seq", F.lit(0)).alias("seq"))
     else:
         raise ValueError(f"unknown dialect: {dialect}")
-    return slim.groupBy("case_id").transformWithStateInPandas(
+    slim = slim.withColumn("bucket", bucket_of(c("ord"), bucket_rows))
+    return slim.repartition("case_id", "bucket").mapInArrow(_stretches, STRETCH)
+
+
+def verify_stream(rows: DataFrame, dialect: str = "pipe", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One verdict row per case and micro-batch; ``alert`` marks the batch of the first break.
+
+    Entries are taken in order within a batch; one that comes after its successors is a break, so there is no watermark.
+    """
+    use_rocksdb(rows.sparkSession)
+    return stretches(rows, dialect, bucket_rows).groupBy("case_id").transformWithStateInPandas(
         statefulProcessor=ChainWatch(), outputStructType=VERDICT, outputMode="Append", timeMode="None")
 
 
@@ -88,6 +134,9 @@ class ChainAppend(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("tip", "seq bigint, tip string")
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self.state.update((int(initialState["seq"].iloc[0]), initialState["hash"].iloc[0]))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seq, tip = self.state.get() if self.state.exists() else (0, GENESIS)
         batch = _joined(rows, "order_no")
@@ -113,9 +162,11 @@ class ChainAppend(StatefulProcessor):
         pass
 
 
-def append_stream(events: DataFrame, order: str = "id", dialect: str = "pipe") -> DataFrame:
+def append_stream(events: DataFrame, order: str = "id", dialect: str = "pipe", tips: DataFrame | None = None) -> DataFrame:
     """Chains arriving events: sequence, previous hash and hash per event, and in the JSONL dialect
-    the line to write. JSONL events need event, ts and canonical ``data``."""
+    the line to write. JSONL events need event, ts and canonical ``data``. A case listed in ``tips``
+    (case_id, seq, hash; see ``chains.tips_of`` and ``LedgerStore.tips``) goes on from there; tips are read
+    when the query starts for the first time, afterwards its state knows better."""
     use_rocksdb(events.sparkSession)
     c = F.col
     if dialect == "pipe":
@@ -127,4 +178,5 @@ def append_stream(events: DataFrame, order: str = "id", dialect: str = "pipe") -
         raise ValueError(f"unknown dialect: {dialect}")
     slim = events.select("case_id", c(order).alias("order_no"), head.alias("head"), stamp.alias("stamp"))
     return slim.groupBy("case_id").transformWithStateInPandas(
-        statefulProcessor=ChainAppend(), outputStructType=APPENDED, outputMode="Append", timeMode="None")
+        statefulProcessor=ChainAppend(), outputStructType=APPENDED, outputMode="Append", timeMode="None",
+        initialState=None if tips is None else tips.select("case_id", "seq", "hash").groupBy("case_id"))
