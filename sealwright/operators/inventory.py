@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import files as fx
 from ..functions.hashing import sha256_hex
-from ..session import spread
+from ..session import broadcast_if_small, spread
 from .joins import skew_join
 from .ordered import Running, bucket_of, prefix_scan, range_bucketed, with_position
 
@@ -36,6 +36,29 @@ def acquire(inventory: DataFrame, limit: int = fx.LIMIT_ACQUIRE, sniff_bytes: in
     return hashed.withColumn("vault_relpath", fx.blob_name(F.col("sha256")))
 
 
+def acquisition_events(manifest: DataFrame, cases: DataFrame, digests: DataFrame) -> DataFrame:
+    """What acquisition writes to the ledgers, ready for ``build_pipe``: per case its opening, one sealing per accepted
+    file in path order, and the writing of the manifest: case_id, id (from 1), ts, operator, action, path, sha256.
+
+    ``cases``: case_id, operator, source_root, created_unix; a case without files has two events. ``digests``: case_id
+    and the sha256 of the manifest file. Files are numbered over range partitions, so a case of any size spreads.
+    """
+    c = F.col
+    placed = range_bucketed(manifest.select("case_id", "relative_path", "sha256"), ["case_id"], ["relative_path", "sha256"])
+    numbered = prefix_scan(placed, ["case_id"], "_bucket", "_ord", [Running("n", "count")])
+    sized = broadcast_if_small(cases.join(manifest.groupBy("case_id").agg(F.count(F.lit(1)).alias("files")), "case_id", "left")
+                               .join(digests.select("case_id", c("sha256").alias("manifest_sha256")), "case_id", "left"))
+    stamp = (c("created_unix").alias("ts"), c("operator"))
+    sealed = skew_join(numbered, sized.select("case_id", "created_unix", "operator"), ["case_id"]).select(
+        "case_id", (c("n") + 1).alias("id"), *stamp, F.lit("ingest-seal").alias("action"), c("relative_path").alias("path"), "sha256")
+    ends = sized.select("case_id", *stamp, F.inline(F.array(
+        F.struct(F.lit(1).cast("bigint").alias("id"), F.lit("case-open").alias("action"), c("source_root").alias("path"),
+                 F.sha2("case_id", 256).alias("sha256")),
+        F.struct((F.coalesce("files", F.lit(0)) + 2).alias("id"), F.lit("manifest-write").alias("action"),
+                 F.lit("manifest.json").alias("path"), c("manifest_sha256").alias("sha256")))))
+    return sealed.unionByName(ends)
+
+
 def acquire_summary(inventory: DataFrame, verdict: DataFrame, limit: int = fx.LIMIT_ACQUIRE) -> DataFrame:
     """Acquired and skipped counts per case beside the ledger's event count and chain verdict."""
     counted = with_skips(inventory, limit).groupBy("case_id").agg(

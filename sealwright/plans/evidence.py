@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import files as fx
 from ..operators import chains, inventory as inv
 from ..session import settle
-from ..sources import evidence as src
+from ..sources import evidence as src, walk
 from . import tables as t
 
 LIMIT = 6000
@@ -176,7 +176,56 @@ def _scan(spark, sf_dir):
     return t.once(spark, sf_dir, "scan", build)
 
 
+ACQUIRED_AT = 1_700_000_000
+
+
+def _acquired(spark, sf_dir):
+    """Ledger rows of an acquisition from files: one case per nation, one folder per supplier, files above the scan
+    limit passed by."""
+    def build():
+        path = t.scratch(settle(spark), "acquired-files")
+        s = t.table(spark, sf_dir, "supplier")
+        s.select("s_nationkey", "s_suppkey", F.concat_ws("|", "s_name", "s_nationkey").alias("line")).write.mode(
+            "errorifexists").partitionBy("s_nationkey", "s_suppkey").text(path)
+        cases = t.table(spark, sf_dir, "nation").select(
+            F.concat(F.lit("case-"), "n_name").alias("case_id"), F.lit("op").alias("operator"),
+            F.concat(F.lit(f"{path}/s_nationkey="), F.col("n_nationkey").cast("string")).alias("source_root"),
+            F.lit(ACQUIRED_AT).cast("bigint").alias("created_unix"))
+        # nations without suppliers have no folder, which is an error row and no file
+        found = walk.list_evidence(cases.select("case_id", F.col("source_root").alias("root")), hidden=False)
+        manifest = inv.acquire(walk.with_content(found, SCAN_LIMIT), SCAN_LIMIT)
+        digests = cases.select("case_id", F.sha2(F.concat("case_id", F.lit(" manifest")), 256).alias("sha256"))
+        return chains.build_pipe(inv.acquisition_events(manifest, cases, digests))
+    rows = chains.hash_ok(t.once(spark, sf_dir, "acquired", build))
+    place = F.when(F.col("action") == "ingest-seal", F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1)).otherwise(F.lit(""))
+    return rows.select("case_id", "id", "ts", "action", place.alias("supplier"), "sha256", "hash_ok")
+
+
+ACQUIRED_SQL = f"""
+WITH files AS (
+  SELECT n_name, s_suppkey, s_name || '|' || s_nationkey || chr(10) AS body FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+kept AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey || '/') AS r FROM files
+         WHERE octet_length(body::BLOB) <= {SCAN_LIMIT}),
+events AS (
+  SELECT n_name, 1 AS id, 'case-open' AS action, '' AS supplier, sha256('case-' || n_name) AS sha256 FROM nation
+  UNION ALL SELECT n_name, r + 1, 'ingest-seal', s_suppkey::VARCHAR, sha256(body) FROM kept
+  UNION ALL SELECT n.n_name, 2 + count(k.r), 'manifest-write', '', sha256('case-' || n.n_name || ' manifest')
+            FROM nation n LEFT JOIN kept k USING (n_name) GROUP BY n.n_name)
+SELECT 'case-' || n_name AS case_id, id, {ACQUIRED_AT} AS ts, action, supplier, sha256, true AS hash_ok FROM events"""
+
+
+def _in_order(spark, sf_dir):
+    """The supplier files of ``evidence_scan`` in name order."""
+    path = t.scratch(settle(spark), "named-files")
+    t.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("line")).write.partitionBy("s_suppkey").text(path)
+    return src.in_name_order(src.scan_evidence(spark, path)).select(
+        F.regexp_extract("folder", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("supplier"), "length",
+        F.regexp_extract("name", r"(\.[a-z]+)$", 1).alias("ending"))
+
+
 QUERIES = {
+    "acquisition_events": _acquired,
+    "evidence_in_order": _in_order,
     "evidence_scan": _scan,
     "evidence_manifest": _manifest,
     "evidence_skips": lambda s, d: inv.skip_summary(inventory(s, d), LIMIT),
@@ -232,6 +281,9 @@ SELECT {key}, CASE WHEN h = '' THEN true ELSE
 FROM (SELECT {key}, substr(lower(hex(encode({col}))), 1, 1024) AS h FROM {tab})"""
 
 ORACLE = {
+    "acquisition_events": ACQUIRED_SQL,
+    "evidence_in_order": """
+SELECT s_suppkey AS supplier, octet_length(s_name::BLOB) + 1 AS length, '.txt' AS ending FROM supplier""",
     "evidence_manifest": INVENTORY_SQL + "SELECT * FROM manifest",
     "evidence_skips": INVENTORY_SQL + "SELECT case_id, reason, count(*) AS files FROM verdicts WHERE reason IS NOT NULL GROUP BY ALL",
     "evidence_acquire_summary": INVENTORY_SQL.replace("WITH inventory", t.LEDGER_SQL.strip() + ",\ninventory", 1) + f""",
