@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.reports import GLARE_LEVEL, SHADOW_LEVEL
-from ..session import spread, stage
+from ..session import broadcast_if_small, spread, stage
 from .batches import borders, whole_groups
 from .components import connected_components
 from .joins import skew_join
@@ -115,39 +115,50 @@ def span_node(y: Column, x0: Column) -> Column:
 BAND_ROWS = 256
 
 
-def _touching_roots(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """Smallest row index of the region each run belongs to; runs sorted by (y, x0)."""
-    parent = list(range(len(y)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-    rows = borders(y).tolist()
-    ys, lo, hi = y.tolist(), x0.tolist(), x1.tolist()
-    for r in range(1, len(rows) - 1):
-        i, i_end, j, j_end = rows[r - 1], rows[r], rows[r], rows[r + 1]
-        if ys[j] != ys[i] + 1:
-            continue
-        while i < i_end and j < j_end:
-            if lo[j] <= hi[i] + 1 and lo[i] <= hi[j] + 1:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-            if hi[i] < hi[j]:
-                i += 1
-            else:
-                j += 1
-    return np.array([root(i) for i in range(len(y))], dtype=np.int64)
+def _touching_roots(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Smallest row index of the region each run belongs to; runs sorted by (group, y, x0), groups apart.
+
+    Runs of a row do not overlap, so those that touch a run from the row below are one stretch, found by binary search.
+    Labels then sink to the smallest of each region by hooking and pointer jumping, a few passes over whole arrays.
+    """
+    n = len(y)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    group = np.zeros(n, dtype=np.int64) if group is None else group
+    same = group[1:] == group[:-1]
+    # rows that follow each other get numbers one apart, all others more
+    step = np.where(same & (y[1:] == y[:-1]), 0, np.where(same & (y[1:] == y[:-1] + 1), 1, 2))
+    row = np.concatenate([[0], np.cumsum(step)])
+    low = int(x0.min()) - 1
+    width = int(x1.max()) - low + 3
+    lefts, rights = row * width + (x0 - low), row * width + (x1 - low)
+    first = np.searchsorted(rights, (row + 1) * width + (x0 - low) - 1, "left")
+    after = np.searchsorted(lefts, (row + 1) * width + (x1 - low) + 1, "right")
+    count = np.maximum(after - first, 0)
+    upper = np.repeat(np.arange(n), count)
+    lower = np.arange(len(upper)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    label = np.arange(n)
+    while True:
+        a, b = label[upper], label[lower]
+        apart = a != b
+        if not apart.any():
+            return label
+        upper, lower, a, b = upper[apart], lower[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            higher = label[label]
+            if np.array_equal(higher, label):
+                break
+            label = higher
 
 
 def _label_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds the first run of the region each run belongs to, per (page, band)."""
     for cols in whole_groups(batches, ("page_id", "band", "y", "x0", "x1"), ("page_id", "band")):
-        y, x0, x1 = cols["y"], cols["x0"], cols["x1"]
         edges = borders(cols["page_id"], cols["band"])
-        first = np.concatenate([_touching_roots(y[a:b], x0[a:b], x1[a:b]) + a for a, b in zip(edges[:-1], edges[1:])])
-        yield pd.DataFrame({**cols, "root_y": y[first], "root_x": x0[first]})
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        first = _touching_roots(cols["y"], cols["x0"], cols["x1"], group)
+        yield pd.DataFrame({**cols, "root_y": cols["y"][first], "root_x": cols["x0"][first]})
 
 
 def regions(spans: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -386,29 +397,70 @@ def column_switches(ordered: DataFrame) -> DataFrame:
     return seen.groupBy("page_id").agg(F.count_if(moved).alias("switches"))
 
 
-def block_density(blocks: DataFrame, ink: DataFrame, tile: int = 64) -> DataFrame:
+def _corner_counts(key: tuple, dots: pd.DataFrame, corners: pd.DataFrame) -> pd.DataFrame:
+    """Ink left of and above every corner of one group, from a summed-area table of the group: two running sums, over
+    its rows and over the columns at which corners lie."""
+    if not len(corners) or not len(dots):
+        return pd.DataFrame({"page_id": pd.Series(dtype=object), "cx": [], "cy": [], "n": []})
+    at = np.unique(corners["cx"].to_numpy())
+    first = int(dots["row"].min())
+    table = np.zeros((int(dots["row"].max()) - first + 1, len(at) + 1), dtype=np.int64)
+    np.add.at(table, (dots["row"].to_numpy() - first, np.searchsorted(at, dots["x"].to_numpy(), "left")), dots["n"].to_numpy())
+    table = table.cumsum(axis=0).cumsum(axis=1)
+    last = np.minimum(corners["row"].to_numpy() - first, len(table) - 1)
+    n = np.where(last >= 0, table[last, np.searchsorted(at, corners["cx"].to_numpy())], 0)
+    return pd.DataFrame({"page_id": corners["page_id"], "cx": corners["cx"], "cy": corners["cy"], "n": n})
+
+
+def ink_before(corners: DataFrame, ink: DataFrame, tile: int = 256) -> DataFrame:
+    """Summed-area lookups: for corners (page_id, cx, cy; distinct, from 0) rows (page_id, cx, cy, n) whose ``n`` add up
+    to the ink at or left of cx and at or above cy. Corners without ink have no rows.
+
+    Rows of a page form groups of ``tile``, these form groups of ``tile`` groups, and so on. On the lowest level a corner
+    counts the rows of its group down to its own, on every other one the groups of its group before its own. Each
+    (page, level, group) holds at most ``tile`` rows of counts, so a large page spreads over many tasks.
+    """
+    c = F.col
+    tallest = corners.agg(F.max("cy")).first()[0] or 0
+    levels = 1
+    while tile ** levels <= tallest:
+        levels += 1
+    unit = F.pow(F.lit(float(tile)), c("level")).cast("bigint")
+    by_level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+
+    def placed(rows: DataFrame, y: Column) -> DataFrame:
+        return rows.withColumn("row", F.call_function("div", y.cast("bigint"), unit)).withColumn(
+            "group", F.call_function("div", c("row"), F.lit(tile)))
+
+    dots = placed(ink.where(c("y") <= tallest).select("page_id", "x", "y", by_level), c("y")).groupBy(
+        "page_id", "level", "group", "row", "x").agg(F.count(F.lit(1)).alias("n"))
+    # above the lowest level a corner's own row was counted below
+    wanted = placed(corners.select("*", by_level), c("cy")).withColumn(
+        "row", F.when(c("level") == 0, c("row")).otherwise(c("row") - 1))
+    page_type = corners.schema["page_id"].dataType.simpleString()
+    keys = ("page_id", "level", "group")
+    return dots.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(
+        _corner_counts, f"page_id {page_type}, cx bigint, cy bigint, n bigint")
+
+
+def block_density(blocks: DataFrame, ink: DataFrame, tile: int = 256) -> DataFrame:
     """Share of ink in every block, four decimals half-even.
 
-    Tiles wholly inside a block add their counted ink; only tiles on its rim are checked pixel by
-    pixel. A block thus meets at most one tile's pixels per rim tile, never the whole page.
+    The ink of a block is four lookups in a summed-area table of its page (see ``ink_before``): one row per block
+    corner, however large the block.
     """
     c = F.col
     block_id = ["page_id", "x", "y", "w", "h"]
     unique = blocks.select(*block_id).distinct()
-    last = lambda at, size: F.floor((c(at) + c(size) - 1) / tile)
-    tiles = unique.withColumn("tx", F.explode(F.sequence(F.floor(c("x") / tile), last("x", "w")))) \
-        .withColumn("ty", F.explode(F.sequence(F.floor(c("y") / tile), last("y", "h"))))
-    inside = ((c("tx") * tile >= c("x")) & ((c("tx") + 1) * tile <= c("x") + c("w"))
-              & (c("ty") * tile >= c("y")) & ((c("ty") + 1) * tile <= c("y") + c("h")))
-    dots = ink.select("page_id", F.floor(c("x") / tile).alias("tx"), F.floor(c("y") / tile).alias("ty"),
-                      c("x").alias("px"), c("y").alias("py"))
-    totals = dots.groupBy("page_id", "tx", "ty").agg(F.count(F.lit(1)).alias("ink"))
-    whole = tiles.where(inside).join(totals, ["page_id", "tx", "ty"]).select(*block_id, "ink")
-    within = ((c("px") >= c("x")) & (c("px") < c("x") + c("w")) & (c("py") >= c("y")) & (c("py") < c("y") + c("h")))
-    rim = tiles.where(~inside).join(dots, ["page_id", "tx", "ty"]).where(within).select(*block_id, F.lit(1).alias("ink"))
-    counted = whole.unionByName(rim).groupBy(*block_id).agg(F.sum("ink").alias("ink"))
-    joined = unique.join(counted, block_id, "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
-    return joined.withColumn("density", F.bround(c("ink") / (c("w") * c("h")), 4))
+    left, top = c("x").cast("bigint") - 1, c("y").cast("bigint") - 1
+    right, bottom = left + c("w"), top + c("h")
+    signed = [F.struct(cx.alias("cx"), cy.alias("cy"), F.lit(sign).alias("sign"))
+              for cx, cy, sign in ((right, bottom, 1), (left, bottom, -1), (right, top, -1), (left, top, 1))]
+    looked = unique.select("*", F.inline(F.filter(F.array(*signed), lambda s: (s["cx"] >= 0) & (s["cy"] >= 0))))
+    counts = ink_before(looked.select("page_id", "cx", "cy").distinct(), ink, tile)
+    counted = looked.join(counts, ["page_id", "cx", "cy"], "left").groupBy(*block_id).agg(
+        F.coalesce(F.sum(c("sign") * c("n")), F.lit(0)).alias("ink"))
+    return counted.withColumn("density", F.bround(c("ink") / (c("w") * c("h")), 4))
 
 
 def ink_f1(pred: DataFrame, truth: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
@@ -451,18 +503,20 @@ def composite(samples: DataFrame, reference: DataFrame, hi: int = GLARE_LEVEL, l
     page the reference frame is kept.
     """
     c = F.col
-    per_sample = samples.groupBy("page_id", "y", "x", "frame").agg(
-        F.avg("v").alias("grey"), F.bool_and("valid").alias("valid"),
-        F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("values"))
+    # one exchange of the samples: both groupings below are by what they were dealt out on, and more
+    dealt = samples.repartition("page_id", "y", "x")
+    per_sample = dealt.groupBy("page_id", "y", "x", "frame").agg(
+        F.avg("v").alias("grey"), F.bool_and("valid").alias("valid"), F.collect_list(F.struct("channel", "v")).alias("values"))
     clipped = (c("grey") >= hi) | (c("grey") <= lo)
-    usable = per_sample.withColumn("clean", c("valid") & ~clipped)
     used = (samples.where("valid").select("page_id", "frame").distinct()
             .groupBy("page_id").agg(F.count(F.lit(1)).alias("frames_used")))
-    setup = reference.select("page_id", "reference").join(used, "page_id", "left")
-    placed = skew_join(usable, setup, ["page_id"])
+    # one row per page
+    setup = broadcast_if_small(reference.select("page_id", "reference").join(used, "page_id", "left"))
     is_ref = c("frame") == c("reference")
-    long = placed.select("page_id", "y", "x", "clean", is_ref.alias("is_ref"), "frames_used",
-                         (is_ref & c("valid") & clipped).alias("ref_clipped"), F.explode("values").alias("channel", "v"))
+    long = per_sample.join(setup, "page_id").select(
+        "page_id", "y", "x", (c("valid") & ~clipped).alias("clean"), is_ref.alias("is_ref"), "frames_used",
+        (is_ref & c("valid") & clipped).alias("ref_clipped"), F.inline("values"))
+    # the exact median keeps counts per level, at most 256 of them
     out = long.groupBy("page_id", "y", "x", "channel").agg(
         F.max(F.when(c("is_ref"), c("v"))).alias("ref_v"), F.max("ref_clipped").alias("ref_clipped"),
         F.percentile(F.when(c("clean"), c("v")), F.lit(0.5)).alias("median"), F.max("frames_used").alias("frames_used"))
@@ -492,5 +546,20 @@ def batch_summary(results: DataFrame, *by: str) -> DataFrame:
         F.count_if(~F.col("ok")).alias("failed"), F.sum("ms").alias("total_ms"))
 
 
+def batch_sketches(results: DataFrame, *by: str, k: int = 200) -> DataFrame:
+    """Timing sketches of a run (``ms``, bigint), to be kept beside its results: ``by``, ``n`` and ``sketch``. Runs of any
+    size leave a few kilobytes; up to ``k`` timings are kept as they are."""
+    return results.where(F.col("ms").isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint(F.col("ms").cast("bigint"), k).alias("sketch"))
+
+
+def batch_quantiles(sketches: DataFrame, *by: str, shares: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Timing quantiles over the sketches of one or many runs, merged per ``by``: ``n`` and one column per share, such
+    as ``p50``: the least timing that at least this share of all does not exceed."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias(f"p{q * 100:g}".replace(".", "_"))
+                                     for q in shares])
+
+
 def batch_failures(results: DataFrame) -> DataFrame:
     return results.where(~F.col("ok")).select("source", "error")

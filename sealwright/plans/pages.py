@@ -260,6 +260,14 @@ def batch_results(spark, sf_dir):
         F.floor("o_totalprice").cast("bigint").alias("ms"))
 
 
+def timing_quantiles(spark, sf_dir):
+    """Page timings per customer, sketched in two runs that are merged afterwards."""
+    o = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.floor("o_totalprice").cast("bigint").alias("ms"),
+                                                (F.col("o_orderstatus") == "F").alias("early"))
+    runs = pg.batch_sketches(o, "customer", "early")
+    return pg.batch_quantiles(runs, "customer")
+
+
 def _with_columns(ordered):
     return ordered.withColumn("column", F.floor(F.col("x") / 500))
 
@@ -305,6 +313,7 @@ QUERIES = {
     "report_odd_sizes": lambda s, d: t.table(s, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", fr.odd(F.col("l_quantity") / 4, 3).alias("kernel")),
     "batch_summary": lambda s, d: pg.batch_summary(batch_results(s, d), "batch"),
+    "batch_quantiles": timing_quantiles,
     "batch_failures": lambda s, d: pg.batch_failures(batch_results(s, d)),
 }
 
@@ -374,5 +383,8 @@ FROM (SELECT *, greatest(round_even(l_quantity / 4, 0)::INTEGER, 3) AS n FROM li
     "batch_summary": """
 SELECT o_orderpriority AS batch, count(*) AS total, count(*) FILTER (WHERE o_orderstatus <> 'P') AS sealed,
        count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, sum(floor(o_totalprice)::BIGINT)::BIGINT AS total_ms FROM orders GROUP BY 1""",
+    "batch_quantiles": """
+SELECT o_custkey AS customer, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.9) AS p90, quantile_disc(ms, 0.99) AS p99
+FROM (SELECT o_custkey, floor(o_totalprice)::BIGINT AS ms FROM orders) GROUP BY 1""",
     "batch_failures": "SELECT o_orderkey::VARCHAR AS source, 'not a regular file' AS error FROM orders WHERE o_orderstatus = 'P'",
 }
