@@ -70,6 +70,30 @@ def derive_keys(salts: DataFrame, passphrases: DataFrame, domain: bytes,
     return pairs.repartition(width, "salt").mapInPandas(run, "salt binary, passphrase_ref string, key binary")
 
 
+#: Keys of at most this many bytes travel to the contents; beyond, keys are brought to the contents' ids.
+MOST_KEY_BYTES = 64 << 20
+_KEY_ROW = 256
+
+
+def key_rows(salts: DataFrame) -> int:
+    """Number of keys ``derive_keys`` gives for ``salts``, at most; counted on the narrow columns."""
+    return salts.select("salt", "passphrase_ref").distinct().count()
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame, how: str, known: int | None) -> DataFrame:
+    """``rows`` with the ``key`` of their salt and passphrase, never dealing contents out by salt: one salt may have sealed
+    them all. With ``known`` keys of checked size these are broadcast. Otherwise the narrow columns of a row name it, they
+    are joined to the keys, and what was found is brought back to the contents by that name."""
+    pair = ["salt", "passphrase_ref"]
+    if known is not None and known * _KEY_ROW <= MOST_KEY_BYTES:
+        return rows.join(F.broadcast(keys.select(*pair, "key")), pair, how)
+    plain = ("string", "bigint", "int", "smallint", "tinyint", "date", "timestamp", "boolean")
+    name = [f.name for f in rows.schema.fields if f.name not in pair and f.dataType.simpleString() in plain]
+    found = skew_join(rows.select(*name, *pair).distinct(), keys.select(*pair, "key"), pair)
+    found = found.select(F.struct(*[F.col(n) for n in (*name, *pair)]).alias("_name"), "key")
+    return rows.withColumn("_name", F.struct(*[F.col(n) for n in (*name, *pair)])).join(found, "_name", how).drop("_name")
+
+
 # ---- stretched layout -------------------------------------------------------------------
 
 def audit_stretched(blob: Column) -> Column:
@@ -84,20 +108,21 @@ def stretched_salt(blob: Column) -> Column:
     return F.substring(blob, len(STRETCHED_MAGIC) + 2, SALT_BYTES)
 
 
-def seal_stretched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def seal_stretched(rows: DataFrame, keys: DataFrame, known_keys: int | None = None) -> DataFrame:
     """Adds ``blob`` to rows with content, salt and passphrase_ref. The cipher output already is
-    nonce, ciphertext and tag in a row, so the header is simply put in front."""
-    joined = skew_join(rows, keys, ["salt", "passphrase_ref"], "inner")
+    nonce, ciphertext and tag in a row, so the header is simply put in front. ``known_keys`` bounds the
+    number of ``keys`` (see ``key_rows``)."""
+    joined = _with_keys(rows, keys, "inner", known_keys)
     header = F.concat(F.lit(STRETCHED_MAGIC), F.lit(bytes([STRETCHED_VERSION])))
     return joined.withColumn("blob", F.concat(header, F.col("salt"), F.aes_encrypt("content", "key", F.lit("GCM")))) \
         .drop("key")
 
 
-def open_stretched(blobs: DataFrame, keys: DataFrame) -> DataFrame:
+def open_stretched(blobs: DataFrame, keys: DataFrame, known_keys: int | None = None) -> DataFrame:
     """Adds ``plain`` (null where header or authentication fails) and ``fault``."""
     c = F.col
     marked = blobs.withColumns({"fault": audit_stretched(c("blob")), "salt": stretched_salt(c("blob"))})
-    joined = skew_join(marked, keys, ["salt", "passphrase_ref"], "left")
+    joined = _with_keys(marked, keys, "left", known_keys)
     body = F.substring(c("blob"), _BODY_AT, 2147483647)
     plain = F.when(c("fault").isNull(), F.try_aes_decrypt(body, c("key"), F.lit("GCM")))
     opened = joined.withColumn("plain", plain)
@@ -105,9 +130,9 @@ def open_stretched(blobs: DataFrame, keys: DataFrame) -> DataFrame:
     return opened.withColumn("fault", fault).drop("key", "salt")
 
 
-def fixity_check(blobs: DataFrame, keys: DataFrame, manifest: DataFrame) -> DataFrame:
+def fixity_check(blobs: DataFrame, keys: DataFrame, manifest: DataFrame, known_keys: int | None = None) -> DataFrame:
     """Every manifest row against its opened blob: ok, mismatch, missing or the header fault."""
-    opened = open_stretched(blobs, keys).select(
+    opened = open_stretched(blobs, keys, known_keys).select(
         "case_id", "vault_relpath", F.lit(True).alias("found"), "fault",
         sha256_hex(F.col("plain")).alias("blob_sha256"), F.length("plain").cast("bigint").alias("blob_size"))
     joined = skew_join(manifest, opened, ["case_id", "vault_relpath"], "left")

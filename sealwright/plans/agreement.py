@@ -194,7 +194,7 @@ def stretched_blobs(spark, sf_dir):
     """Sealed documents, then damaged: a flipped magic, a wrong version, a cut, a changed body."""
     def build():
         rows = _salted(spark, sf_dir).dropDuplicates(["case_id", "vault_relpath"])
-        sealed = vaults.seal_stretched(rows, _keys(spark, sf_dir))
+        sealed = vaults.seal_stretched(rows, _keys(spark, sf_dir), vaults.key_rows(rows))
         b, n = F.col("blob"), F.length("blob")
         damaged = (F.when(F.col("digit") == "0", F.concat(F.lit(b"XXXX"), F.substring(b, 5, 2147483647)))
                    .when(F.col("digit") == "1", F.concat(F.substring(b, 1, 4), F.lit(b"\x02"), F.substring(b, 6, 2147483647)))
@@ -208,7 +208,7 @@ def stretched_blobs(spark, sf_dir):
 def fixity(spark, sf_dir):
     wrong = manifest(spark, sf_dir).withColumn("size_bytes", F.col("size_bytes") + F.when(
         F.substring("sha256", 1, 1) == "5", 1).otherwise(0))
-    return vaults.fixity_check(stretched_blobs(spark, sf_dir), _keys(spark, sf_dir), wrong).select(
+    return vaults.fixity_check(stretched_blobs(spark, sf_dir), _keys(spark, sf_dir), wrong, vaults.key_rows(_salted(spark, sf_dir))).select(
         "case_id", "relative_path", "fixity")
 
 
@@ -270,7 +270,23 @@ def role_open(spark, sf_dir):
                       F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("sha256", F.lit("none")).alias("sha256"))
 
 
+def manifest_documents(spark, sf_dir):
+    """Manifest documents, one JSON file per supplier with two evidence records, read as rows."""
+    path = t.scratch(spark, "manifest-documents")
+    sup = t.table(spark, sf_dir, "supplier")
+    record = lambda n: F.struct(
+        F.concat(F.lit("/e/"), F.lit(n)).alias("source_path"), F.lit(n).alias("relative_path"), F.length("s_name").cast("bigint").alias("size_bytes"),
+        F.sha2(F.concat("s_name", F.lit(n)), 256).alias("sha256"), F.lit("txt").alias("claimed_extension"), F.lit("text").alias("magic_hint"),
+        F.concat(F.lit("vault/"), F.sha2(F.concat("s_name", F.lit(n)), 256), F.lit(".arcv")).alias("vault_relpath"))
+    doc = F.to_json(F.struct(
+        F.lit("t").alias("tool"), F.lit("1").alias("version"), F.col("s_name").alias("case_id"), F.lit("op").alias("operator"),
+        F.lit(1_700_000_000).alias("created_unix"), F.lit("/e").alias("source_root"), F.array(record("a.txt"), record("b.txt")).alias("evidence")))
+    sup.select("s_suppkey", doc.alias("doc")).write.partitionBy("s_suppkey").text(path)
+    return msrc.read_manifests(spark, path).select("case_id", "relative_path", "size_bytes", "sha256", "vault_relpath")
+
+
 QUERIES = {
+    "manifest_documents": manifest_documents,
     "vault_verify": lambda s, d: rec.verify_vault(manifest(s, d), blobs(s, d)).select(
         "case_id", "relative_path", "vault_status"),
     "vault_verify_summary": lambda s, d: rec.verify_summary(
@@ -296,6 +312,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "manifest_documents": """
+SELECT s_name AS case_id, f AS relative_path, length(s_name) AS size_bytes, sha256(s_name || f) AS sha256,
+       'vault/' || sha256(s_name || f) || '.arcv' AS vault_relpath FROM supplier, (VALUES ('a.txt'), ('b.txt')) v(f)""",
     "vault_verify": DOCS_SQL + "SELECT case_id, relative_path, vault_status FROM vaulted",
     "vault_verify_summary": DOCS_SQL.replace("WITH docs", t.LEDGER_SQL.strip() + ",\ndocs", 1) + f""",
 verdict AS (SELECT case_id, count(*) AS events, bool_and({t.ROW_OK_SQL}) AS chain_ok FROM edited GROUP BY case_id),
