@@ -9,7 +9,8 @@ The corpus is held as blocks of documents: token numbers and the hashes of the b
 of its distinct n-grams once, however often they occur, so frequent words and copied documents weigh no more than
 others; the requests, sorted runs of 64-bit hashes, are shuffled to the part that owns a range of hashes. The part
 adds up the training counts of all blocks, writes its piece of the n-gram table, and answers. Backoff weights are
-asked for in the same way. No table passes through the driver; only counts of counts do, a few numbers per order.
+asked for in the same way, but only of contexts that other blocks have, too: of a context that occurs in one block all
+continuations lie there, so the block weighs it exactly by itself. No table passes through the driver; only counts of counts do, a few numbers per order.
 """
 
 from __future__ import annotations
@@ -117,10 +118,11 @@ def make_blocks(docs: DataFrame, held: int = 0, parts: int = 10, block_tokens: i
 
 @dataclass
 class Grams:
-    """The distinct n-grams of a block: sorted keys, first position of each, number of every position."""
+    """The distinct n-grams of a block: keys (sorted), one position of each, number of every position. As contexts they
+    have no positions, and the run of begin marks comes last."""
 
     keys: np.ndarray
-    first: np.ndarray
+    first: np.ndarray | None
     at: np.ndarray
 
 
@@ -131,27 +133,34 @@ class Block:
         self.name = row.block
         self.ids, self.flags = expand(row.ids, np.int64), expand(row.flags, np.uint8)
         self.lengths = expand(row.lengths, np.int64)
-        stream = expand(row.vocab, np.uint64)[expand(row.tokens, np.uint32)]
-        pad = order - 1
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.starts = starts
-        # before each text as many begin marks as a context is long
-        real = np.arange(len(stream)) + pad * (1 + np.repeat(np.arange(len(self.lengths)), self.lengths))
-        padded = np.full(len(stream) + pad * len(self.lengths), BEGIN, np.uint64)
-        padded[real] = stream
-        run, self.grams, self.contexts = padded, {}, {}
-        for k in range(1, order + 1):
-            if k > 1:
-                self.contexts[k] = self._distinct(run[real - 1])
-                before = np.roll(run, 1)
-                before[0] = 0
-                run = _mix(before * _A + padded * _B + np.uint64(k))
-            self.grams[k] = self._distinct(run[real])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        vocab, tokens = expand(row.vocab, np.uint64), expand(row.tokens, np.uint32)
+        stream = vocab[tokens]
+        # words are sorted once in the vocabulary, not in the text
+        keys, number = np.unique(vocab, return_inverse=True)
+        at = number[tokens]
+        first = np.empty(len(keys), np.int64)
+        first[at] = np.arange(len(at))
+        self.grams, self.contexts = {1: Grams(keys, first, at)}, {}
+        begin = np.array([BEGIN], np.uint64)
+        for k in range(2, order + 1):
+            below = self.grams[k - 1]
+            context = np.roll(below.at, 1)
+            context[self.starts] = len(below.keys)
+            self.contexts[k] = Grams(np.concatenate([below.keys, begin]), None, context)
+            self.grams[k] = self._distinct(_mix(self.contexts[k].keys[context] * _A + stream * _B + np.uint64(k)))
+            begin = _mix(begin * _A + np.array([BEGIN], np.uint64) * _B + np.uint64(k))
         self.training = np.repeat(self.flags == TRAIN, self.lengths)
 
     @staticmethod
     def _distinct(keys: np.ndarray) -> Grams:
-        return Grams(*np.unique(keys, return_index=True, return_inverse=True))
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.cumsum(new) - 1
+        return Grams(ordered[new], order[new], at)
 
     def training_counts(self, k: int) -> np.ndarray:
         g = self.grams[k]
@@ -227,8 +236,9 @@ def ask_counts(blocks: DataFrame, order: int, parts: dict[int, int]) -> DataFram
 
 
 def _answer_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """One part: the sum of all blocks' counts. Answers carry the counts with one bit that marks, for every
-    n-gram, a single block as the one to speak for it; the part's table and counts of counts go along."""
+    """One part: the sum of all blocks' counts. Answers carry the counts with two bits: whether other blocks have the
+    n-gram, too, and, of all that have it, for a single one that it is to speak for it. The part's table and counts
+    of counts go along."""
     order, part = int(rows["order"].iloc[0]), int(rows["part"].iloc[0])
     rows = rows.sort_values("block", kind="stable")
     asked = [expand_keys(k) for k in rows["keys"]]
@@ -237,7 +247,7 @@ def _answer_counts(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(at, weights=mine, minlength=len(keys)).astype(np.int64)
     speaks = np.zeros(len(at), np.int64)
     speaks[first] = 1
-    reply = total[at] * 2 + speaks
+    reply = total[at] * 4 + 2 * (np.bincount(at) > 1)[at] + speaks
     ends = np.cumsum([len(a) for a in asked])[:-1]
     out = [("answer", order, part, b, None, squeeze(r)) for b, r in zip(rows["block"], np.split(reply, ends))]
     known = total > 0
@@ -248,42 +258,24 @@ def _answer_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "order", "part", "block", "keys", "values"])
 
 
-def _gather(answers: pd.DataFrame, kind: str, order: int, width: np.dtype | type) -> np.ndarray:
+def _told(answers: pd.DataFrame, kind: str, order: int) -> list[bytes]:
     rows = answers[(answers["kind"] == kind) & (answers["order"] == order)].sort_values("part")
-    return np.concatenate([expand(v, width) for v in rows["values"]])
-
-
-def _weights_of(answers: pd.DataFrame, orders: range) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    out = {}
-    for k in orders:
-        flat = _gather(answers, "weight", k, np.dtype("f8,f8"))
-        out[k] = flat["f0"], flat["f1"]
-    return out
+    return list(rows["values"])
 
 
-def ask_weights(blocks: DataFrame, answers: DataFrame, model: Model, k: int, parts: int) -> DataFrame:
-    """For every context of length k - 1: how many of the n-grams the block speaks for were seen how often, the
-    sum of larger counts, and the lower-order probability of the seen ones."""
-    order = model.order
+@dataclass
+class Counts:
+    """What a block was told of its n-grams of one order: counts in training, whether it speaks for them, and whether
+    other blocks have them."""
 
-    def per_block(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        b = Block(next(rows.itertuples(index=False)), order)
-        told = {j: _gather(replies, "answer", j, np.int64) for j in range(1, k + 1)}
-        counts = {j: t >> 1 for j, t in told.items()}
-        lower = log_probabilities(b, model, k - 1, counts, _weights_of(replies, range(2, k)))
-        g, contexts = b.grams[k], b.contexts[k]
-        n = len(contexts.keys)
-        own = np.flatnonzero((told[k] & 1 == 1) & (counts[k] > 0))
-        c, context = counts[k][own], contexts.at[g.first[own]]
-        table = np.zeros((n, SMALL + 2))
-        np.add.at(table, (context, np.minimum(c, SMALL + 1) - 1), np.where(c > SMALL, c, 1))
-        table[:, SMALL + 1] = np.bincount(context, weights=10.0 ** lower[b.grams[k - 1].at[g.first[own]]], minlength=n)
-        packed = np.ascontiguousarray(table).view(np.dtype((np.void, 8 * (SMALL + 2)))).ravel()
-        asked = [(k, p, b.name, squeeze_keys(contexts.keys[s]), squeeze(packed[s])) for p, s in
-                 slices(contexts.keys, parts)]
-        return pd.DataFrame(asked, columns=["order", "part", "block", "keys", "values"])
+    n: np.ndarray
+    speaks: np.ndarray
+    shared: np.ndarray
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(per_block, REQUESTS)
+    @classmethod
+    def of(cls, answers: pd.DataFrame, k: int) -> Counts:
+        raw = np.concatenate([expand(v, np.int64) for v in _told(answers, "answer", k)])
+        return cls(raw >> 2, raw & 1 == 1, raw & 2 == 2)
 
 
 def _weigh(ratio: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,6 +290,73 @@ def _weigh(ratio: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.log10(free / np.where(total > 0, rest, 1.0)), norm
 
 
+def contributions(block: Block, k: int, told: Counts, lower: np.ndarray) -> np.ndarray:
+    """For every context of order k: how many of the n-grams the block speaks for were seen how often, the sum of larger
+    counts, and the lower-order probability of the seen ones."""
+    g, n = block.grams[k], len(block.contexts[k].keys)
+    own = np.flatnonzero(told.speaks & (told.n > 0))
+    c, context = told.n[own], block.contexts[k].at[g.first[own]]
+    table = np.zeros((n, SMALL + 2))
+    table[:, :SMALL + 1] = np.bincount(context * (SMALL + 1) + np.minimum(c, SMALL + 1) - 1, np.where(c > SMALL, c, 1),
+                                       n * (SMALL + 1)).reshape(n, SMALL + 1)
+    table[:, SMALL + 1] = np.bincount(context, 10.0 ** lower[block.grams[k - 1].at[g.first[own]]], n)
+    return table
+
+
+def asked_contexts(block: Block, k: int, counts: dict[int, Counts]) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts whose continuations other blocks may know, in key order, and which of them the block backs off from.
+    All others are the block's own, with all that follows them, so it weighs them itself. Begin marks are everyone's."""
+    contexts = block.contexts[k]
+    used = np.zeros(len(contexts.keys), bool)
+    used[contexts.at] = True
+    asked = np.flatnonzero(used & np.append(counts[k - 1].shared, True))
+    asked = asked[np.argsort(contexts.keys[asked])]
+    unseen = np.zeros(len(contexts.keys), bool)
+    unseen[contexts.at[block.grams[k].first[counts[k].n == 0]]] = True
+    return asked, unseen[asked]
+
+
+def weights_of(block: Block, model: Model, counts: dict[int, Counts], answers: pd.DataFrame,
+               top: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(log10 backoff weight, norm) of every context of the orders 2 to ``top``: own ones weighed here, others as told.
+    Told contexts the block does not back off from have a norm only."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    seen = {j: c.n for j, c in counts.items()}
+    for k in range(2, top + 1):
+        lower = log_probabilities(block, model, k - 1, seen, out)
+        alpha, norm = _weigh(model.ratio[k], contributions(block, k, counts[k], lower))
+        asked, wanted = asked_contexts(block, k, counts)
+        norms, alphas = [], []
+        for raw in _told(answers, "weight", k):
+            size = int.from_bytes(raw[:4], "little")
+            norms.append(expand(raw[4:4 + size], np.int64))
+            alphas.append(expand(raw[4 + size:], np.float64))
+        if len(asked):
+            norm[asked] = np.concatenate(norms)
+            alpha[asked] = 0.0
+            alpha[asked[wanted]] = np.concatenate(alphas)
+        out[k] = alpha, norm
+    return out
+
+
+def ask_weights(blocks: DataFrame, answers: DataFrame, model: Model, k: int, parts: int) -> DataFrame:
+    """The contributions of every block to the contexts of order k that it shares, and whether it backs off from them."""
+    order = model.order
+
+    def per_block(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        b = Block(next(rows.itertuples(index=False)), order)
+        counts = {j: Counts.of(replies, j) for j in range(1, k + 1)}
+        lower = log_probabilities(b, model, k - 1, {j: c.n for j, c in counts.items()}, weights_of(b, model, counts, replies, k - 1))
+        asked, wanted = asked_contexts(b, k, counts)
+        table = np.column_stack([contributions(b, k, counts[k], lower)[asked], wanted])
+        keys = b.contexts[k].keys[asked]
+        packed = np.ascontiguousarray(table).view(np.dtype((np.void, 8 * (SMALL + 3)))).ravel()
+        told = [(k, p, b.name, squeeze_keys(keys[s]), squeeze(packed[s])) for p, s in slices(keys, parts)]
+        return pd.DataFrame(told, columns=["order", "part", "block", "keys", "values"])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(per_block, REQUESTS)
+
+
 def answer_weights(requests: DataFrame, model: Model) -> DataFrame:
     ratio = model.ratio
 
@@ -306,15 +365,19 @@ def answer_weights(requests: DataFrame, model: Model) -> DataFrame:
         rows = rows.sort_values("block", kind="stable")
         asked = [expand_keys(k) for k in rows["keys"]]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        void = np.dtype((np.void, 8 * (SMALL + 2)))
-        told = np.concatenate([np.ascontiguousarray(expand(v, void)).view(np.float64).reshape(-1, SMALL + 2)
+        void = np.dtype((np.void, 8 * (SMALL + 3)))
+        told = np.concatenate([np.ascontiguousarray(expand(v, void)).view(np.float64).reshape(-1, SMALL + 3)
                                for v in rows["values"]])
         sums = np.stack([np.bincount(at, weights=told[:, j], minlength=len(keys)) for j in range(SMALL + 2)], axis=1)
         alpha, norm = _weigh(ratio[order], sums)
+        out, end = [], 0
+        for name, own in zip(rows["block"], asked):
+            mine, wanted = at[end:end + len(own)], told[end:end + len(own), SMALL + 2] > 0
+            end += len(own)
+            norms = squeeze(norm[mine].astype(np.int64))
+            out.append(("weight", order, part, name, None, len(norms).to_bytes(4, "little") + norms + squeeze(alpha[mine[wanted]])))
         both = np.empty(len(keys), np.dtype("f8,f8"))
         both["f0"], both["f1"] = alpha, norm
-        ends = np.cumsum([len(a) for a in asked])[:-1]
-        out = [("weight", order, part, b, None, squeeze(r)) for b, r in zip(rows["block"], np.split(both[at], ends))]
         out.append(("backoff", order, part, None, squeeze_keys(keys), squeeze(both)))
         return pd.DataFrame(out, columns=["kind", "order", "part", "block", "keys", "values"])
 
@@ -326,14 +389,15 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFra
 
     def per_block(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b = Block(next(rows.itertuples(index=False)), order)
-        counts = {k: _gather(replies, "answer", k, np.int64) >> 1 for k in range(1, order + 1)}
-        p = log_probabilities(b, model, order, counts, _weights_of(replies, range(2, order + 1)))
+        counts = {k: Counts.of(replies, k) for k in range(1, order + 1)}
+        seen = {k: c.n for k, c in counts.items()}
+        p = log_probabilities(b, model, order, seen, weights_of(b, model, counts, replies, order))
         words = b.grams[1].at
         add = lambda x: np.add.reduceat(x, b.starts)
         return pd.DataFrame({
             "doc_id": pd.Series(b.ids, dtype="Int64").where(pd.Series(b.flags != NO_ID)), "held_out": b.flags == HELD,
-            "n_tokens": b.lengths, "n_known": add((counts[1] > 0).astype(np.int64)[words]),
-            "train_tokens": model.tokens, "base_score": add(model.base(counts[1])[words]),
+            "n_tokens": b.lengths, "n_known": add((seen[1] > 0).astype(np.int64)[words]),
+            "train_tokens": model.tokens, "base_score": add(model.base(seen[1])[words]),
             "score": add(p[b.grams[order].at])})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(per_block, SCORES)
@@ -353,7 +417,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, parts: int = 10, held: int
     """SCORES of every row of ``docs``, learned from the rows outside the fold ``held``.
 
     ``folder`` receives the tables, partitioned by kind and order: ``table`` (n-gram hashes and counts) and
-    ``backoff`` (contexts, weights and norms). Null and empty texts are a lone end. A row with a null id is scored
+    ``backoff`` (contexts of several blocks, weights and norms). Null and empty texts are a lone end. A row with a null id is scored
     but not learned from and not held out; repeated rows count and are scored as often as given. Without training
     rows every token is unknown. Blocks and parts grow with the square root of the corpus, from LEAST_BLOCK to
     MOST_BLOCK tokens, so the number of requests stays in proportion.
