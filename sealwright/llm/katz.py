@@ -73,7 +73,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Numbers of the words of a block, in order of appearance; 0 is the end."""
+    """Numbers of the words of a block while it is read, in order of appearance; 0 is the end."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self) + 1
@@ -93,11 +93,16 @@ def make_blocks(docs: DataFrame, held: int = 0, parts: int = 10, block_tokens: i
         def block() -> pd.DataFrame:
             vocab = np.array([END] + [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
                                       for w in words], np.uint64)
+            # frequent words get small numbers, and equally frequent ones the order of their hashes: both take little room
+            tokens = np.concatenate(streams)
+            often = np.lexsort((vocab, -np.bincount(tokens, minlength=len(vocab))))
+            rank = np.empty(len(vocab), np.uint32)
+            rank[often] = np.arange(len(vocab), dtype=np.uint32)
             return pd.DataFrame({
                 "block": [f"{TaskContext.get().partitionId()}-{number}"], "ids": [squeeze(np.array(ids, np.int64))],
                 "flags": [squeeze(np.array(flags, np.uint8))],
                 "lengths": [squeeze(np.array([len(s) for s in streams], np.int64))],
-                "tokens": [squeeze(np.concatenate(streams))], "vocab": [squeeze(vocab)]})
+                "tokens": [squeeze(rank[tokens])], "vocab": [squeeze_keys(vocab[often])]})
 
         for batch in batches:
             for doc_id, text, flag in zip(batch["doc_id"], batch["text"], batch["flag"]):
@@ -134,7 +139,7 @@ class Block:
         self.ids, self.flags = expand(row.ids, np.int64), expand(row.flags, np.uint8)
         self.lengths = expand(row.lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        vocab, tokens = expand(row.vocab, np.uint64), expand(row.tokens, np.uint32)
+        vocab, tokens = expand_keys(row.vocab), expand(row.tokens, np.uint32)
         stream = vocab[tokens]
         # words are sorted once in the vocabulary, not in the text
         keys, number = np.unique(vocab, return_inverse=True)
@@ -221,41 +226,59 @@ def log_probabilities(block: Block, model: Model, k: int, counts: dict[int, np.n
     return np.where(seen, own, alpha + lower)
 
 
-def ask_counts(blocks: DataFrame, order: int, parts: dict[int, int]) -> DataFrame:
+def ask_counts(blocks: DataFrame, asked: dict[int, range], parts: dict[int, int]) -> DataFrame:
+    """Requests of every block to the given parts of the given orders."""
+    order = max(asked)
+
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 b = Block(row, order)
-                for k in range(1, order + 1):
+                for k, wanted in asked.items():
                     counts = b.training_counts(k)
-                    asked = [(k, p, b.name, squeeze_keys(b.grams[k].keys[s]), squeeze(counts[s]))
-                             for p, s in slices(b.grams[k].keys, parts[k])]
-                    yield pd.DataFrame(asked, columns=["order", "part", "block", "keys", "values"])
+                    told = [(k, p, b.name, squeeze_keys(b.grams[k].keys[s]), squeeze(counts[s]))
+                            for p, s in slices(b.grams[k].keys, parts[k]) if p in wanted]
+                    yield pd.DataFrame(told, columns=["order", "part", "block", "keys", "values"])
 
     return blocks.mapInPandas(per_task, REQUESTS)
 
 
-def _answer_counts(rows: pd.DataFrame) -> pd.DataFrame:
+def halves(k: int, n: int) -> list[range]:
+    """The parts asked in one round. Those of words and pairs go at once, others in two halves, so that only the requests
+    of one round are on disk."""
+    return [r for r in (range(n // 2), range(n // 2, n)) if len(r)] if k > 2 else [range(n)]
+
+
+def rounds(pieces: dict[int, int]) -> list[dict[int, range]]:
+    """What counts are asked for together, by order."""
+    return [{k: range(n) for k, n in pieces.items() if k <= 2}] + [{k: r} for k, n in pieces.items() if k > 2 for r in halves(k, n)]
+
+
+def _answer_counts(whole: bool):
     """One part: the sum of all blocks' counts. Answers carry the counts with two bits: whether other blocks have the
-    n-gram, too, and, of all that have it, for a single one that it is to speak for it. The part's table and counts
-    of counts go along."""
-    order, part = int(rows["order"].iloc[0]), int(rows["part"].iloc[0])
-    rows = rows.sort_values("block", kind="stable")
-    asked = [expand_keys(k) for k in rows["keys"]]
-    keys, first, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-    mine = np.concatenate([expand(v, np.uint32) for v in rows["values"]])
-    total = np.bincount(at, weights=mine, minlength=len(keys)).astype(np.int64)
-    speaks = np.zeros(len(at), np.int64)
-    speaks[first] = 1
-    reply = total[at] * 4 + 2 * (np.bincount(at) > 1)[at] + speaks
-    ends = np.cumsum([len(a) for a in asked])[:-1]
-    out = [("answer", order, part, b, None, squeeze(r)) for b, r in zip(rows["block"], np.split(reply, ends))]
-    known = total > 0
-    few = np.bincount(np.minimum(total[known], SMALL + 2), minlength=SMALL + 3).astype(np.int64)
-    few[0] = total.sum()
-    out.append(("table", order, part, None, squeeze_keys(keys[known]), squeeze(total[known])))
-    out.append(("sizes", order, part, None, None, few.astype(">i8").tobytes()))
-    return pd.DataFrame(out, columns=["kind", "order", "part", "block", "keys", "values"])
+    n-gram, too, and, of all that have it, for a single one that it is to speak for it. Counts of counts go along, and
+    the part's table: ``whole``, or without the n-grams of single blocks, whose counts lie in the blocks' answers."""
+    def per_part(rows: pd.DataFrame) -> pd.DataFrame:
+        order, part = int(rows["order"].iloc[0]), int(rows["part"].iloc[0])
+        rows = rows.sort_values("block", kind="stable")
+        asked = [expand_keys(k) for k in rows["keys"]]
+        keys, first, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        mine = np.concatenate([expand(v, np.uint32) for v in rows["values"]])
+        total = np.bincount(at, weights=mine, minlength=len(keys)).astype(np.int64)
+        speaks = np.zeros(len(at), np.int64)
+        speaks[first] = 1
+        shared = np.bincount(at) > 1
+        reply = total[at] * 4 + 2 * shared[at] + speaks
+        ends = np.cumsum([len(a) for a in asked])[:-1]
+        out = [("answer", order, part, b, None, squeeze(r)) for b, r in zip(rows["block"], np.split(reply, ends))]
+        known = total > 0
+        few = np.bincount(np.minimum(total[known], SMALL + 2), minlength=SMALL + 3).astype(np.int64)
+        few[0] = total.sum()
+        kept = known if whole else known & shared
+        out.append(("table", order, part, None, squeeze_keys(keys[kept]), squeeze(total[kept])))
+        out.append(("sizes", order, part, None, None, few.astype(">i8").tobytes()))
+        return pd.DataFrame(out, columns=["kind", "order", "part", "block", "keys", "values"])
+    return per_part
 
 
 def _told(answers: pd.DataFrame, kind: str, order: int) -> list[bytes]:
@@ -339,8 +362,9 @@ def weights_of(block: Block, model: Model, counts: dict[int, Counts], answers: p
     return out
 
 
-def ask_weights(blocks: DataFrame, answers: DataFrame, model: Model, k: int, parts: int) -> DataFrame:
-    """The contributions of every block to the contexts of order k that it shares, and whether it backs off from them."""
+def ask_weights(blocks: DataFrame, answers: DataFrame, model: Model, k: int, parts: int, wanted_parts: range) -> DataFrame:
+    """The contributions of every block to the contexts of order k that it shares, and whether it backs off from them:
+    what goes to the given parts of ``parts``."""
     order = model.order
 
     def per_block(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -351,7 +375,7 @@ def ask_weights(blocks: DataFrame, answers: DataFrame, model: Model, k: int, par
         table = np.column_stack([contributions(b, k, counts[k], lower)[asked], wanted])
         keys = b.contexts[k].keys[asked]
         packed = np.ascontiguousarray(table).view(np.dtype((np.void, 8 * (SMALL + 3)))).ravel()
-        told = [(k, p, b.name, squeeze_keys(keys[s]), squeeze(packed[s])) for p, s in slices(keys, parts)]
+        told = [(k, p, b.name, squeeze_keys(keys[s]), squeeze(packed[s])) for p, s in slices(keys, parts) if p in wanted_parts]
         return pd.DataFrame(told, columns=["order", "part", "block", "keys", "values"])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(per_block, REQUESTS)
@@ -417,7 +441,8 @@ def katz_scores(docs: DataFrame, order: int = ORDER, parts: int = 10, held: int
     """SCORES of every row of ``docs``, learned from the rows outside the fold ``held``.
 
     ``folder`` receives the tables, partitioned by kind and order: ``table`` (n-gram hashes and counts) and
-    ``backoff`` (contexts of several blocks, weights and norms). Null and empty texts are a lone end. A row with a null id is scored
+    ``backoff`` (contexts of several blocks, weights and norms). Without it the tables lie in the shared folder, and
+    what one block alone has is kept in that block's answers only. Null and empty texts are a lone end. A row with a null id is scored
     but not learned from and not held out; repeated rows count and are scored as often as given. Without training
     rows every token is unknown. Blocks and parts grow with the square root of the corpus, from LEAST_BLOCK to
     MOST_BLOCK tokens, so the number of requests stays in proportion.
@@ -434,14 +459,19 @@ def katz_scores(docs: DataFrame, order: int = ORDER, parts: int = 10, held: int
         width = block_tokens or int(min(max((12 * size / 6) ** 0.5, LEAST_BLOCK), MOST_BLOCK))
         blocks = stage(make_blocks(docs, held, parts, width), "blocks")
         pieces = {k: max(1, -(-size // (6 * width * (4 if k == 1 else 1)))) for k in range(1, order + 1)}
-        requests = ask_counts(blocks, order, pieces)
         path = folder or scratch_path(spark, "katz")
-        told = stage(requests.groupBy("order", "part").applyInPandas(_answer_counts, ANSWERS), "counts", ("kind", "order"), f"{path}/counts")
+        for number, asked in enumerate(rounds(pieces)):
+            ask_counts(blocks, asked, pieces).groupBy("order", "part").applyInPandas(_answer_counts(folder is not None), ANSWERS).write.mode(
+                "append" if number else "errorifexists").partitionBy("kind", "order").parquet(f"{path}/counts")
+        told = spark.read.schema(ANSWERS).parquet(f"{path}/counts")
         model = _sizes(told, order)
         answers = told.where("kind = 'answer'").select("kind", "order", "part", "block", "values")
         for k in range(2, order + 1):
-            asked = ask_weights(blocks, answers, model, k, pieces[max(k - 1, 1)])
-            weights = stage(answer_weights(asked, model), "weights", ("kind", "order"), f"{path}/weights-{k}")
+            parts = pieces[k - 1]
+            for number, wanted in enumerate(halves(k, parts)):
+                answer_weights(ask_weights(blocks, answers, model, k, parts, wanted), model).write.mode(
+                    "append" if number else "errorifexists").partitionBy("kind", "order").parquet(f"{path}/weights-{k}")
+            weights = spark.read.schema(ANSWERS).parquet(f"{path}/weights-{k}")
             answers = answers.unionByName(weights.where("kind = 'weight'").select(*answers.columns))
         return stage(score_blocks(blocks, answers, model), "scores")
     finally:
