@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text at its block-level tags. A classifier over tags, class names, link density and
 length gives every block a cost for being called content and one for being called boilerplate; these are the
-capacities of its edges to the two terminals. Blocks that follow each other, and blocks of one parent, are joined
+capacities of its edges to the two terminals. Names say what an element may be, its share of the page's prose decides:
+one named like furniture that holds nearly all prose of the page is its layout, not furniture. Blocks that follow each other, and blocks of one parent, are joined
 by smoothness edges, the stronger the closer they are in the document tree. The minimum cut, found by maximum
 flow, labels the blocks: those on the source side are content.
 """
@@ -24,8 +25,10 @@ BLOCK_TAGS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas textarea title xmp".split())
-SILENT_TAGS = frozenset("head select option button datalist".split())
+RAW_TAGS = frozenset("script style template iframe canvas textarea title xmp".split())
+SILENT_TAGS = frozenset("head select option button datalist annotation annotation-xml".split())
+#: shown in an article, mere fallbacks and icons elsewhere
+INNER_TAGS = frozenset("noscript object svg".split())
 CHROME_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 CHROME_WORDS = frozenset(
@@ -40,9 +43,10 @@ FIRM_TAGS = frozenset("nav footer aside menu dialog".split())
 LAYOUT_WORDS = frozenset("with without has no left right".split())
 ITEM_WORDS = frozenset("comment comments reply replies related recommended sponsored promo advertisement widget".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
-    r"|<[!?][^>]*+>", re.S)
+_TAG = re.compile(
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S)
+_TAG_NAME = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
+_MARK = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: an attribute with its value, or a string that belongs to none
 _ATTRIBUTE = re.compile(
@@ -51,7 +55,16 @@ _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _WORD = re.compile(r"[a-z]+")
-_CLOSERS: dict[str, re.Pattern] = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
+_CLOSERS: dict[str, re.Pattern] = {t: re.compile(rf"</{t}\b", re.I) for t in RAW_TAGS}
+#: headings above what readers wrote
+_READERS = re.compile(
+    r"(?:\d+ )?(?:reader |user )?(?:comments?|replies|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)"
+    r"(?: ?\(?\d+\)?)?:?", re.I)
+_HEADING = re.compile(r"h[1-6]")
+#: Open elements; one further below takes the place of the last. Browsers have such a limit, too.
+DEEPEST = 100
+#: Characters of prose that an element must hold to count as layout, and of such prose elsewhere that forbid it.
+LEAST_PROSE, LEAST_CLEAN = 80, 200
 #: elements that end when one of the same group begins beside them
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,6 +81,7 @@ class Element:
     firm: int  # elements up to here that are furniture even around an article
     items: frozenset[str]  # ITEM_WORDS up to here, in the singular
     article: bool  # inside an article
+    soft: tuple[tuple[int, bool], ...] = ()  # elements up to here whose name alone makes them furniture, and whether it is also one of the article
 
 
 @dataclass
@@ -79,6 +93,7 @@ class Block:
     chrome: int
     main: int
     linked: int  # characters inside links
+    soft: tuple[tuple[int, bool], ...] = ()
 
 
 def _hides(attrs: str) -> bool:
@@ -98,7 +113,7 @@ def _element(name: str, attrs: str, number: int, above: Element | None) -> Eleme
     chrome, main = int(name in CHROME_TAGS), int(name in MAIN_TAGS)
     if name == "header" and not (above and above.main):
         chrome = 1
-    hidden, items, firm = False, frozenset(), name in FIRM_TAGS
+    hidden, items, firm, also = False, frozenset(), name in FIRM_TAGS, False
     if attrs.strip():
         names = [set(_WORD.findall(w)) for m in _NAMES.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split()]
         # the page's own frame may carry any name
@@ -107,18 +122,52 @@ def _element(name: str, attrs: str, number: int, above: Element | None) -> Eleme
             titled = any(n and n <= MAIN_WORDS for n in names)
             furniture = any(n & CHROME_WORDS and not (titled and n & LAYOUT_WORDS) for n in names)
             chrome += furniture and not main
-            main += (titled or any(n & MAIN_WORDS for n in names)) and not chrome
+            also = titled or any(n & MAIN_WORDS for n in names)
+            main += also and not chrome
             items = frozenset(w.rstrip("s") for n in names for w in n & ITEM_WORDS)
             firm |= not main and any(n and n <= ITEM_WORDS for n in names)
         hidden = _hides(attrs)
-    around = above.chrome if above else 0
+    around, soft = (above.chrome, above.soft) if above else (0, ())
     if above and name in MAIN_TAGS and not above.article and not items & above.items:
-        around = above.firm  # named wrappers around an article are layout
+        around, soft = above.firm, ()  # named wrappers around an article are layout
+    if chrome and not firm and name != "header":
+        soft += ((number, also),)
+    silent = name in SILENT_TAGS or hidden or name in INNER_TAGS and not (above and (above.article or above.main))
     return Element(name, number, chrome + around, main + (above.main if above else 0),
-                   name == "a" or bool(above and above.link),
-                   name in SILENT_TAGS or hidden or bool(above and above.silent),
+                   name == "a" or bool(above and above.link), silent or bool(above and above.silent),
                    firm + (above.firm if above else 0), items | (above.items if above else frozenset()),
-                   name == "article" or bool(above and above.article))
+                   name == "article" or bool(above and above.article), soft)
+
+
+class Tokens:
+    """Marks of a page one after the other, in time proportional to its length however broken it is."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.lost = page, page.rfind(">"), 0
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None] | None:
+        """(start, end, tag) of the next mark; comments and declarations have no tag. None when only text follows."""
+        page = self.page
+        while (m := _MARK.search(page, at)) is not None:
+            low = m.start()
+            if page.startswith("<!--", low):
+                end = page.find("-->", low + 4)
+                return low, len(page) if end < 0 else end + 3, None
+            if low > self.last:  # nothing closes any more, but comments may be open
+                at = page.find("<!--", low)
+                if at < 0:
+                    return None
+                continue
+            if page[low + 1] in "!?":
+                return low, page.find(">", low) + 1, None
+            # quotes that are never closed are read to the end in vain; a page may do so for a few times its length
+            patient = self.lost <= 4 * len(page) + 1_000_000
+            tag = (_TAG if patient else _TAG_NAME).match(page, low)
+            if tag is not None:
+                return low, tag.end(), tag
+            self.lost += len(page) - low
+            at = low + 1
+        return None
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -137,7 +186,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 inside = frame[-1] if frame else None
                 out.append(Block(text, inside.number if inside else 0, tuple(e.number for e in frame),
                                  inside.name if inside else "", inside.chrome if inside else 0,
-                                 inside.main if inside else 0, sum(len(p.strip()) for p, link in parts if link)))
+                                 inside.main if inside else 0, sum(len(p.strip()) for p, link in parts if link),
+                                 inside.soft if inside else ()))
             parts.clear()
 
     def say(low: int, high: int) -> None:
@@ -149,16 +199,18 @@ def blocks_of(page: str | None) -> list[Block]:
             flush()
         del stack[to:]
 
+    tokens = Tokens(page)
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
+        mark = tokens.next(at)
+        if mark is None:
             say(at, len(page))
             break
-        say(at, m.start())
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
+        low, end, m = mark
+        say(at, low)
+        at = end
+        if m is None:
             continue
+        name = m["name"].lower()
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == name:
@@ -167,8 +219,9 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if name in RAW_TAGS:
             if not m["attrs"].rstrip().endswith("/"):
-                end = _CLOSERS[name].search(page, at)
-                at = end.end() if end else len(page)
+                closer = _CLOSERS[name].search(page, at)
+                end = page.find(">", closer.end()) if closer else -1
+                at = end + 1 if end >= 0 else len(page)
             continue
         if name in VOID_TAGS:
             if name == "hr":
@@ -190,11 +243,53 @@ def blocks_of(page: str | None) -> list[Block]:
         if m["attrs"].rstrip().endswith("/"):
             continue
         number += 1
+        if len(stack) >= DEEPEST:
+            close(DEEPEST - 1)
         stack.append(_element(name, m["attrs"], number, stack[-1] if stack else None))
     flush()
+    _readers(out)
+    _layout(out)
     return out
 
 
+def _readers(blocks: list[Block]) -> None:
+    """Marks what readers wrote as furniture: what stands below a heading that says so, in its section; where the
+    section is the article itself, up to its next heading of that rank."""
+    for i, b in enumerate(blocks):
+        if not _HEADING.fullmatch(b.tag) or not _READERS.fullmatch(b.text) or len(b.path) < 2:
+            continue
+        section = b.path[-2]
+        # a section of its own begins with its heading
+        own = len(b.path) > 2 and not (i and section in blocks[i - 1].path)
+        for later in blocks[i:]:
+            if section not in later.path or not own and later is not b and _HEADING.fullmatch(later.tag) and later.tag <= b.tag:
+                break
+            later.chrome += 1
+
+
+def _layout(blocks: list[Block]) -> None:
+    """Takes furniture off elements that hold nearly all prose of the page and owe it to their name only. A page with
+    prose marked as the article, or with more than a little prose that nothing calls furniture, needs no such help."""
+    prose: dict[int, int] = {}
+    clean = soft = 0
+    for b in blocks:
+        if b.chrome != len(b.soft) or len(b.text) < 40 or b.linked * 10 >= len(b.text) * 3:
+            continue
+        if not b.soft:
+            clean += len(b.text) * (LEAST_CLEAN if b.main else 1)
+            continue
+        soft += len(b.text)
+        for element, _ in b.soft:
+            prose[element] = prose.get(element, 0) + len(b.text)
+    if clean >= LEAST_CLEAN:
+        return
+    free = {e for e, n in prose.items() if n >= max(LEAST_PROSE, 4 * clean, 2 * (soft - n))}
+    for b in blocks:
+        mine = [also for element, also in b.soft if element in free]
+        b.chrome -= len(mine)
+        b.main += sum(mine)
+
+
 def costs(block: Block) -> tuple[int, int]:
     """(evidence for content, evidence for boilerplate) in whole units, never negative."""
     content = boiler = 0

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import FloatType
 
 from ..session import remove_path, scratch_path, stage
 
@@ -48,7 +48,7 @@ def _matrix(packed: pd.Series, kind: str, dim: int) -> np.ndarray:
 def pack_vectors(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, str, int]:
     """(vec_id, vec) of the usable rows, vectors as bytes; the number type and the dimension. If lengths differ,
     the most frequent one (the smallest of equals) counts and vectors of another take no part."""
-    kind = "<f8" if rows.schema[vector].dataType == ArrayType(DoubleType()) else "<f4"
+    kind = "<f4" if isinstance(rows.schema[vector].dataType.elementType, FloatType) else "<f8"
     rows = rows.where(F.col(key).isNotNull() & usable(vector)).select(
         F.col(key).cast("bigint").alias("vec_id"), F.col(vector).alias("_v"))
     length = rows.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -107,3 +107,58 @@ def test_odd_rows(spark):
     got = ex.extract_pages(docs).collect()
     assert [(r.page_id, r.url, r.n_chars) for r in got] == [(1, None, 0), (None, "u", 0), (2, "u", 37), (2, "u", 37)]
     assert ex.extract_pages(docs.limit(0)).count() == 0
+
+
+THREE = ["The first paragraph of this page tells of a house by the sea and who lived there.",
+         "The second one goes on with the story, as second paragraphs are bound to do.",
+         "And a third one ends it, so that readers can go and do something else now."]
+PROSE = "".join(f"<p>{p}</p>" for p in THREE)
+
+
+def test_layout_named_like_furniture():
+    side = "<div class=sidebar><p>Links and a sentence that is not of the article.</p></div><nav><a href=x>Home</a></nav>"
+    for before, after in (('<div class="post hentry category-social">', "</div>"), ('<div class="content menu-open">', "</div>"),
+                          ('<div id="main" class="search-page">', "</div>"), ('<form><div id="content">', "</div></form>"),
+                          ('<main><div class="related-work">', "</div></main>"), ('<main><div class="two-side">', "</div></main>"),
+                          ('<main><section id="discussion">', "</section></main>"), ("<div class=page-form><div>", "</div></div>")):
+        for extra in ("", side, "<footer>All rights reserved by the people who wrote this page.</footer>"):
+            assert ex.main_text(f"<body>{before}{PROSE}{after}{extra}</body>").split("\n\n") == THREE, (before, extra)
+
+
+def test_furniture_beside_an_article_stays_furniture():
+    talk = "".join(f"<p>Reader {i} says that this is a story of some length and worth it.</p>" for i in range(40))
+    for article in (f"<article>{PROSE}</article>", f"<div class=content>{PROSE}</div>", f"<div>{PROSE}</div>", f"<main>{PROSE}</main>"):
+        for more in (f"<section id=discussion>{talk}</section>", f"<form>{talk}</form>", f"<div class='user-comments-list'>{talk}</div>"):
+            assert ex.main_text(f"<body>{article}{more}</body>").split("\n\n") == THREE, (article[:20], more[:30])
+
+
+def test_what_readers_wrote_goes_by_its_heading():
+    talk = "<p>I think that this is a very interesting story, and long.</p>"
+    for heading in ("Comments", "3 comments", "Comments (12)", "Leave a reply", "Kommentare", "Commentaires:", "Comentarios"):
+        section = f'<section id="user-opinions"><h3>{heading}</h3>{talk}</section>'
+        assert ex.main_text(f"<article>{PROSE}</article>{section}").split("\n\n") == THREE, heading
+        assert ex.main_text(f"<article>{PROSE}{section}</article>").split("\n\n") == THREE, heading
+        assert ex.main_text(f"<article>{PROSE}<h3>{heading}</h3>{talk}<h3>Sources</h3><p>{THREE[0]}</p></article>").split("\n\n") == [
+            *THREE, "Sources", THREE[0]]
+    assert "Discussion" in ex.main_text(f"<article>{PROSE}<h2>Discussion</h2><p>{THREE[0]}</p></article>")
+
+
+def test_formulae_and_fallbacks_of_an_article():
+    formula = "<math><mi>E</mi><mo>=</mo><mi>mc</mi><annotation encoding='application/x-tex'>E=mc</annotation></math>"
+    page = f"<article>{PROSE}<p>We know that {formula} holds.</p><noscript><p>{THREE[0]}</p></noscript><svg><text>Label</text></svg></article>"
+    assert ex.main_text(page).split("\n\n") == [*THREE, "We know that E=mc holds.", THREE[0], "Label"]
+    outside = f"<noscript><p>Please enable scripts to see the best of this page.</p></noscript><svg><text>icon</text></svg>"
+    assert ex.main_text(f"<body>{outside}<div>{PROSE}</div></body>").split("\n\n") == THREE
+
+
+def test_broken_marks_take_linear_time():
+    import time
+    for unit in ("<a ", "<a x='", '<a x="', "<script></script", "</script", "<!", "<a '\"", "<p>x<a x='>", "<i>", "<div>x", "</b><i>", "<!-- ->",
+                 "<a x='\"> ", "<div><p>word</div>"):
+        page = unit * (2_000_000 // len(unit))
+        start = time.perf_counter()
+        ex.blocks_of(page)
+        assert time.perf_counter() - start < 20, unit
+    # marks that nothing closes are text, as before
+    assert ex.main_text("<p>text <a x='") == "text <a x='" and ex.main_text("a <b c <!-- d") == "a <b c"
+    assert ex.main_text("<p>one</p><!-- > --><p>two") .split("\n\n") == ["one", "two"]
