@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import files as fx
 from ..functions.hashing import sha256_hex
-from ..session import broadcast_if_small, spread
+from ..session import broadcast_if_small, spread, stage
 from .joins import skew_join
 from .ordered import Running, bucket_of, prefix_scan, range_bucketed, with_position
 
@@ -104,59 +104,112 @@ def new_only(inputs: DataFrame, sealed: DataFrame) -> DataFrame:
 _NUMBERED = r"(?s)^(.+)-([1-9]\d{0,17})$"
 
 
-def _family_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names for families in which a numbered name is itself an input, in input order.
-
-    Rows arrive sorted by (family, kind, order), names already taken first. Only the names
-    of the family at hand and one counter per name are held.
+#: Numbers of one name that a task walks in a row, streamed.
+SEGMENT_ROWS = 5_000_000
+
+
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which contested numbers a name loses; rows come by (name, number). A number is lost if, with the numbers lost
+    before it, the name's inputs get to it too late. One count per name is held; ``lost`` of a name's first row is what
+    earlier segments lost."""
+    name, lost = None, 0
+    for batch in batches:
+        out = []
+        for key, room, carried in zip(*(batch.column(c).to_pylist() for c in ("name", "room", "carried"))):
+            if key != name:
+                name, lost = key, carried
+            out.append(lost <= room)
+            lost += out[-1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "number", "child")), pa.array(out, pa.bool_())],
+                                         names=["name", "number", "child", "gone"])
+
+
+def _contest(rows: DataFrame, segment_rows: int) -> DataFrame:
+    """Adds ``gone`` to contested numbers (name, number, child, room), a segment of every name after the other."""
+    schema = "name string, number bigint, child string, gone boolean"
+    longest = rows.groupBy("name").count().agg(F.max("count")).first()[0] or 0
+    walk = lambda part: spread(part, "name").sortWithinPartitions("name", "number").mapInArrow(_lost, schema)
+    if longest <= segment_rows:
+        return stage(walk(rows.withColumn("carried", F.lit(0).cast("bigint"))), "contested")
+    placed = stage(with_position(rows, ["name"], "number", out="_pos").withColumn(
+        "_seg", F.floor((F.col("_pos") - 1) / segment_rows).cast("int")), "contest")
+    done = None
+    for k in range(-(-longest // segment_rows)):
+        part = placed.where(F.col("_seg") == k)
+        if done is None:
+            part = part.withColumn("carried", F.lit(0).cast("bigint"))
+        else:
+            before = done.groupBy("name").agg(F.count_if("gone").alias("carried"))
+            part = part.join(before, "name")
+        out = stage(walk(part.select("name", "number", "child", "room", "carried")), f"contested-{k}")
+        done = out if done is None else done.unionByName(out)
+    return done
+
+
+def _contested(inputs: DataFrame, used: DataFrame, names: DataFrame, segment_rows: int) -> DataFrame | None:
+    """(name, number) pairs that are taken by the inputs themselves; None where no input is named like a numbered other.
+
+    The first input named ``name-7`` takes that name, unless an input of ``name`` was given it before. With the taken
+    numbers below 7 known, and the inputs of ``name`` before that one, this is settled for all numbers of a name by one
+    walk in order of the numbers; names are settled from the shortest of a family on, since ``name-7`` has numbers, too.
     """
-    family, taken, following = None, set(), {}
-    for pdf in batches:
-        paths, names, stems = [], [], []
-        for fam, kind, path, name in zip(pdf["family"], pdf["kind"], pdf["path"], pdf["name"]):
-            if fam != family:
-                family, taken, following = fam, set(), {}
-            if kind == 0:
-                taken.add(name)
-                continue
-            n = following.get(name, 0)
-            stem = name if n == 0 else f"{name}-{n}"
-            while stem in taken:
-                n += 1
-                stem = f"{name}-{n}"
-            following[name] = n + 1
-            taken.add(stem)
-            paths.append(path)
-            names.append(name)
-            stems.append(stem)
-        yield pd.DataFrame({"path": paths, "name": names, "stem": stems}, dtype=object)
-
-
-def assign_names(inputs: DataFrame, existing: DataFrame) -> DataFrame:
+    c = F.col
+    firsts = inputs.groupBy(c("name").alias("child")).agg(F.min("path").alias("first"))
+    kids = firsts.select(F.regexp_extract("child", _NUMBERED, 1).alias("name"),
+                         F.regexp_extract("child", _NUMBERED, 2).try_cast("bigint").alias("number"), "child", "first").where("name <> ''")
+    kids = stage(kids.join(names, "name", "left_semi").join(used, ["name", "number"], "left_anti"), "numbered-inputs")
+    if kids.isEmpty():
+        return None
+    parents = kids.select("name").distinct()
+    none = F.lit(None).cast("bigint")
+    marks = skew_join(inputs.select("name", "path"), parents, ["name"], "left_semi").select(
+        "name", "path", none.alias("number"), F.lit(1).alias("mine")).unionByName(
+        kids.select("name", c("first").alias("path"), "number", F.lit(0).alias("mine")))
+    counted = prefix_scan(range_bucketed(marks, ["name"], ["path"]), ["name"], "_bucket", "_ord",
+                          [Running("before", "sum", c("mine"), inclusive=False)]).where("number is not null").select("name", "number", "before")
+    below = used.join(parents, "name", "left_semi").select("name", "number", F.lit(1).alias("there"), none.alias("before")).unionByName(
+        counted.select("name", "number", F.lit(0).alias("there"), "before")).withColumn("bucket", bucket_of(c("number")))
+    free = prefix_scan(below, ["name"], "bucket", "number", [Running("under", "sum", c("there"), inclusive=False)]).where(
+        "there = 0").select("name", "number", (c("number") - c("under") - c("before")).alias("room"))
+    waiting = stage(kids.select("name", "number", "child").join(free, ["name", "number"]), "contests")
+    taken = None
+    while True:
+        behind = waiting.select(c("child").alias("name")).distinct()
+        ready = waiting.join(behind, "name", "left_anti")
+        # a name whose bare form went to a numbered other has one number less
+        bare = taken.where("number = 0") if taken is not None else names.select("name", F.lit(0).cast("bigint").alias("number")).limit(0)
+        ready = ready.join(bare.select("name", F.lit(1).alias("lost")), "name", "left").withColumn(
+            "room", c("room") - F.coalesce("lost", F.lit(0))).drop("lost")
+        settled = _contest(ready, segment_rows)
+        mine = settled.select(F.when(c("gone"), c("name")).otherwise(c("child")).alias("name"),
+                              F.when(c("gone"), c("number")).otherwise(F.lit(0)).alias("number"))
+        taken = mine if taken is None else taken.unionByName(mine)
+        waiting = stage(waiting.join(settled.select("name").distinct(), "name", "left_anti"), "contests")
+        if waiting.isEmpty():
+            return taken
+
+
+def assign_names(inputs: DataFrame, existing: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """A unique output stem per input: ``name``, ``name-1``, ``name-2`` … avoiding ``existing``.
 
     Inputs (name, path) are taken in path order, paths are unique. The k-th input of a name gets
     the k-th free number, found by counting taken numbers below it; both counts run over buckets,
-    so a name shared by a third of all inputs stays spread out. Only names that clash with the
-    numbered form of another input are walked in order.
+    so a name shared by a third of all inputs stays spread out. Numbers that inputs contest among
+    each other, because one is named like the numbered form of another, are settled before
+    (``_contested``); no task walks more than ``segment_rows`` of them for a name.
     """
     names = inputs.select("name").distinct()
     taken = existing.select("name").distinct()
-    numbered = names.select(F.regexp_extract("name", _NUMBERED, 1).alias("stem"), "name").where("stem <> ''")
-    clash = numbered.join(names.withColumnRenamed("name", "stem"), "stem", "left_semi")
-    family = F.regexp_replace("name", r"(?s)(-[1-9]\d{0,17})+$", "")
-    clash_families = clash.select(family.alias("family")).distinct()
-
-    tagged = inputs.select("name", "path", family.alias("family"))
-    placed = range_bucketed(tagged, ["family", "name"], ["path"])
-    simple = placed.join(clash_families, "family", "left_anti")
-    ranked = prefix_scan(simple.select("name", "path", "_bucket", "_ord"), ["name"], "_bucket", "_ord",
-                         [Running("rank", "count", inclusive=False)])
-
     used = taken.select(F.col("name"), F.lit(0).cast("bigint").alias("number")).unionByName(
         taken.select(F.regexp_extract("name", _NUMBERED, 1).alias("name"),
                      F.regexp_extract("name", _NUMBERED, 2).try_cast("bigint").alias("number")).where("name <> ''"))
-    used = used.join(names, "name", "left_semi")
+    used = stage(used.join(names, "name", "left_semi"), "used-names")
+    contested = _contested(inputs, used, names, segment_rows)
+    if contested is not None:
+        used = stage(used.unionByName(contested).distinct(), "used-names")
+
+    placed = range_bucketed(inputs.select("name", "path"), ["name"], ["path"])
+    ranked = prefix_scan(placed, ["name"], "_bucket", "_ord", [Running("rank", "count", inclusive=False)])
     below = with_position(used, ["name"], "number", out="k")
     steps = below.groupBy("name", (F.col("number") - F.col("k") + 1).alias("rank")).agg(
         F.count(F.lit(1)).alias("step"))
@@ -166,14 +219,6 @@ def assign_names(inputs: DataFrame, existing: DataFrame) -> DataFrame:
     counted = prefix_scan(events.withColumn("bucket", bucket_of(F.col("at"))), ["name"], "bucket", "at",
                           [Running("shift", "sum", F.col("step"))])
     number = F.floor(F.col("at") / 2) + F.col("shift")
-    plain = counted.where(F.col("path").isNotNull()).select(
+    return counted.where(F.col("path").isNotNull()).select(
         "path", "name", F.when(number == 0, F.col("name"))
         .otherwise(F.concat("name", F.lit("-"), number.cast("string"))).alias("stem"))
-
-    rows = placed.join(clash_families, "family", "left_semi").select(
-        "family", F.lit(1).alias("kind"), "path", "name")
-    seeds = taken.select(family.alias("family"), F.lit(0).alias("kind"), F.lit("").alias("path"), "name").join(
-        clash_families, "family", "left_semi")
-    walked = (spread(rows.unionByName(seeds), "family").sortWithinPartitions("family", "kind", "path")
-              .mapInPandas(_family_names, "path string, name string, stem string"))
-    return plain.unionByName(walked)
