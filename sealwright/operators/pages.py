@@ -83,6 +83,18 @@ def ink_pixels(pixels: DataFrame) -> DataFrame:
     return joined.where((F.col("v") <= F.col("threshold")) != F.col("inverted")).select("page_id", "y", "x")
 
 
+# ---- page keys in arrays ------------------------------------------------------------------
+
+def _with_page_key(rows: DataFrame) -> DataFrame:
+    """``page_id`` as text that is never null: arrays would turn a null among numbers into a number unlike itself, and
+    large numbers beside it into others."""
+    return rows.withColumn("page_id", F.coalesce(F.concat(F.lit("p"), F.col("page_id").cast("string")), F.lit("n")))
+
+
+def _from_page_key(rows: DataFrame, page_type: str) -> DataFrame:
+    return rows.withColumn("page_id", F.when(F.col("page_id") != "n", F.expr("substring(page_id, 2)").cast(page_type)))
+
+
 # ---- regions ----------------------------------------------------------------------------
 
 def mask_spans(mask: DataFrame) -> DataFrame:
@@ -171,11 +183,12 @@ def regions(spans: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     """
     c = F.col
     page_type = spans.schema["page_id"].dataType.simpleString()
+    spans = _with_page_key(spans)
     banded = spans.select("page_id", F.floor(c("y") / band_rows).alias("band"), c("y").cast("bigint").alias("y"),
                           c("x0").cast("bigint").alias("x0"), c("x1").cast("bigint").alias("x1"))
     labelled = stage(
         spread(banded, "page_id", "band").sortWithinPartitions("page_id", "band", "y", "x0").mapInPandas(
-            _label_bands, f"page_id {page_type}, band bigint, y bigint, x0 bigint, x1 bigint, root_y bigint, root_x bigint"),
+            _label_bands, "page_id string, band bigint, y bigint, x0 bigint, x1 bigint, root_y bigint, root_x bigint"),
         "region-bands").withColumn("root", span_node(c("root_y"), c("root_x")))
     partial = labelled.groupBy("page_id", "root").agg(
         F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y").alias("top"), F.max("y").alias("bottom"),
@@ -190,9 +203,9 @@ def regions(spans: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
         joined = partial.withColumn("component", c("root"))
     else:
         joined = connected_components(partial.withColumnRenamed("root", "node"), across, ["page_id"])
-    return joined.groupBy("page_id", "component").agg(
+    return _from_page_key(joined.groupBy("page_id", "component").agg(
         F.min("left").alias("x"), F.min("top").alias("y"), (F.max("right") - F.min("left") + 1).alias("w"),
-        (F.max("bottom") - F.min("top") + 1).alias("h"), F.sum("area").alias("area"))
+        (F.max("bottom") - F.min("top") + 1).alias("h"), F.sum("area").alias("area")), page_type)
 
 
 def top_regions(found: DataFrame, limit: int = MAX_REGIONS) -> DataFrame:
@@ -370,17 +383,17 @@ def reading_order(blocks: DataFrame, mode: str = "gutter_first", min_col_gap: in
     if "min_col_gap" not in blocks.columns:
         blocks = blocks.withColumn("min_col_gap", F.lit(min_col_gap))
     page_type = blocks.schema["page_id"].dataType.simpleString()
-    slim = blocks.select("page_id", *[F.col(k).cast("bigint") for k in ("x", "y", "w", "h")], "min_col_gap")
+    slim = _with_page_key(blocks).select("page_id", *[F.col(k).cast("bigint") for k in ("x", "y", "w", "h")], "min_col_gap")
     rows, split = _cut_large(slim, mode, group_rows, levels)
     small = rows.where(~F.col("whole")).select("page_id", "path", "x", "y", "w", "h", "min_col_gap")
-    schema = f"page_id {page_type}, path string, x bigint, y bigint, w bigint, h bigint, place bigint"
+    schema = "page_id string, path string, x bigint, y bigint, w bigint, h bigint, place bigint"
     placed = spread(small, "page_id", "path").sortWithinPartitions("page_id", "path", "y", "x", "w", "h").mapInPandas(
         _order_groups(mode), schema)
     if not split:
-        return placed.select("page_id", F.col("place").alias("order"), "x", "y", "w", "h")
+        return _from_page_key(placed.select("page_id", F.col("place").alias("order"), "x", "y", "w", "h"), page_type)
     whole = rows.where("whole").select("page_id", "path", "x", "y", "w", "h", F.lit(0).cast("bigint").alias("place"))
     every = _numbered(placed.unionByName(whole), ["path", "place", "y", "x", "w", "h"])
-    return every.select("page_id", "order", "x", "y", "w", "h")
+    return _from_page_key(every.select("page_id", "order", "x", "y", "w", "h"), page_type)
 
 
 def page_nodes(ordered: DataFrame, shown: int = SHOWN_NODES) -> DataFrame:
@@ -451,16 +464,17 @@ def block_density(blocks: DataFrame, ink: DataFrame, tile: int = 256) -> DataFra
     """
     c = F.col
     block_id = ["page_id", "x", "y", "w", "h"]
-    unique = blocks.select(*block_id).distinct()
+    page_type = blocks.schema["page_id"].dataType.simpleString()
+    unique = _with_page_key(blocks).select(*block_id).distinct()
     left, top = c("x").cast("bigint") - 1, c("y").cast("bigint") - 1
     right, bottom = left + c("w"), top + c("h")
     signed = [F.struct(cx.alias("cx"), cy.alias("cy"), F.lit(sign).alias("sign"))
               for cx, cy, sign in ((right, bottom, 1), (left, bottom, -1), (right, top, -1), (left, top, 1))]
     looked = unique.select("*", F.inline(F.filter(F.array(*signed), lambda s: (s["cx"] >= 0) & (s["cy"] >= 0))))
-    counts = ink_before(looked.select("page_id", "cx", "cy").distinct(), ink, tile)
+    counts = ink_before(looked.select("page_id", "cx", "cy").distinct(), _with_page_key(ink), tile)
     counted = looked.join(counts, ["page_id", "cx", "cy"], "left").groupBy(*block_id).agg(
         F.coalesce(F.sum(c("sign") * c("n")), F.lit(0)).alias("ink"))
-    return counted.withColumn("density", F.bround(c("ink") / (c("w") * c("h")), 4))
+    return _from_page_key(counted, page_type).withColumn("density", F.bround(c("ink") / (c("w") * c("h")), 4))
 
 
 def ink_f1(pred: DataFrame, truth: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:

@@ -345,3 +345,20 @@ def test_sketches_merge_over_runs(spark):
     assert got == {"a": (100, 50, 99), "b": (100, 50, 99)}
     far = pg.batch_quantiles(pg.batch_sketches(spark.range(200_000).select(F.col("id").alias("ms"))), shares=(0.5,)).first()
     assert far.n == 200_000 and abs(far.p50 - 100_000) < 4000
+
+
+@pytest.mark.parametrize("segment_rows", [2, 1000])
+@pytest.mark.parametrize("seed", range(3))
+def test_contested_names_are_settled_in_order(spark, seed, segment_rows):
+    rng = random.Random(seed)
+    pool = ["a"] * 12 + [f"a-{i}" for i in range(1, 14)] + ["a-1-1", "a-1-2", "a-2-1", "a-1-1-1", "a-03", "b-2", "b"]
+    inputs = [(rng.choice(pool), f"p{i:03d}") for i in range(70)]
+    existing = {rng.choice(pool) + rng.choice(["", "-1", "-4"]) for _ in range(4)}
+    given = {r.path: r.stem for r in inv.assign_names(
+        spark.createDataFrame(inputs, "name string, path string"), spark.createDataFrame([(e,) for e in existing], "name string"), segment_rows).collect()}
+    gone = set(existing)
+    for name, path in inputs:
+        stem = next(x for x in (name if n == 0 else f"{name}-{n}" for n in range(999)) if x not in gone)
+        gone.add(stem)
+        assert given[path] == stem, path
+    assert len(given) == len(inputs)

@@ -96,3 +96,23 @@ def test_clusters_must_name_a_shared_folder(spark):
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             asked(master)
+
+
+@pytest.mark.parametrize("group_rows", [3, 1000])
+def test_null_pages_and_large_page_numbers_are_pages_like_others(spark, group_rows):
+    boxes = [(0, 0, 10, 10), (0, 20, 10, 10), (0, 40, 10, 10), (20, 0, 10, 10), (20, 20, 10, 10)]
+    pages = [None, 2 ** 53 + 1, 2 ** 53 + 2, 7]
+    blocks = spark.createDataFrame([(p, *b) for p in pages for b in boxes], "page_id bigint, x int, y int, w int, h int")
+    for mode in ("gutter_first", "widest"):
+        got = {}
+        for r in pg.reading_order(blocks, mode, 5, group_rows=group_rows).collect():
+            got.setdefault(r.page_id, []).append((r.order, r.x, r.y))
+        assert set(got) == set(pages)
+        assert all(sorted(v) == sorted(got[7]) and [o for o, *_ in sorted(v)] == list(range(5)) for v in got.values())
+    spans = blocks.select("page_id", "y", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"))
+    found = {}
+    for r in pg.regions(spans, band_rows=16).collect():
+        found.setdefault(r.page_id, []).append((r.x, r.y, r.w, r.h, r.area))
+    assert set(found) == set(pages) and all(sorted(v) == sorted(found[7]) and len(v) == 5 for v in found.values())
+    dots = blocks.select("page_id", "x", "y")
+    assert {(r.page_id, r.ink) for r in pg.block_density(blocks, dots, 8).collect()} == {(p, 1) for p in pages}
