@@ -15,7 +15,6 @@ continuations lie there, so the block weighs it exactly by itself. No table pass
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,11 +42,11 @@ TRAIN, HELD, NO_ID = 1, 2, 4
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def squeeze(a: np.ndarray) -> bytes:
+def squeeze(a: np.ndarray, level: int = 1) -> bytes:
     """An array's bytes by significance, compressed: the empty upper bytes of small numbers cost nothing."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(
+    return zstandard.ZstdCompressor(level=level).compress(
         np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
@@ -87,12 +86,13 @@ def make_blocks(docs: DataFrame, held: int = 0, parts: int = 10, block_tokens: i
         (F.when(F.col("doc_id").isNull(), NO_ID).when(fold("doc_id", parts) == held, HELD).otherwise(TRAIN)).alias("flag"))
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_64_intdigest
+
         number = 0
         ids, flags, streams, size, words = [], [], [], 0, _Words()
 
         def block() -> pd.DataFrame:
-            vocab = np.array([END] + [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-                                      for w in words], np.uint64)
+            vocab = np.array([END, *map(xxh3_64_intdigest, words)], np.uint64)
             # frequent words get small numbers, and equally frequent ones the order of their hashes: both take little room
             tokens = np.concatenate(streams)
             often = np.lexsort((vocab, -np.bincount(tokens, minlength=len(vocab))))
@@ -102,7 +102,7 @@ def make_blocks(docs: DataFrame, held: int = 0, parts: int = 10, block_tokens: i
                 "block": [f"{TaskContext.get().partitionId()}-{number}"], "ids": [squeeze(np.array(ids, np.int64))],
                 "flags": [squeeze(np.array(flags, np.uint8))],
                 "lengths": [squeeze(np.array([len(s) for s in streams], np.int64))],
-                "tokens": [squeeze(rank[tokens])], "vocab": [squeeze_keys(vocab[often])]})
+                "tokens": [squeeze(rank[tokens], 6)], "vocab": [squeeze_keys(vocab[often])]})
 
         for batch in batches:
             for doc_id, text, flag in zip(batch["doc_id"], batch["text"], batch["flag"]):
@@ -131,19 +131,49 @@ class Grams:
     at: np.ndarray
 
 
-class Block:
-    """A block's documents, and for every order the n-gram that ends at each token and its context."""
+class Text:
+    """A block's documents and the words of its tokens as hashes."""
 
-    def __init__(self, row, order: int):
+    def __init__(self, row) -> None:
         self.name = row.block
         self.ids, self.flags = expand(row.ids, np.int64), expand(row.flags, np.uint8)
         self.lengths = expand(row.lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        vocab, tokens = expand_keys(row.vocab), expand(row.tokens, np.uint32)
-        stream = vocab[tokens]
+        self.vocab, self.tokens = expand_keys(row.vocab), expand(row.tokens, np.uint32)
+        self.stream = self.vocab[self.tokens]
+        self.training = np.repeat(self.flags == TRAIN, self.lengths)
+
+    def hashes(self, k: int) -> np.ndarray:
+        """The hash of the k-gram that ends at each token."""
+        run, begin = self.stream, np.uint64(BEGIN)
+        for j in range(2, k + 1):
+            before = np.roll(run, 1)
+            before[self.starts] = begin
+            run, begin = _longer(before, self.stream, j), _longer(np.array([begin]), np.array([BEGIN], np.uint64), j)[0]
+        return run
+
+
+def _longer(context: np.ndarray, word: np.ndarray, k: int) -> np.ndarray:
+    return _mix(context * _A + word * _B + np.uint64(k))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the order of the rows, and the number of each row in that order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new], order, np.cumsum(new) - 1
+
+
+class Block(Text):
+    """For every order up to ``order`` also the distinct n-grams and their contexts."""
+
+    def __init__(self, row, order: int):
+        super().__init__(row)
         # words are sorted once in the vocabulary, not in the text
-        keys, number = np.unique(vocab, return_inverse=True)
-        at = number[tokens]
+        keys, number = np.unique(self.vocab, return_inverse=True)
+        at = number[self.tokens]
         first = np.empty(len(keys), np.int64)
         first[at] = np.arange(len(at))
         self.grams, self.contexts = {1: Grams(keys, first, at)}, {}
@@ -153,28 +183,34 @@ class Block:
             context = np.roll(below.at, 1)
             context[self.starts] = len(below.keys)
             self.contexts[k] = Grams(np.concatenate([below.keys, begin]), None, context)
-            self.grams[k] = self._distinct(_mix(self.contexts[k].keys[context] * _A + stream * _B + np.uint64(k)))
-            begin = _mix(begin * _A + np.array([BEGIN], np.uint64) * _B + np.uint64(k))
-        self.training = np.repeat(self.flags == TRAIN, self.lengths)
+            keys, order_, number = _distinct(_longer(self.contexts[k].keys[context], self.stream, k))
+            at, first = np.empty(len(number), np.int64), np.empty(len(keys), np.int64)
+            at[order_] = number
+            first[number] = order_
+            self.grams[k] = Grams(keys, first, at)
+            begin = _longer(begin, np.array([BEGIN], np.uint64), k)
+
+
+def training_counts(text: Text, k: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-grams of a block with hashes from ``low`` to below ``high``, and how often they occur in training."""
+    keys, mine = text.hashes(k), text.training
+    if (low, high) != (0, 1 << 64):
+        inside = keys >= np.uint64(low)
+        if high < 1 << 64:
+            inside &= keys < np.uint64(high)
+        keys, mine = keys[inside], mine[inside]
+    distinct, order, number = _distinct(keys)
+    return distinct, np.bincount(number[mine[order]], minlength=len(distinct)).astype(np.uint32)
 
-    @staticmethod
-    def _distinct(keys: np.ndarray) -> Grams:
-        order = np.argsort(keys)
-        ordered = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        at = np.empty(len(keys), np.int64)
-        at[order] = np.cumsum(new) - 1
-        return Grams(ordered[new], order[new], at)
 
-    def training_counts(self, k: int) -> np.ndarray:
-        g = self.grams[k]
-        return np.bincount(g.at[self.training], minlength=len(g.keys)).astype(np.uint32)
+def part_width(parts: int) -> int:
+    """Hashes in the range of one part."""
+    return (1 << 64) // parts + 1
 
 
 def slices(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
     """The pieces of sorted keys that fall to each of ``parts`` equal ranges of hashes."""
-    width = (1 << 64) // parts + 1
+    width = part_width(parts)
     cuts = np.searchsorted(keys, np.array([width * p for p in range(1, parts)], np.uint64)) if parts > 1 else []
     edges = [0, *cuts, len(keys)]
     for p in range(parts):
@@ -210,34 +246,32 @@ class Model:
         return self.ratio[k][np.minimum(counts, SMALL + 1)]
 
 
-def log_probabilities(block: Block, model: Model, k: int, counts: dict[int, np.ndarray],
-                      weights: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 P of every distinct k-gram of a block, given its context; ``counts`` and the (log10 backoff weight,
-    norm) of every context by order."""
+def log_probabilities(block: Block, model: Model, k: int, counts: np.ndarray, lower: np.ndarray | None,
+                      weights: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """log10 P of every distinct k-gram of a block, given its context: from the counts of the k-grams, the probabilities
+    of order k - 1 and the (log10 backoff weight, norm) of every context."""
     if k == 1:
-        return model.base(counts[1])
+        return model.base(counts)
     g = block.grams[k]
-    lower = log_probabilities(block, model, k - 1, counts, weights)[block.grams[k - 1].at[g.first]]
     context = block.contexts[k].at[g.first]
-    alpha, norm = weights[k][0][context], weights[k][1][context]
-    c = counts[k].astype(float)
-    seen = c > 0
-    own = np.log10(np.where(seen, model.discount(k, counts[k]) * c, 1.0) / np.where(seen, norm, 1.0))
-    return np.where(seen, own, alpha + lower)
+    alpha, norm = weights
+    out = alpha[context] + lower[block.grams[k - 1].at[g.first]]
+    seen = np.flatnonzero(counts)
+    c = counts[seen]
+    out[seen] = np.log10(model.discount(k, c) * c / norm[context[seen]])
+    return out
 
 
 def ask_counts(blocks: DataFrame, asked: dict[int, range], parts: dict[int, int]) -> DataFrame:
     """Requests of every block to the given parts of the given orders."""
-    order = max(asked)
-
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                b = Block(row, order)
+                b = Text(row)
                 for k, wanted in asked.items():
-                    counts = b.training_counts(k)
-                    told = [(k, p, b.name, squeeze_keys(b.grams[k].keys[s]), squeeze(counts[s]))
-                            for p, s in slices(b.grams[k].keys, parts[k]) if p in wanted]
+                    width = part_width(parts[k])
+                    keys, counts = training_counts(b, k, wanted.start * width, min(wanted.stop * width, 1 << 64))
+                    told = [(k, p, b.name, squeeze_keys(keys[s]), squeeze(counts[s])) for p, s in slices(keys, parts[k])]
                     yield pd.DataFrame(told, columns=["order", "part", "block", "keys", "values"])
 
     return blocks.mapInPandas(per_task, REQUESTS)
@@ -326,29 +360,41 @@ def contributions(block: Block, k: int, told: Counts, lower: np.ndarray) -> np.n
     return table
 
 
-def asked_contexts(block: Block, k: int, counts: dict[int, Counts]) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts whose continuations other blocks may know, in key order, and which of them the block backs off from.
-    All others are the block's own, with all that follows them, so it weighs them itself. Begin marks are everyone's."""
-    contexts = block.contexts[k]
-    used = np.zeros(len(contexts.keys), bool)
-    used[contexts.at] = True
-    asked = np.flatnonzero(used & np.append(counts[k - 1].shared, True))
+def asked_contexts(block: Block, k: int, counts: dict[int, Counts], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts the block asks about, in key order; which of them it backs off from; and contexts it shares but knows the
+    norm of. ``table`` has its contributions.
+
+    Contexts of no other block are its own, with all that follows them, so it weighs them itself. Nor does it ask about
+    one it neither contributes to nor backs off from, if it sees a discounted continuation: the norm is then the count of
+    the context. Begin marks are everyone's.
+    """
+    contexts, g, n = block.contexts[k], block.grams[k], counts[k].n
+    shared = np.zeros(len(contexts.keys), bool)
+    shared[contexts.at] = True
+    shared &= np.append(counts[k - 1].shared, True)
+    unseen, small = np.zeros(len(shared), bool), np.zeros(len(shared), bool)
+    unseen[contexts.at[g.first[n == 0]]] = True
+    small[contexts.at[g.first[(n > 0) & (n <= SMALL)]]] = True
+    settled = shared & small & ~unseen & ~table.any(axis=1)
+    settled[-1] = False
+    asked = np.flatnonzero(shared & ~settled)
     asked = asked[np.argsort(contexts.keys[asked])]
-    unseen = np.zeros(len(contexts.keys), bool)
-    unseen[contexts.at[block.grams[k].first[counts[k].n == 0]]] = True
-    return asked, unseen[asked]
+    return asked, unseen[asked], np.flatnonzero(settled)
 
 
-def weights_of(block: Block, model: Model, counts: dict[int, Counts], answers: pd.DataFrame,
-               top: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(log10 backoff weight, norm) of every context of the orders 2 to ``top``: own ones weighed here, others as told.
-    Told contexts the block does not back off from have a norm only."""
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    seen = {j: c.n for j, c in counts.items()}
+def probabilities_of(block: Block, model: Model, counts: dict[int, Counts], answers: pd.DataFrame, top: int) -> np.ndarray:
+    """log10 P of every distinct n-gram of order ``top``, up from the lowest order. Contexts of the block's own are
+    weighed here, others as told; told contexts the block does not back off from have a norm only."""
+    lower = log_probabilities(block, model, 1, counts[1].n, None, None)
     for k in range(2, top + 1):
-        lower = log_probabilities(block, model, k - 1, seen, out)
-        alpha, norm = _weigh(model.ratio[k], contributions(block, k, counts[k], lower))
-        asked, wanted = asked_contexts(block, k, counts)
+        n, table = len(block.contexts[k].keys), contributions(block, k, counts[k], lower)
+        asked, wanted, settled = asked_contexts(block, k, counts, table)
+        own = np.ones(n, bool)
+        own[asked] = own[settled] = False
+        own = np.flatnonzero(own)
+        alpha, norm = np.zeros(n), np.ones(n)
+        alpha[own], norm[own] = _weigh(model.ratio[k], table[own])
+        norm[settled] = counts[k - 1].n[settled]
         norms, alphas = [], []
         for raw in _told(answers, "weight", k):
             size = int.from_bytes(raw[:4], "little")
@@ -356,23 +402,21 @@ def weights_of(block: Block, model: Model, counts: dict[int, Counts], answers: p
             alphas.append(expand(raw[4 + size:], np.float64))
         if len(asked):
             norm[asked] = np.concatenate(norms)
-            alpha[asked] = 0.0
             alpha[asked[wanted]] = np.concatenate(alphas)
-        out[k] = alpha, norm
-    return out
+        lower = log_probabilities(block, model, k, counts[k].n, lower, (alpha, norm))
+    return lower
 
 
 def ask_weights(blocks: DataFrame, answers: DataFrame, model: Model, k: int, parts: int, wanted_parts: range) -> DataFrame:
     """The contributions of every block to the contexts of order k that it shares, and whether it backs off from them:
     what goes to the given parts of ``parts``."""
-    order = model.order
-
     def per_block(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        b = Block(next(rows.itertuples(index=False)), order)
+        b = Block(next(rows.itertuples(index=False)), k)
         counts = {j: Counts.of(replies, j) for j in range(1, k + 1)}
-        lower = log_probabilities(b, model, k - 1, {j: c.n for j, c in counts.items()}, weights_of(b, model, counts, replies, k - 1))
-        asked, wanted = asked_contexts(b, k, counts)
-        table = np.column_stack([contributions(b, k, counts[k], lower)[asked], wanted])
+        lower = probabilities_of(b, model, counts, replies, k - 1)
+        table = contributions(b, k, counts[k], lower)
+        asked, wanted, _ = asked_contexts(b, k, counts, table)
+        table = np.column_stack([table[asked], wanted])
         keys = b.contexts[k].keys[asked]
         packed = np.ascontiguousarray(table).view(np.dtype((np.void, 8 * (SMALL + 3)))).ravel()
         told = [(k, p, b.name, squeeze_keys(keys[s]), squeeze(packed[s])) for p, s in slices(keys, parts) if p in wanted_parts]
@@ -414,14 +458,13 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model) -> DataFra
     def per_block(_, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b = Block(next(rows.itertuples(index=False)), order)
         counts = {k: Counts.of(replies, k) for k in range(1, order + 1)}
-        seen = {k: c.n for k, c in counts.items()}
-        p = log_probabilities(b, model, order, seen, weights_of(b, model, counts, replies, order))
+        p = probabilities_of(b, model, counts, replies, order)
         words = b.grams[1].at
         add = lambda x: np.add.reduceat(x, b.starts)
         return pd.DataFrame({
             "doc_id": pd.Series(b.ids, dtype="Int64").where(pd.Series(b.flags != NO_ID)), "held_out": b.flags == HELD,
-            "n_tokens": b.lengths, "n_known": add((seen[1] > 0).astype(np.int64)[words]),
-            "train_tokens": model.tokens, "base_score": add(model.base(seen[1])[words]),
+            "n_tokens": b.lengths, "n_known": add((counts[1].n > 0).astype(np.int64)[words]),
+            "train_tokens": model.tokens, "base_score": add(model.base(counts[1].n)[words]),
             "score": add(p[b.grams[order].at])})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(per_block, SCORES)
