@@ -12,10 +12,6 @@ LIMIT_VIDEO = 250 * 1024 * 1024
 MAX_PIXELS = 100_000_000
 MIN_SIDE = 8
 
-# Input extensions.
-IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
-VIDEO_EXTENSIONS = ("mp4", "m4v", "mov", "avi", "webm", "mkv")
-
 # Signatures.
 PNG = b"\x89PNG\r\n\x1a\n"
 JPEG2 = b"\xff\xd8"

@@ -35,7 +35,3 @@ def ambiguous_material(*fields: Column) -> Column:
 
 def concat_material(prev: Column, timestamp: Column, data: Column) -> Column:
     return F.concat(prev, timestamp, data)
-
-
-def is_digest(col: Column) -> Column:
-    return F.coalesce(col.rlike(HEX64), F.lit(False))

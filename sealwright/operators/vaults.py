@@ -36,6 +36,18 @@ ROLES = ("manifest", "original", "restored", "mask")
 KDF_NAME = "argon2id"
 KDF_BOUNDS = {"t": (1, 10), "m_kib": (16384, 1048576), "p": (1, 16)}
 
+# Fault texts.
+TOO_SHORT = "blob too short"
+BAD_MAGIC = "bad magic"
+BAD_VERSION = "unsupported version "
+HEADER_SIZE = "vault header is truncated or oversized"
+HEADER_JSON = "invalid vault header (json)"
+HEADER_KDF = "invalid vault header (kdf)"
+HEADER_ENTRIES = "invalid vault header (entries)"
+HEADER_PAYLOAD = "invalid vault header (size)"
+NOT_AUTHENTIC = "authentication failed"
+ENTRY_SIZES = "entry sizes do not match payload"
+
 _BODY_AT = len(STRETCHED_MAGIC) + 1 + SALT_BYTES + 1
 
 
@@ -99,9 +111,9 @@ def _with_keys(rows: DataFrame, keys: DataFrame, how: str, known: int | None) ->
 def audit_stretched(blob: Column) -> Column:
     """First header fault, null when the header is sound."""
     version = uint_be(blob, 5, 1)
-    return (F.when(F.length(blob) < _BODY_AT - 1 + NONCE_BYTES + TAG_BYTES, "blob too short")
-            .when(~F.startswith(blob, F.lit(STRETCHED_MAGIC)), "bad magic")
-            .when(version != STRETCHED_VERSION, F.concat(F.lit("unsupported version "), version.cast("string"))))
+    return (F.when(F.length(blob) < _BODY_AT - 1 + NONCE_BYTES + TAG_BYTES, TOO_SHORT)
+            .when(~F.startswith(blob, F.lit(STRETCHED_MAGIC)), BAD_MAGIC)
+            .when(version != STRETCHED_VERSION, F.concat(F.lit(BAD_VERSION), version.cast("string"))))
 
 
 def stretched_salt(blob: Column) -> Column:
@@ -126,7 +138,7 @@ def open_stretched(blobs: DataFrame, keys: DataFrame, known_keys: int | None = N
     body = F.substring(c("blob"), _BODY_AT, 2147483647)
     plain = F.when(c("fault").isNull(), F.try_aes_decrypt(body, c("key"), F.lit("GCM")))
     opened = joined.withColumn("plain", plain)
-    fault = F.coalesce(c("fault"), F.when(c("plain").isNull(), "authentication failed"))
+    fault = F.coalesce(c("fault"), F.when(c("plain").isNull(), NOT_AUTHENTIC))
     return opened.withColumn("fault", fault).drop("key", "salt")
 
 
@@ -181,14 +193,14 @@ def _role_fault() -> Column:
                    | ~whole_sizes | ~F.forall(sizes, lambda s: F.coalesce(s >= 0, F.lit(False))))
     total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, s: acc + s)
     version = uint_be(c("blob"), 5, 1)
-    return (F.when((F.length("blob") < 9) | ~F.startswith(c("blob"), F.lit(ROLE_MAGIC)), "bad magic")
-            .when(version != ROLE_VERSION, F.concat(F.lit("unsupported version "), version.cast("string")))
+    return (F.when((F.length("blob") < 9) | ~F.startswith(c("blob"), F.lit(ROLE_MAGIC)), BAD_MAGIC)
+            .when(version != ROLE_VERSION, F.concat(F.lit(BAD_VERSION), version.cast("string")))
             .when((c("_hlen") == 0) | (c("_hlen") > MAX_HEADER_BYTES) | too_short,
-                  "vault header is truncated or oversized")
-            .when(header.isNull(), "invalid vault header (json)")
-            .when(bad_kdf, "invalid vault header (kdf)")
-            .when(bad_entries, "invalid vault header (entries)")
-            .when(total > MAX_PAYLOAD_BYTES, "invalid vault header (size)"))
+                  HEADER_SIZE)
+            .when(header.isNull(), HEADER_JSON)
+            .when(bad_kdf, HEADER_KDF)
+            .when(bad_entries, HEADER_ENTRIES)
+            .when(total > MAX_PAYLOAD_BYTES, HEADER_PAYLOAD))
 
 
 def audit_role(blobs: DataFrame) -> DataFrame:
@@ -236,8 +248,8 @@ def open_role(blobs: DataFrame, keys: DataFrame) -> DataFrame:
     opened = joined.withColumns({"plain": plain, "entries": entries})
     total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda acc, e: acc + e["size"])
     fault = (F.when(c("fault").isNotNull(), c("fault"))
-             .when(c("plain").isNull(), "authentication failed")
-             .when(F.length("plain") != total, "entry sizes do not match payload"))
+             .when(c("plain").isNull(), NOT_AUTHENTIC)
+             .when(F.length("plain") != total, ENTRY_SIZES))
     opened = opened.withColumn("fault", fault).select(
         "vault", "fault", "plain",
         F.posexplode_outer(F.when(fault.isNull(), c("entries"))).alias("i", "entry"), "entries")

@@ -7,23 +7,12 @@ LEDGER_PIPE = (
     "case_id string, id bigint, ts bigint, operator string, action string, path string,"
     " sha256 string, prev_hash string, entry_hash string")
 
-CASES = ("case_pk bigint, case_id string, operator string, source_root string, created_at timestamp")
-
-LEDGER_CONCAT = (
-    "case_id string, id bigint, timestamp string, operation string, path string, hash_prev string,"
-    " hash_data string, hash_chain string, operator string, signature string")
-
 LEDGER_LINE = ("seq bigint, ts string, event string, prev string, hash string")
 
 EVENT_SEALED = (
     "source_sha256 string, vault string, vault_sha256 string, status string, masked_fraction double")
-EVENT_REJECTED = ("source_sha256 string, reason string")
 EVENT_DELETED = ("vault string, vault_sha256 string")
 
-EVIDENCE = (
-    "source_path string, relative_path string, size_bytes bigint, sha256 string,"
-    " claimed_extension string, magic_hint string, vault_relpath string")
-
 MANIFEST = (
     "tool string, version string, case_id string, operator string, created_unix bigint,"
     " source_root string, evidence array<struct<source_path:string,relative_path:string,"
@@ -40,22 +29,12 @@ PAGE_REPORT = (
     " reference_frame int, composite_replaced_fraction double, video_fallback string,"
     " settings struct<flatten:boolean,fill_shadow:boolean,repair:boolean>")
 
-VAULT_MANIFEST = (
-    "tool string, created_utc string, source_name string,"
-    " entries map<string,struct<sha256:string,size:bigint>>")
-
-ROLE_HEADER = (
-    "kdf struct<name:string,t:string,m_kib:string,p:string,salt:string>,"
-    " entries array<struct<role:string,size:string>>")
-
 CHECKOUT_EVENT = (
     "recv_ts timestamp, signature_header string, type string,"
     " data struct<object:struct<id:string,payment_status:string,payment_link:string,mode:string,"
     "quantity:int,customer_email:string,customer_details:struct<email:string,name:string>,"
     "metadata:map<string,string>>>")
 
-PLANS = ("payment_link string, plan string, seats int, months int")
-
 LICENCE_PAYLOAD = (
     "v string, product string, id string, plan string, email string, name string, seats int,"
     " issued string, expires string, `order` string")
