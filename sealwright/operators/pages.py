@@ -410,23 +410,35 @@ def column_switches(ordered: DataFrame) -> DataFrame:
     return seen.groupBy("page_id").agg(F.count_if(moved).alias("switches"))
 
 
-def _corner_counts(key: tuple, dots: pd.DataFrame, corners: pd.DataFrame) -> pd.DataFrame:
-    """Ink left of and above every corner of one group, from a summed-area table of the group: two running sums, over
+_CORNERS = ("page_id", "level", "group", "corner", "row", "x", "n", "cy")
+
+
+def _corner_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ink left of and above every corner of each group, from a summed-area table of the group: two running sums, over
     its rows and over the columns at which corners lie."""
-    if not len(corners) or not len(dots):
-        return pd.DataFrame({"page_id": pd.Series(dtype=object), "cx": [], "cy": [], "n": []})
-    at = np.unique(corners["cx"].to_numpy())
-    first = int(dots["row"].min())
-    table = np.zeros((int(dots["row"].max()) - first + 1, len(at) + 1), dtype=np.int64)
-    np.add.at(table, (dots["row"].to_numpy() - first, np.searchsorted(at, dots["x"].to_numpy(), "left")), dots["n"].to_numpy())
-    table = table.cumsum(axis=0).cumsum(axis=1)
-    last = np.minimum(corners["row"].to_numpy() - first, len(table) - 1)
-    n = np.where(last >= 0, table[last, np.searchsorted(at, corners["cx"].to_numpy())], 0)
-    return pd.DataFrame({"page_id": corners["page_id"], "cx": corners["cx"], "cy": corners["cy"], "n": n})
+    for cols in whole_groups(batches, _CORNERS, _CORNERS[:3]):
+        edges = borders(*(cols[k] for k in _CORNERS[:3]))
+        asked, counts = [], []
+        for low, high in zip(edges[:-1], edges[1:]):
+            corner = cols["corner"][low:high].astype(bool)
+            here, dots = low + np.flatnonzero(corner), low + np.flatnonzero(~corner)
+            if not len(here) or not len(dots):
+                continue
+            row, x = cols["row"], cols["x"]
+            at, first = np.unique(x[here]), int(row[dots].min())
+            table = np.zeros((int(row[dots].max()) - first + 1, len(at) + 1), dtype=np.int64)
+            np.add.at(table, (row[dots] - first, np.searchsorted(at, x[dots], "left")), cols["n"][dots])
+            table = table.cumsum(axis=0).cumsum(axis=1)
+            last = np.minimum(row[here] - first, len(table) - 1)
+            asked.append(here)
+            counts.append(np.where(last >= 0, table[last, np.searchsorted(at, x[here])], 0))
+        if asked:
+            rows = np.concatenate(asked)
+            yield pd.DataFrame({"page_id": cols["page_id"][rows], "cx": cols["x"][rows], "cy": cols["cy"][rows], "n": np.concatenate(counts)})
 
 
 def ink_before(corners: DataFrame, ink: DataFrame, tile: int = 256) -> DataFrame:
-    """Summed-area lookups: for corners (page_id, cx, cy; distinct, from 0) rows (page_id, cx, cy, n) whose ``n`` add up
+    """Summed-area lookups: for corners (page_id, cx, cy; distinct, no nulls, from 0) rows (page_id, cx, cy, n) whose ``n`` add up
     to the ink at or left of cx and at or above cy. Corners without ink have no rows.
 
     Rows of a page form groups of ``tile``, these form groups of ``tile`` groups, and so on. On the lowest level a corner
@@ -451,8 +463,11 @@ def ink_before(corners: DataFrame, ink: DataFrame, tile: int = 256) -> DataFrame
     wanted = placed(corners.select("*", by_level), c("cy")).withColumn(
         "row", F.when(c("level") == 0, c("row")).otherwise(c("row") - 1))
     page_type = corners.schema["page_id"].dataType.simpleString()
-    keys = ("page_id", "level", "group")
-    return dots.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(
+    none = F.lit(0).cast("bigint")
+    events = dots.select("page_id", "level", "group", F.lit(False).alias("corner"), "row", c("x").cast("bigint").alias("x"), "n",
+                         none.alias("cy")).unionByName(wanted.select(
+        "page_id", "level", "group", F.lit(True).alias("corner"), "row", c("cx").alias("x"), none.alias("n"), "cy"))
+    return spread(events, *_CORNERS[:3]).sortWithinPartitions(*_CORNERS[:3]).mapInPandas(
         _corner_counts, f"page_id {page_type}, cx bigint, cy bigint, n bigint")
 
 
