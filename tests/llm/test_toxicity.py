@@ -86,3 +86,26 @@ def test_held_out_labels_are_not_learned(spark):
     turned = labels.withColumn("toxic", F.when(tx.fold("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     one, other = (tx.fit_on(table, x) for x in (labels, turned))
     assert np.array_equal(one.emb, other.emb) and one.shift == other.shift
+
+
+def by_hand(net, text):
+    """The network's output of one text, word by word, window by window, filter by filter."""
+    words = [[net.emb[b] for b in tx.features(w, len(net.emb))] for w in tx.tokens(text)]
+    x = [[float(p) + float(q) for p, q in zip(*pair)] for pair in words] + [[0.0] * net.emb.shape[1]] * 3
+    out, n = float(net.out_bias), 0
+    for kernel, bias in zip(net.kernels, net.bias):
+        width, dim, filters = kernel.shape
+        for f in range(filters):
+            best = max(sum(x[i + j][d] * float(kernel[j, d, f]) for j in range(width) for d in range(dim))
+                       for i in range(len(x) - width + 1))
+            out += max(best + float(bias[f]), 0.0) * float(net.out[n])
+            n += 1
+    return out
+
+
+def test_forward_pass_by_hand():
+    texts = ["the cat", "", None, "awfulword of it", "a", "Le chat, de la MAISON!", "x " * 40, "ein zwei drei vier fünf"]
+    for net in (small_net(), tx.new_network(seed=9), tx.new_network(1 << 10, 5, 3, (1, 3), seed=2)):
+        stream, starts, known = tx.encode(texts, 3)
+        got = tx.logits(net, stream, starts, tx.word_buckets(known, len(net.emb)))
+        assert np.allclose(got, [by_hand(net, t) for t in texts], atol=1e-4)
