@@ -157,9 +157,11 @@ def _contested(inputs: DataFrame, used: DataFrame, names: DataFrame, segment_row
     firsts = inputs.groupBy(c("name").alias("child")).agg(F.min("path").alias("first"))
     kids = firsts.select(F.regexp_extract("child", _NUMBERED, 1).alias("name"),
                          F.regexp_extract("child", _NUMBERED, 2).try_cast("bigint").alias("number"), "child", "first").where("name <> ''")
-    kids = stage(kids.join(names, "name", "left_semi").join(used, ["name", "number"], "left_anti"), "numbered-inputs")
+    kids = kids.join(names, "name", "left_semi")
     if kids.isEmpty():
         return None
+    used = stage(used, "used-names")
+    kids = stage(kids.join(used, ["name", "number"], "left_anti"), "numbered-inputs")
     parents = kids.select("name").distinct()
     none = F.lit(None).cast("bigint")
     marks = skew_join(inputs.select("name", "path"), parents, ["name"], "left_semi").select(
@@ -203,7 +205,7 @@ def assign_names(inputs: DataFrame, existing: DataFrame, segment_rows: int = SEG
     used = taken.select(F.col("name"), F.lit(0).cast("bigint").alias("number")).unionByName(
         taken.select(F.regexp_extract("name", _NUMBERED, 1).alias("name"),
                      F.regexp_extract("name", _NUMBERED, 2).try_cast("bigint").alias("number")).where("name <> ''"))
-    used = stage(used.join(names, "name", "left_semi"), "used-names")
+    used = used.join(names, "name", "left_semi")
     contested = _contested(inputs, used, names, segment_rows)
     if contested is not None:
         used = stage(used.unionByName(contested).distinct(), "used-names")
