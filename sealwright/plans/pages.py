@@ -274,7 +274,7 @@ def _with_columns(ordered):
 
 def _density(spark, sf_dir):
     out = pg.block_density(region_table(spark, sf_dir).select("page_id", "x", "y", "w", "h"),
-                           pg.ink_pixels(pixels(spark, sf_dir)), tile=3)
+                           pg.ink_pixels(pixels(spark, sf_dir)))
     return out.select("page_id", "x", "y", "w", "h", "ink", "density")
 
 
