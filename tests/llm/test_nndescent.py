@@ -78,3 +78,18 @@ def test_search_goes_on_until_no_beam_has_an_unvisited_node(spark):
     found = nn.search(graph, nodes, asked, "<f8", 1, beam=4, stride=1).toPandas()
     assert found["node"].max() == n - 1
     assert nn.BEAM >= 96 and nn.SETTLED <= 0.02
+
+
+def test_only_floats_are_cut_to_32_bits(spark):
+    from pyspark.sql import types as T
+
+    from sealwright.llm import nndescent
+
+    for element, kind in ((T.DoubleType(), "<f8"), (T.LongType(), "<f8"), (T.IntegerType(), "<f8"), (T.FloatType(), "<f4")):
+        for nulls in (True, False):
+            schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.ArrayType(element, nulls))])
+            value = 2 ** 24 + 1 if kind == "<f8" else 3
+            rows = spark.createDataFrame([(1, [type(1.0)(value) if "Float" in str(element) or "Double" in str(element) else value])], schema)
+            packed, found, dim = nndescent.pack_vectors(rows, "k", "v")
+            assert (found, dim) == (kind, 1)
+            assert np.frombuffer(packed.first()["vec"], kind)[0] == value
