@@ -56,7 +56,7 @@ def event_files(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _files:
         path = t.scratch(spark, "checkout-events")
-        raw_events(spark, sf_dir).write.mode("errorifexists").json(path)
+        t.packed(raw_events(spark, sf_dir)).json(path)
         _files[key] = path
     return _files[key]
 

@@ -13,6 +13,8 @@ from ..session import scratch_path, settle, shared_root, stage
 
 _staged: dict[tuple, DataFrame] = {}
 
+TEXT_FILE_ROWS = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -108,5 +110,10 @@ ROW_OK_SQL = ("sha256(ts || '|' || operator || '|' || action || '|' || path || '
               " = entry_hash")
 
 
+def packed(df: DataFrame):
+    """A writer of compressed text files (JSON, CSV). They cannot be split when read, so their rows are bounded."""
+    return df.write.mode("errorifexists").option("compression", "gzip").option("maxRecordsPerFile", TEXT_FILE_ROWS)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
