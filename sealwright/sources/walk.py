@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime
 import os
 import stat
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -173,4 +174,39 @@ def with_content(inventory: DataFrame, limit: int = fx.LIMIT_ACQUIRE) -> DataFra
     return rows.repartition(width, F.xxhash64("path")).mapInArrow(run, f"{ENTRY}, content binary")
 
 
+def _put(path: str, content: bytes, aside: str) -> None:
+    """One file, whole or not at all: written aside and put in place, so a repeated task leaves no rest among the files."""
+    mounted = _local(path)
+    if mounted is None:
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner.rpartition("/")[0])
+        with store.open_output_stream(inner) as target:
+            target.write(content)
+        return
+    partial = f"{_local(aside)}/{uuid.uuid4().hex}"
+    with open(partial, "wb") as target:
+        target.write(content)
+    os.makedirs(os.path.dirname(mounted), exist_ok=True)
+    os.replace(partial, mounted)
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """One file below ``root`` per row (path, content); returns their number. Tasks write the files they are dealt, so
+    neither one task nor a commit on the driver goes over all of them. ``content`` is text or bytes."""
+    root = root.rstrip("/")
+    aside = f"{root}.partial"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _local(aside) is not None:
+            os.makedirs(_local(aside), exist_ok=True)
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                _put(f"{root}/{path}", content, aside)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("path", F.col("content").cast("binary").alias("content")).repartition(width, F.xxhash64("path"))
+    return dealt.mapInArrow(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).first()["n"]
+
+
 ENTRY_COLUMNS = tuple(c.split()[0] for c in ENTRY.split(", "))
