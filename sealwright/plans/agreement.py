@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chains, reconcile as rec, vaults
-from ..sources import evidence as src, manifests as msrc
+from ..sources import evidence as src, manifests as msrc, walk
 from . import tables as t
 
 _files: dict = {}
@@ -281,7 +281,10 @@ def manifest_documents(spark, sf_dir):
     doc = F.to_json(F.struct(
         F.lit("t").alias("tool"), F.lit("1").alias("version"), F.col("s_name").alias("case_id"), F.lit("op").alias("operator"),
         F.lit(1_700_000_000).alias("created_unix"), F.lit("/e").alias("source_root"), F.array(record("a.txt"), record("b.txt")).alias("evidence")))
-    sup.select("s_suppkey", doc.alias("doc")).write.partitionBy("s_suppkey").text(path)
+    # so many documents to a folder that listing the folders is shared out and none is long
+    place = F.concat(F.lit("folder="), F.call_function("div", F.col("s_suppkey"), F.lit(1000)).cast("string"), F.lit("/"),
+                     F.col("s_suppkey").cast("string"), F.lit(".json"))
+    walk.write_files(sup.select(place.alias("path"), doc.alias("content")), path)
     return msrc.read_manifests(spark, path).select("case_id", "relative_path", "size_bytes", "sha256", "vault_relpath")
 
 
