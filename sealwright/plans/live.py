@@ -16,6 +16,7 @@ _done: dict = {}
 
 SEGMENTS = 2
 FILES = 8
+INTAKE_BATCHES = 8
 
 
 def _replay(spark, sf_dir, name, batch, order, segments=SEGMENTS):
@@ -106,9 +107,12 @@ def intake_folder(spark, sf_dir):
         root, good, bad, checkpoint = (t.scratch(spark, f"intake-{n}") for n in ("files", "accepted", "rejected", "checkpoint"))
         kind = F.col("s_suppkey") % 5
         head = F.when(kind == 0, "BM").when(kind == 1, "GIF89a").when(kind == 2, "0000ftypheic").when(kind == 3, "RIFF0000AVI LIST").otherwise("")
-        t.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(head, "s_name").alias("line")).write.partitionBy("s_suppkey").text(root)
+        suppliers = t.table(spark, sf_dir, "supplier")
+        pev._line_files(suppliers, root, "s_suppkey", line=F.concat(head, "s_name"))
+        # every micro-batch has a cost of its own, so they grow with the folder once it needs more than a few
+        most = max(200, -(-suppliers.count() // INTAKE_BATCHES))
         for _ in range(2):
-            intake.intake_stream(intake.watch_folder(spark, root, 200), good, bad, checkpoint).awaitTermination()
+            intake.intake_stream(intake.watch_folder(spark, root, most), good, bad, checkpoint).awaitTermination()
         _done[key] = (good, bad)
     good, bad = _done[key]
     supplier = F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("supplier")
