@@ -212,7 +212,7 @@ def report_files(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _files:
         path = t.scratch(spark, "page-reports")
-        report_rows(spark, sf_dir).write.mode("errorifexists").json(path)
+        t.packed(report_rows(spark, sf_dir)).json(path)
         _files[key] = path
     return rsrc.read_page_reports(spark, _files[key], multi_line=False)
 
