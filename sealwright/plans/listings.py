@@ -188,7 +188,7 @@ def _dump_rows(spark, sf_dir, kind):
 
 def dump(spark, sf_dir, kind):
     path = _written(spark, sf_dir, f"dump-{kind}",
-                    lambda p: _dump_rows(spark, sf_dir, kind).write.mode("errorifexists").json(p))
+                    lambda p: t.packed(_dump_rows(spark, sf_dir, kind)).json(p))
     return asrc.read_api_dump(spark, kind, path)
 
 
