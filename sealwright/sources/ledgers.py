@@ -100,11 +100,13 @@ def ledger_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_ledger_jsonl(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
-    """Text files below ``case_id=…/part=…``, each with ``file_rows`` consecutive lines. Never overwrites.
+    """Compressed text files below ``case_id=…/part=…``, each with ``file_rows`` consecutive lines. Never overwrites.
+    A compressed file is one split, so ``file_rows`` also bounds what a reading task and a bucket hold.
 
     The part is arithmetic on ``seq``, so one exchange places the rows, a large case is written by
     many tasks, and no sampling pass computes the hashes a second time.
     """
     lines = ledger_lines(rows).withColumn("part", F.call_function("div", F.col("seq") - 1, F.lit(file_rows)))
     (lines.repartition("case_id", "part").sortWithinPartitions("case_id", "part", "seq")
-     .select("case_id", "part", "line").write.mode("errorifexists").partitionBy("case_id", "part").text(path))
+     .select("case_id", "part", "line").write.mode("errorifexists")
+     .option("compression", "gzip").partitionBy("case_id", "part").text(path))
