@@ -4,9 +4,9 @@ All of it is built-in functions, joins and groupings. Stated and mined rules lie
 under the token of its host, a mined one under the rarest token of its combination. A URL looks up its tokens and the
 rules found are checked in full, so a URL meets only rules that share a token with it.
 
-Mining reads all labelled URLs. What bounds it: tokens must reach ``SUPPORT`` of the labelled URLs, the ``TOKENS`` that
-tell most about the label (chi-square) are kept, and of one URL the ``WIDTH`` foremost of them go into its basket.
-Matching has no such bounds. Kept rules reach ``SUPPORT`` and ``CONFIDENCE``, and no shorter combination with the same
+Mining reads all labelled URLs with all their tokens. FP-growth lists every frequent combination, 2^n of a URL with n
+frequent tokens; where a URL has more than ``WIDTH``, combinations are built level by level instead, without those that a
+shorter one beats anyway, and the rules are the same. Kept rules reach ``SUPPORT`` and ``CONFIDENCE``, and no shorter combination with the same
 verdict is as sure.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule but may carry mined tokens of
@@ -16,6 +16,7 @@ labelled URLs nothing is mined. Ties between mined rules: surer, then better sup
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -27,7 +28,8 @@ from ..session import broadcast_if_small, stage
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 SUPPORT, CONFIDENCE = 0.005, 0.9
-TOKENS, WIDTH = 48, 10
+#: Frequent tokens of a URL up to which FP-growth lists all their combinations.
+WIDTH = 12
 #: Host labels from the right that become tokens of mined rules.
 HOST_DEPTH = 3
 #: Copies of one row are counted in so many groups, so that no task has to put out all of them.
@@ -105,36 +107,85 @@ def _default_index(spark: SparkSession) -> DataFrame:
         F.lit(-1.0).alias("sure"), F.lit(0.0).alias("support"), F.lit("").alias("rule"), F.lit("allow").alias("verdict"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Mined rules as index rows, from (url, verdict) rows; verdict is allow or block, others are left out."""
+def _often(least: int) -> Column:
+    """Whether one of the two verdicts falls on at least so many rows."""
+    return F.greatest(F.col("bad"), F.col("n") - F.col("bad")) >= least
+
+
+def _grown(known: DataFrame, support: float, confidence: float) -> DataFrame:
+    """Sure combinations of tokens by FP-growth: needs, verdict, sure, support."""
+    baskets = known.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    label = F.element_at("consequent", 1)
+    return model.associationRules.where(label.startswith("=")).select(
+        F.array_sort("antecedent").alias("needs"), F.substring(label, 2, 5).alias("verdict"),
+        F.col("confidence").alias("sure"), "support")
+
+
+def _by_levels(baskets: DataFrame, counted: DataFrame, least: int, confidence: float, total: int) -> DataFrame:
+    """As ``_grown``, but without combinations that a shorter one surely beats: those as frequent as a part of them, and
+    those with a part that has one verdict only. What holds such a part is not looked at, so many tokens that come
+    together cost no more than a few."""
+    mixed = (F.col("bad") > 0) & (F.col("bad") < F.col("n"))
+    numbered = stage(baskets.withColumn("id", F.monotonically_increasing_id()), "numbered-baskets")
+    level = counted.select(F.array("token").alias("needs"), "n", "bad")
+    live = level.where(mixed)
+    held = numbered.select("id", F.explode("basket").alias("token")).select("id", F.array("token").alias("needs")).join(
+        live.select("needs"), "needs", "left_semi")
+    found, size = level, 1
+    while not live.isEmpty():
+        stem = held.select("id", F.slice("needs", 1, size - 1).alias("stem"), F.element_at("needs", -1).alias("last"))
+        wider = stem.join(stem.withColumnRenamed("last", "next"), ["id", "stem"]).where("last < next").select(
+            "id", F.concat("stem", F.array("last", "next")).alias("needs"))
+        size += 1
+        wider = stage(wider, f"combinations{size}")
+        often = stage(wider.join(numbered.select("id", "n", "bad"), "id").groupBy("needs").agg(
+            F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(_often(least)), f"counted{size}")
+        parts = often.select("needs", "n", F.explode("needs").alias("t")).select("needs", "n", F.array_remove("needs", F.col("t")).alias("part"))
+        free = parts.join(live.select(F.col("needs").alias("part"), F.col("n").alias("more")), "part").where("more > n").groupBy(
+            "needs").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == size).select("needs")
+        level = stage(often.join(free, "needs", "left_semi"), f"level{size}")
+        found, live = found.unionByName(level), level.where(mixed)
+        held = wider.join(live.select("needs"), "needs", "left_semi")
+    sides = F.array(*[F.struct(F.lit(v).alias("verdict"), hits.alias("hits")) for v, hits in (
+        ("allow", F.col("n") - F.col("bad")), ("block", F.col("bad")))])
+    return found.select("needs", "n", F.inline(sides)).where((F.col("hits") >= least) & (F.col("hits") / F.col("n") >= confidence)).select(
+        "needs", "verdict", (F.col("hits") / F.col("n")).alias("sure"), (F.col("hits") / total).alias("support"))
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, width: int = WIDTH) -> DataFrame:
+    """Mined rules as index rows, from (url, verdict) rows; verdict is allow or block, others are left out. FP-growth
+    mines them unless a URL has more than ``width`` frequent tokens; both ways give the same rules."""
     spark = labelled.sparkSession
     known = labelled.where(F.col("verdict").isin("allow", "block")).select(url_tokens(F.col("url")).alias("tokens"), "verdict")
     sizes = {r["verdict"]: r["n"] for r in known.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, blocked = sum(sizes.values()), sizes.get("block", 0)
+    total = sum(sizes.values())
     none = spark.range(0).select(*[c.alias(n) for c, n in zip(
         (F.lit(""), F.lit(False), F.lit(""), F.array().cast("array<string>"), F.lit(0.0), F.lit(0.0), F.lit(""), F.lit("")), _COLUMNS)])
     if not total:
         return none
-    counted = known.select(F.explode("tokens").alias("token"), (F.col("verdict") == "block").cast("bigint").alias("bad")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= max(1.0, support * total))
-    # chi-square of token against label, but for a factor that all tokens share
-    telling = F.pow(F.col("bad") * total - F.col("n").cast("double") * blocked, F.lit(2.0)) / F.greatest(
-        F.col("n").cast("double") * (total - F.col("n")), F.lit(0.5))
-    foremost = {r["token"]: r["n"] for r in counted.orderBy(telling.desc(), "token").limit(TOKENS).collect()}
-    if not foremost:
+    least = max(1, math.ceil(support * total))
+    counted = stage(known.select(F.explode("tokens").alias("token"), (F.col("verdict") == "block").cast("bigint").alias("bad")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).where(_often(least)), "tokens")
+    frequent = counted.agg(F.collect_list("token").alias("frequent"))
+    shapes = known.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"))
+    baskets = stage(shapes.crossJoin(F.broadcast(frequent)).select(
+        F.array_sort(F.array_intersect("tokens", "frequent")).alias("basket"), "n", "bad").groupBy("basket").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad")), "baskets")
+    widest = baskets.agg(F.max(F.size("basket")).alias("w")).first()["w"] or 0
+    if not widest:
         return none
-    ranked = F.array(*[F.lit(t) for t in foremost])
-    baskets = known.select(F.concat(F.slice(F.array_intersect(ranked, F.col("tokens")), 1, WIDTH),
-                                    F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    label = F.element_at("consequent", 1)
-    rules = stage(model.associationRules.where(label.startswith("=")).select(
-        F.array_sort("antecedent").alias("needs"), F.substring(label, 2, 5).alias("verdict"),
-        F.col("confidence").alias("sure"), "support"), "mined")
+    found = _grown(known, support, confidence) if widest <= width else _by_levels(baskets, counted, least, confidence, total)
+    rules = stage(found, "mined")
+    # most longer rules go by the rule they have without one token
+    within = rules.select("needs", "verdict", "sure", F.explode("needs").alias("t")).select(
+        "needs", "verdict", "sure", F.array_remove("needs", F.col("t")).alias("fewer"))
+    shorter = rules.select(F.col("needs").alias("fewer"), "verdict", F.col("sure").alias("as_sure"))
+    beaten = within.join(shorter, ["fewer", "verdict"]).where("as_sure >= sure").select("needs", "verdict").distinct()
+    rules = stage(rules.join(beaten, ["needs", "verdict"], "left_anti"), "minimal")
     # the rarest token of a combination, the least of equally many
-    often = F.create_map(*[x for t, n in foremost.items() for x in (F.lit(t), F.lit(n))])
-    posted = rules.withColumn("token", F.array_min(F.transform("needs", lambda t: F.struct(
-        F.element_at(often, t).alias("n"), t.alias("t"))))["t"])
+    posted = rules.select("*", F.explode("needs").alias("token")).join(counted.select("token", "n"), "token").groupBy(
+        "needs", "verdict", "sure", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     # a rule goes if a shorter one within it says the same and is as sure; both meet under the shorter one's token
     longer = posted.select(F.explode("needs").alias("token"), F.col("needs").alias("all"), F.col("verdict").alias("same"),
                            F.col("sure").alias("less"))

@@ -120,3 +120,29 @@ def test_no_python_in_the_plan(spark):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD"))
     assert "html" not in plan.split("== Physical Plan ==")[1]
     assert plan.split("== Physical Plan ==")[1].count(" Exchange") <= 1
+
+
+def test_no_token_and_no_combination_is_left_out(spark):
+    """Rules on a token beyond the 48 most telling ones, and beyond the ten foremost of a URL, by both ways of mining."""
+    rng = random.Random(9)
+    many = [(f"http://h{i % 60}.net/p{i % 60}", "block" if i % 60 < 30 else "allow") for i in range(240)]
+    wide = []
+    for _ in range(160):
+        keys = [k for k in "abcdefghi" if rng.random() < 0.7]
+        bad = "a" in keys and "i" in keys or rng.random() < 0.05
+        wide.append(("http://w.net/q?" + "&".join(f"{k}=1" for k in keys), "block" if bad else "allow"))
+    labelled = spark.createDataFrame(many + wide, "url string, verdict string")
+    grown, levels = ({(tuple(r["needs"]), r["verdict"], round(r["sure"], 12), round(r["support"], 12), r["token"]) for r in
+                      urlrules.mine(labelled, 0.01, 0.85, width).collect()} for width in (16, 0))
+    assert grown == levels
+    assert all(
+        any(needs == (f"host h{i}.net",) for needs, *_ in grown) for i in range(60))
+    assert any(needs == ("query a", "query i") and verdict == "block" for needs, verdict, *_ in grown)
+
+
+def test_wide_urls_are_mined_whole(spark):
+    """Forty nested sets of keys have 2^40 combinations."""
+    rows = [("http://n.net/x?" + "&".join(f"k{j:02d}=1" for j in range(i % 40 + 1)), "block" if i % 40 >= 30 else "allow") for i in range(400)]
+    found = {(tuple(r["needs"]), r["verdict"]) for r in urlrules.mine(spark.createDataFrame(rows, "url string, verdict string"), 0.02, 0.95).collect()}
+    assert (("query k30",), "block") in found and (("query k39",), "block") in found
+    assert all(len(needs) == 1 for needs, _ in found)
