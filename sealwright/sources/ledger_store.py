@@ -41,7 +41,7 @@ class LedgerStore:
         if self.dialect == "pipe":
             return self.spark.read.parquet(*paths)
         # batches follow each other by name, the base comes first; parts count within each
-        batch = F.regexp_extract("chunk.file", r".*/batches/([A-Za-z0-9-]+)/rows/", 1).alias("batch")
+        batch = F.regexp_extract("chunk.file", r"(?s)^.*/batches/([A-Za-z0-9-]+)/rows/", 1).alias("batch")
         return read_ledger_jsonl(self.spark, paths).withColumn("chunk", F.struct(batch, F.col("chunk.part"), F.col("chunk.file"), F.col("chunk.start")))
 
     def _adopt(self, committed: list[str]) -> None:

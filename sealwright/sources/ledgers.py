@@ -48,7 +48,7 @@ def read_ledger_jsonl(spark: SparkSession, path: str | list[str], case_from: str
     reader = spark.read.option("lineSep", "\n")
     if case_from == "partition" and not isinstance(path, str):
         # folders of several roots are no partitions of one table, so the name is taken from the path
-        name = F.regexp_extract("_metadata.file_path", r".*/case_id=([^/]*)/", 1)
+        name = F.regexp_extract("_metadata.file_path", r"(?s)^.*/case_id=([^/]*)/", 1)
         plain = F.url_decode(F.replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit("+"), F.lit("%2B")))
         lines = reader.option("recursiveFileLookup", "true").text(path).withColumn(
             "case_id", F.when(name != "__HIVE_DEFAULT_PARTITION__", plain))

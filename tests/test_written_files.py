@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sealwright.plans import evidence as pev, live, tables as t
 from sealwright.sources import ledgers as src, walk
+from sealwright.sources.ledger_store import LedgerStore
 from sealwright.streaming import intake
 
 
@@ -66,3 +67,16 @@ def test_intake_batches_do_not_grow_in_number(spark, tmp_path, monkeypatch):
 def test_supplier_files_have_one_line_each(spark, tmp_path):
     pev._line_files(spark.createDataFrame([(1, 2, "x")], "a int, b int, c string"), str(tmp_path / "f"), "a", "b", line=F.col("c"))
     assert _found(tmp_path / "f") == {"a=1/b=2/line.txt": b"x\n"}
+
+
+def test_path_patterns_are_tried_once_per_line(spark, tmp_path):
+    """An unanchored pattern that begins with .* is tried again at every character of a path it does not fit."""
+    events = spark.range(1, 5).select(F.lit("c").alias("case_id"), F.col("id").alias("n"), F.lit("note").alias("event"), F.lit("t").alias("ts"), F.lit("{}").alias("data"))
+    base = str(tmp_path / "base")
+    src.write_ledger_jsonl(src.append_jsonl(events, "n"), base)
+    store = LedgerStore(spark, str(tmp_path / "store"), "jsonl", base)
+    store.append(events.withColumn("n", F.col("n") + 4), 1, "n")
+    rows = store.rows()
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "/batches/" in plan and "/case_id=" in plan and ", .*/" not in plan
+    assert [r["seq"] for r in rows.orderBy("chunk", "line_pos").select("seq").collect()] == list(range(1, 9))
