@@ -149,13 +149,36 @@ def logits(net: Network, stream: np.ndarray, starts: np.ndarray, buckets: np.nda
     return top @ net.out + net.out_bias
 
 
-def train(net: Network, texts: Sequence[str], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05,
+def coded(texts: Sequence[str | None], buckets: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The buckets of every word of each text (words x 2), and the texts' languages."""
+    stream, starts, known = encode(texts, 1)
+    pairs = word_buckets(known, buckets).astype(np.int32)[stream]
+    ends = np.append(starts[1:], len(stream)) - 1
+    return [pairs[a:b] for a, b in zip(starts, ends)], languages_of(stream, starts, known)
+
+
+def joined(words: Sequence[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coded texts as one stream of bucket pairs, ``pad`` pairs of zeros after each, and the start of each text."""
+    lengths = np.array([len(w) + pad for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    stream = np.zeros((int(lengths.sum()), 2), np.int32)
+    for w, a in zip(words, starts):
+        stream[a:a + len(w)] = w
+    return stream, starts
+
+
+def coded_logits(net: Network, words: Sequence[np.ndarray]) -> np.ndarray:
+    """Network output of coded texts."""
+    pairs, starts = joined(words, max(net.widths))
+    # the padding is the smallest pair; the first place makes sure that it is there
+    distinct, stream = np.unique(np.append(0, pairs[:, 0] * np.int64(len(net.emb)) + pairs[:, 1]), return_inverse=True)
+    return logits(net, stream[1:], starts, np.stack(np.divmod(distinct, len(net.emb)), axis=1))
+
+
+def train(net: Network, words: Sequence[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05,
           seed: int = 11) -> Network:
-    """Adagrad on class-balanced log loss. Only the position of each maximum passes a gradient on."""
+    """Adagrad on class-balanced log loss over coded texts. Only the position of each maximum passes a gradient on."""
     pad = max(net.widths)
-    stream, starts, known = encode(texts, pad)
-    buckets = word_buckets(known, len(net.emb))
-    ends = np.append(starts[1:], len(stream))
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     params = [net.emb, *net.kernels, *net.bias, net.out]
     speed = [np.full(p.shape, 1e-3, np.float32) for p in params]
@@ -168,15 +191,13 @@ def train(net: Network, texts: Sequence[str], y: np.ndarray, epochs: int = 8, ba
         params[p] -= rate * gradient / np.sqrt(speed[p])
 
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(words))
         for low in range(0, len(order), batch):
             docs = order[low:low + batch]
-            ids = np.concatenate([stream[starts[d]:ends[d]] for d in docs])
-            lengths = ends[docs] - starts[docs]
-            offs = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            pair = buckets[ids]
+            pair, offs = joined([words[d] for d in docs], pad)
+            lengths = np.diff(offs, append=len(pair))
             x = net.emb[pair[:, 0]] + net.emb[pair[:, 1]]
-            x[ids == 0] = 0
+            x[pair[:, 0] == 0] = 0
             tops, where = [], []
             for kernel, bias in zip(net.kernels, net.bias):
                 width, n = kernel.shape[0], len(x) - kernel.shape[0] + 1
@@ -203,7 +224,7 @@ def train(net: Network, texts: Sequence[str], y: np.ndarray, epochs: int = 8, ba
                 step(1 + k, dk)
                 step(1 + len(net.kernels) + k, g.sum(0))
             at, g = np.concatenate(dx["at"]), np.concatenate(dx["g"])
-            real = ids[at] > 0
+            real = pair[at, 0] > 0
             touched, inverse = np.unique(pair[at[real]].ravel(), return_inverse=True)
             de = np.zeros((len(touched), net.emb.shape[1]), np.float32)
             np.add.at(de, inverse, np.repeat(g[real], 2, axis=0))
@@ -241,9 +262,14 @@ def calibrate(z: np.ndarray, y: np.ndarray, language: np.ndarray) -> dict[str, f
 
 
 def fit(texts: Sequence[str], y: np.ndarray, **settings) -> Network:
-    """A trained and calibrated network; every fifth row is kept for calibration. Without rows of both
-    classes the network is constant: every score is low (class 0, or no rows) or high (class 1)."""
+    """A network trained and calibrated on texts; see ``fit_coded``."""
     net = new_network(**settings)
+    return fit_coded(net, *coded(texts, len(net.emb)), y)
+
+
+def fit_coded(net: Network, words: Sequence[np.ndarray], language: np.ndarray, y: np.ndarray) -> Network:
+    """``net`` trained and calibrated on coded texts; every fifth row is kept for calibration. Without rows of both
+    classes the network is constant: every score is low (class 0, or no rows) or high (class 1)."""
     y = np.asarray(y, float)
     if len(y) == 0 or y.min() == y.max():
         net.out[:] = 0
@@ -253,11 +279,10 @@ def fit(texts: Sequence[str], y: np.ndarray, **settings) -> Network:
     apart = np.arange(len(y)) % 5 == 4
     if len(y) < 40:
         apart[:] = False
-    train(net, [t for t, a in zip(texts, apart) if not a], y[~apart])
-    judged = [t for t, a in zip(texts, apart) if a or not apart.any()]
-    stream, starts, known = encode(judged, max(net.widths))
-    z = logits(net, stream, starts, word_buckets(known, len(net.emb)))
-    net.shift = calibrate(z, y[apart] if apart.any() else y, languages_of(stream, starts, known))
+    train(net, [w for w, a in zip(words, apart) if not a], y[~apart])
+    judged = np.flatnonzero(apart if apart.any() else ~apart)
+    z = np.concatenate([coded_logits(net, [words[i] for i in judged[low:low + 200]]) for low in range(0, len(judged), 200)])
+    net.shift = calibrate(z, y[judged], language[judged])
     return net
 
 
@@ -276,13 +301,27 @@ def scores(net: Network, texts: Sequence[str | None], chunk: int = 2_000) -> np.
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, held: int = 1,
            per_class: int = LEARN_PER_CLASS, largest: int = LEARN_BYTES) -> Network:
-    """Learns from a bounded sample of labelled documents outside the fold ``held``."""
+    """Learns from a bounded sample of labelled documents outside the fold ``held``. Tasks code the texts, so the driver
+    holds no words, only numbers of bounded size."""
+    net = new_network()
+    buckets = len(net.emb)
+
+    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                rows = batch.iloc[low:low + 500]
+                words, language = coded(rows["text"].tolist(), buckets)
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "y": rows["y"], "words": [w.tobytes() for w in words], "language": language})
+
     sample = label_sample(labels.where(fold("doc_id", parts) != held), label, per_class)
-    rows = docs.where(F.octet_length("text") <= largest).join(F.broadcast(sample), "doc_id").select(
-        "doc_id", "y", "text").dropDuplicates().toPandas().sort_values(["doc_id", "text"], kind="stable")
-    # in an order that mixes the classes whatever the ids are
-    mixed = np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")
-    return fit(rows["text"].to_numpy()[mixed], rows["y"].to_numpy(float)[mixed])
+    texts = docs.where(F.octet_length("text") <= largest).join(F.broadcast(sample), "doc_id").select(
+        F.col("doc_id").cast("bigint"), "y", F.col("text").cast("string")).dropDuplicates()
+    table = texts.mapInPandas(per_task, "doc_id bigint, y int, words binary, language int").toArrow()
+    words = [np.frombuffer(w.as_buffer(), np.int32).reshape(-1, 2) for w in table["words"]]
+    ids, y, language = (table[c].to_numpy() for c in ("doc_id", "y", "language"))
+    # in an order that mixes the classes whatever the ids are, and does not hang on how the rows arrived
+    mixed = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], len(words[i]), zlib.crc32(words[i])))
+    return fit_coded(net, [words[i] for i in mixed], language[mixed], y[mixed].astype(float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,

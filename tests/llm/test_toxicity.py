@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sealwright.llm import queries, toxicity as tx
@@ -109,3 +110,23 @@ def test_forward_pass_by_hand():
         stream, starts, known = tx.encode(texts, 3)
         got = tx.logits(net, stream, starts, tx.word_buckets(known, len(net.emb)))
         assert np.allclose(got, [by_hand(net, t) for t in texts], atol=1e-4)
+
+
+def test_driver_learns_from_coded_texts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    outside = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    rows = docs.where(F.octet_length("text") <= tx.LEARN_BYTES).join(outside, "doc_id").toPandas()
+    rows = rows.sort_values("doc_id")
+    rows = rows.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")]
+    want = tx.fit(rows["text"].tolist(), rows["toxic"].to_numpy(float))
+
+    encode = tx.encode
+
+    def in_tasks(*given):
+        assert TaskContext.get() is not None, "texts are coded by the tasks"
+        return encode(*given)
+
+    monkeypatch.setattr(tx, "encode", in_tasks)
+    got = tx.fit_on(docs, labels)
+    assert np.allclose(got.emb, want.emb) and np.allclose(got.out, want.out) and got.shift == want.shift
