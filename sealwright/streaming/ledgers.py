@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,37 +30,50 @@ STRETCH = ("case_id string, ord bigint, n bigint, first_prev string, first_seq b
 
 #: Rows of a case summed up as one in live verification.
 BUCKET_ROWS = 10_000
+#: Tasks that sum up, for each partition of the states; rows a task sends on at a time.
+TASKS, SENT_ROWS = 4, 10_000
 
 
 def _joined(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
 
 
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Row by row: equal, or both null."""
+    equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return equal.to_numpy(zero_copy_only=False)
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One summary per (case, bucket) of a partition: what the state needs to go over the stretch in one step."""
-    held = list(batches)
-    if not any(b.num_rows for b in held):
+    """One summary per (case, bucket) of a partition: what the state needs to go over the stretch in one step. Texts stay
+    in Arrow."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    table = pa.Table.from_batches(held).sort_by([("case_id", "ascending"), ("bucket", "ascending"), ("ord", "ascending")]).combine_chunks()
-    case, bucket, prev, digest = (np.array(table[c].to_pylist(), object) for c in ("case_id", "bucket", "prev", "hash"))
+    table = pa.Table.from_batches(held)
+    held.clear()
+    table = table.sort_by([("case_id", "ascending"), ("bucket", "ascending"), ("ord", "ascending")]).combine_chunks()
+    case, bucket, prev, digest = (table[c].combine_chunks() for c in ("case_id", "bucket", "prev", "hash"))
     ordinal, seq = table["ord"].to_numpy(), table["seq"].to_numpy()
-    first = np.r_[True, (case[1:] != case[:-1]) | (bucket[1:] != bucket[:-1])]
+    first = np.r_[True, ~(_same(case[1:], case[:-1]) & _same(bucket[1:], bucket[:-1]))]
     starts = np.flatnonzero(first)
     ends = np.r_[starts[1:], len(case)]
     stretch = np.cumsum(first) - 1
-    linked = first | np.r_[True, prev[1:] == digest[:-1]]
+    linked = first | np.r_[True, _same(prev[1:], digest[:-1])]
     place = np.arange(len(case)) - starts[stretch]
     counted = (seq == -1) | (seq - seq[starts][stretch] == place)
     bad = np.flatnonzero(~(table["hash_ok"].to_numpy(zero_copy_only=False).astype(bool) & linked & counted))
     broken, at = np.unique(stretch[bad], return_index=True)
-    where = dict(zip(broken.tolist(), bad[at].tolist()))
-    rows = [(case[a], int(ordinal[a]), int(b - a), prev[a], int(seq[a]), digest[b - 1],
-             int(place[where[k]]) + 1 if k in where else None,
-             digest[where[k] - 1] if k in where and where[k] > a else None) for k, (a, b) in enumerate(zip(starts, ends))]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(column, kind) for column, kind in zip(zip(*rows), (
-            pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))],
+    bad_pos, before = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    bad_pos[broken] = place[bad[at]] + 1
+    before[broken] = np.where(bad_pos[broken] > 1, bad[at] - 1, -1)
+    out = pa.RecordBatch.from_arrays(
+        [case.take(pa.array(starts)), pa.array(ordinal[starts]), pa.array(ends - starts), prev.take(pa.array(starts)),
+         pa.array(seq[starts]), digest.take(pa.array(ends - 1)), pa.array(bad_pos, mask=bad_pos == 0),
+         digest.take(pa.array(before, mask=before < 0))],
         names=[c.split()[0] for c in STRETCH.split(", ")])
+    for low in range(0, out.num_rows, SENT_ROWS):
+        yield out.slice(low, SENT_ROWS)
 
 
 class ChainWatch(StatefulProcessor):
@@ -108,7 +122,9 @@ def stretches(rows: DataFrame, dialect: str = "pipe", bucket_rows: int = BUCKET_
     else:
         raise ValueError(f"unknown dialect: {dialect}")
     slim = slim.withColumn("bucket", bucket_of(c("ord"), bucket_rows))
-    return slim.repartition("case_id", "bucket").mapInArrow(_stretches, STRETCH)
+    # a task holds its rows to sort them, so they are dealt to more tasks than the states
+    tasks = TASKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(tasks, "case_id", "bucket").mapInArrow(_stretches, STRETCH)
 
 
 def verify_stream(rows: DataFrame, dialect: str = "pipe", bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -362,3 +362,24 @@ def test_contested_names_are_settled_in_order(spark, seed, segment_rows):
         gone.add(stem)
         assert given[path] == stem, path
     assert len(given) == len(inputs)
+
+
+def test_a_task_that_sums_up_entries_sends_bounded_batches():
+    """A task once sent all its rows at once; the same rows, with nulls and breaks."""
+    n = 25_000
+    names = [f"h{i}" for i in range(n + 1)]
+    case = ["a"] * (n - 3) + ["b", None, None]
+    prev = [*names[:n - 3], None, "x", "h"]
+    digest = [*names[1:n - 2], "x", "h", None]
+    ok = [i != 7 for i in range(n)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(case), pa.array(list(range(n))), pa.array([i // 2 if i < n - 3 else 0 for i in range(n)]), pa.array(prev),
+         pa.array(digest), pa.array(ok), pa.array([-1] * n)], names=["case_id", "ord", "bucket", "prev", "hash", "hash_ok", "seq"])
+    out = list(sled._stretches(iter([batch.slice(n // 2), batch.slice(0, n // 2)])))
+    assert max(b.num_rows for b in out) <= sled.SENT_ROWS < sum(b.num_rows for b in out)
+    rows = {(r["case_id"], r["ord"]): r for b in out for r in b.to_pylist()}
+    assert len(rows) == (n - 3 + 1) // 2 + 2
+    assert rows["a", 6] == {"case_id": "a", "ord": 6, "n": 2, "first_prev": "h6", "first_seq": -1, "last_hash": "h8", "bad_pos": 2,
+                            "bad_before": "h7"}
+    assert rows["a", 8]["bad_pos"] is None and rows["b", n - 3]["first_prev"] is None
+    assert (rows[None, n - 2]["n"], rows[None, n - 2]["last_hash"], rows[None, n - 2]["bad_pos"]) == (2, None, None)
