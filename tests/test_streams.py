@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from sealwright.operators import entitlements as ent
 from sealwright.sources.checkout import read_checkout_events
@@ -100,3 +100,26 @@ def test_intake_sees_each_file_once(spark, tmp_path):
     (root / "c.bmp").write_bytes(b"BM" + b"0" * 30)
     intake.intake_stream(intake.watch_folder(spark, str(root)), ok, no, cp).awaitTermination()
     assert sorted(r.path[-5:] for r in spark.read.parquet(ok).collect()) == ["a.png", "c.bmp"] and spark.read.parquet(no).count() == 1
+
+
+def test_state_goes_over_stretches_without_frames():
+    """A data frame for every case and micro-batch cost more than the work on its few stretches."""
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    watch = sled.ChainWatch()
+    watch.state = Held()
+    row = lambda at, prev, last, bad=None, before=None: Row(
+        case_id="a", ord=at, n=3, first_prev=prev, first_seq=-1, last_hash=last, bad_pos=bad, bad_before=before)
+    first, = watch.handleInputRows(("a",), iter([row(10, "h3", "h6"), row(0, sled.GENESIS, "h3")]), None)
+    assert first == Row(case_id="a", seen=6, valid_prefix=6, chain_ok=True, broken_at=None, tip="h6", alert=False)
+    second, = watch.handleInputRows(("a",), iter([row(20, "h6", "h9", 2, "h7"), row(30, "h9", "h12")]), None)
+    assert second == Row(case_id="a", seen=12, valid_prefix=7, chain_ok=False, broken_at=8, tip="h7", alert=True)
+    third, = watch.handleInputRows(("a",), iter([row(40, "x", "h15")]), None)
+    assert third == Row(case_id="a", seen=15, valid_prefix=7, chain_ok=False, broken_at=8, tip="h7", alert=False)
