@@ -127,3 +127,61 @@ def test_registered_query_scores_by_trigrams(spark):
     for i, text in rows[:40]:
         p = [b"<s>"] * 2 + tokens(text)
         assert np.isclose(got[i], sum(np.log10(model.p(tuple(p[j - 2:j + 1]))) for j in range(2, len(p))))
+
+
+def key_of(gram):
+    from xxhash import xxh3_64_intdigest
+
+    marks = {b"<s>": katz.BEGIN, b"</s>": katz.END}
+    words = np.array([marks[w] if w in marks else xxh3_64_intdigest(w) for w in gram], np.uint64)
+    key = words[:1]
+    for k in range(2, len(gram) + 1):
+        key = katz._longer(key, words[k - 1:k], k)
+    return int(key[0])
+
+
+def test_backoff_table_gives_the_weights(spark, tmp_path):
+    docs = spark.createDataFrame(corpus(), "doc_id bigint, text string").repartition(3)
+    katz.katz_scores(docs, 3, block_tokens=100, folder=str(tmp_path)).count()
+    model = Dictionary(corpus(), 3)
+    tables = spark.read.parquet(f"{tmp_path}/counts").where("kind = 'table'").toPandas()
+    tables = {(r.order, r.part): katz.expand_keys(r.keys) for r in tables.itertuples()}
+    backoff = spark.read.parquet(f"{tmp_path}/weights").where("kind = 'backoff'").toPandas()
+    known, begin = {key_of(c): c for c in model.after if c[-1] != b"<s>"}, {2: (b"<s>",), 3: (b"<s>", b"<s>")}
+    found = {}
+    for r in backoff.itertuples():
+        for row, value in zip(katz.expand_rows(r.keys), katz.expand(r.values, katz.BACKOFF)):
+            found[known[int(tables[r.order - 1, r.part][row - 1])] if row else begin[r.order]] = value
+    assert len(found) > 60 and {len(c) for c in found} == {1, 2}
+    for context, value in found.items():
+        seen, ratio = model.after[context], model.ratio[len(context) + 1]
+        kept = sum(ratio[min(c, 6)] * c for c in seen.values())
+        norm = sum(seen.values()) + (kept == sum(seen.values()))
+        below = value["below"] / (found[context[1:]]["norm"] if len(context) > 1 else 1)
+        want = (1 - kept / norm) / (1 - sum(model.p(context[1:] + (w,)) for w in seen))
+        assert value["norm"] == norm and np.isclose((1 - value["kept"] / norm) / (1 - below), want)
+
+
+def test_weights_of_all_orders_are_asked_for_once(spark, monkeypatch):
+    # every round sorts all n-grams of all blocks anew
+    asked, ask = [], katz.ask_weights
+    monkeypatch.setattr(katz, "ask_weights", lambda *a: asked.append(a) or ask(*a))
+    docs = spark.createDataFrame(corpus(), "doc_id bigint, text string")
+    assert katz.katz_scores(docs, 3, block_tokens=100).count() == len(corpus())
+    assert len(asked) == 1
+
+
+def test_training_counts_of_a_block(spark):
+    train, held = ([i for i in range(1, 60) if (zlib.crc32(str(i).encode()) % 10 == 0) == h] for h in (False, True))
+    for rows in ([(train[0], "a b a"), (held[0], "a c a b"), (train[1], "b a b a")], [(held[0], "a a")], [(train[0], None)]):
+        block = katz.make_blocks(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()[0]
+        for k in (1, 2, 3):
+            want = dict.fromkeys((key_of(g) for i, t in rows for g in zip(*[([b"<s>"] * (k - 1) + tokens(t))[j:] for j in range(k)])), 0)
+            want |= {key_of(g): n for g, n in Dictionary(rows, k).count[k].items()}
+            keys, counts = katz.training_counts(katz.Text(block), k)
+            assert list(zip(keys.tolist(), counts.tolist())) == sorted(want.items())
+
+
+def test_texts_without_words(spark):
+    got = katz.katz_scores(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id bigint, text string")).toPandas()
+    assert len(got) == 3 and (got["n_tokens"] == 1).all() and np.isfinite(got["score"]).all()
