@@ -138,11 +138,9 @@ def make_blocks(docs: DataFrame, held: int = 0, parts: int = 10, block_tokens: i
 
 @dataclass
 class Grams:
-    """The distinct n-grams of a block: keys (sorted), one position of each, number of every position. As contexts they
-    have no positions, and the run of begin marks comes last."""
+    """The distinct n-grams of a block: keys (sorted) and the number of every position."""
 
     keys: np.ndarray
-    first: np.ndarray | None
     at: np.ndarray
 
 
@@ -182,30 +180,28 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Block(Text):
-    """For every order up to ``order`` also the distinct n-grams, their contexts, and by number the context and the
-    shorter n-gram of each n-gram and the shorter context of each context."""
+    """For every order up to ``order`` also the distinct n-grams, the keys of their contexts, of which the run of begin
+    marks comes last, and by number the context and the shorter n-gram of each n-gram and the shorter context of each
+    context."""
 
     def __init__(self, row, order: int):
         super().__init__(row)
         # words are sorted once in the vocabulary, not in the text
         keys, number = np.unique(self.vocab, return_inverse=True)
-        at = number[self.tokens]
-        first = np.empty(len(keys), np.int64)
-        first[at] = np.arange(len(at))
-        self.grams, self.contexts = {1: Grams(keys, first, at)}, {}
+        self.grams, self.contexts = {1: Grams(keys, number[self.tokens])}, {}
         self.context, self.suffix, self.shorter = {}, {}, {}
         begin = np.array([BEGIN], np.uint64)
         for k in range(2, order + 1):
             below = self.grams[k - 1]
             context = np.roll(below.at, 1)
             context[self.starts] = len(below.keys)
-            self.contexts[k] = Grams(np.concatenate([below.keys, begin]), None, context)
-            keys, order_, number = _distinct(_longer(self.contexts[k].keys[context], self.stream, k))
-            at, first = np.empty(len(number), np.int64), np.empty(len(keys), np.int64)
-            at[order_] = number
-            first[number] = order_
-            self.grams[k] = Grams(keys, first, at)
-            self.context[k], self.suffix[k] = context[first], below.at[first]
+            self.contexts[k] = np.append(below.keys, begin)
+            keys, by_key, number = _distinct(_longer(self.contexts[k][context], self.stream, k))
+            at, any_of = np.empty(len(number), np.int64), np.empty(len(keys), np.int64)
+            at[by_key] = number
+            any_of[number] = by_key
+            self.grams[k] = Grams(keys, at)
+            self.context[k], self.suffix[k] = context[any_of], below.at[any_of]
             if k > 2:
                 self.shorter[k] = np.append(self.suffix[k - 1], len(self.grams[k - 2].keys))
             begin = _longer(begin, np.array([BEGIN], np.uint64), k)
@@ -411,7 +407,7 @@ class Contexts:
 
     @classmethod
     def of(cls, block: Block, k: int, counts: dict[int, Counts]) -> Contexts:
-        keys, context, told = block.contexts[k].keys, block.context[k], counts[k]
+        keys, context, told = block.contexts[k], block.context[k], counts[k]
 
         def marked(which: np.ndarray) -> np.ndarray:
             out = np.zeros(len(keys), bool)
@@ -470,7 +466,7 @@ def ask_weights(blocks: DataFrame, answers: DataFrame, order: int, parts: dict[i
         counts = {j: Counts.of(replies, j) for j in range(1, order + 1)}
         told = []
         for k in range(2, order + 1):
-            seen_by, keys = Contexts.of(b, k, counts), b.contexts[k].keys
+            seen_by, keys = Contexts.of(b, k, counts), b.contexts[k]
             asked = seen_by.asked
             number = np.full(len(keys), -1)
             number[asked] = np.arange(len(asked))
@@ -553,9 +549,8 @@ def katz_scores(docs: DataFrame, order: int = ORDER, parts: int = 10, held: int
     order lower; 0 is the begin marks). A context's weight is (1 - kept / norm) / (1 - below / the norm of the context one
     word shorter), where the norm of a context of no words is 1. Without ``folder`` the tables lie in the shared folder,
     and what one block alone has is kept in that block's answers only. Null and empty texts are a lone end. A row with a null
-    id is scored
-    but not learned from and not held out; repeated rows count and are scored as often as given. Without training
-    rows every token is unknown. Blocks and parts grow with the square root of the corpus, from LEAST_BLOCK to
+    id is scored but not learned from and not held out; repeated rows count and are scored as often as given. Without
+    training rows every token is unknown. Blocks and parts grow with the square root of the corpus, from LEAST_BLOCK to
     MOST_BLOCK tokens, so the number of requests stays in proportion.
     """
     spark = docs.sparkSession
